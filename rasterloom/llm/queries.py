@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, near_dedup
+from . import line_dedup, near_dedup, packing, shared, toxicity
 from .shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,16 +18,36 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup(table(spark, sf_dir, "documents"), k=3, threshold=0.85)
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A toxicity score for every document by a model fitted on the labelled rows that aren't held out."""
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of 20 characters or more that three documents share stay in the largest id alone."""
     plan = line_dedup.line_dedup(table(spark, sf_dir, "documents"), carry=("text",))
     return line_dedup.kept_text(plan).select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op10_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    """Documents cut and packed into sequences of 2048 tokens."""
+    if tokenizer is None:
+        import public_tokenizers
+
+        tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    pieces = packing.token_pieces(table(spark, sf_dir, "documents"), tokenizer).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    packed = packing.place(shared.write(pieces, "pieces"))
+    return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
 def queries() -> dict[str, Query]:
     return {
         "op3_minhash_near_dedup": op3_minhash_near_dedup,
+        "op6_toxicity": op6_toxicity,
         "op8_line_dedup": op8_line_dedup,
+        "op10_packing": op10_packing,
     }
 
 
