@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, near_dedup, packing, shared, toxicity
+from . import line_dedup, mixing, near_dedup, packing, shared, toxicity
 from .shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,12 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents drawn to the production weights: 60 % of all tokens, three passes at most."""
+    docs = table(spark, sf_dir, "documents")
+    return mixing.mix(docs, mixing.PRODUCTION, mixing.by_number(F.col("source")))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of 20 characters or more that three documents share stay in the largest id alone."""
     plan = line_dedup.line_dedup(table(spark, sf_dir, "documents"), carry=("text",))
@@ -46,6 +52,7 @@ def queries() -> dict[str, Query]:
     return {
         "op3_minhash_near_dedup": op3_minhash_near_dedup,
         "op6_toxicity": op6_toxicity,
+        "op7_mixing": op7_mixing,
         "op8_line_dedup": op8_line_dedup,
         "op10_packing": op10_packing,
     }
