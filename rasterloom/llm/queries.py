@@ -7,17 +7,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, near_dedup, packing, shared, toxicity
+from . import fingerprints, licenses, line_dedup, mixing, near_dedup, packing, shared, toxicity
 from .shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text."""
+    return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents linked at a similarity of 0.85 of their 3-word shingles."""
     return near_dedup.near_dedup(table(spark, sf_dir, "documents"), k=3, threshold=0.85)
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Known licence texts among whole documents and their lines."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A toxicity score for every document by a model fitted on the labelled rows that aren't held out."""
     docs = table(spark, sf_dir, "documents")
@@ -50,7 +60,9 @@ def op10_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None)
 
 def queries() -> dict[str, Query]:
     return {
+        "op2_fingerprints": op2_fingerprints,
         "op3_minhash_near_dedup": op3_minhash_near_dedup,
+        "op4_license_scan": op4_license_scan,
         "op6_toxicity": op6_toxicity,
         "op7_mixing": op7_mixing,
         "op8_line_dedup": op8_line_dedup,
@@ -74,4 +86,4 @@ from j group by doc_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_line_dedup": OP8_SQL}
+    return {"op4_license_scan": licenses.sql(), "op8_line_dedup": OP8_SQL}
