@@ -7,12 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, licenses, line_dedup, mixing, near_dedup, packing, shared, toxicity
+from . import fingerprints, licenses, line_dedup, mixing, near_dedup, packing, shared, toxicity, warc
 from .shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to Zstandard WARC archives and read back; equal payloads of 1000 bytes or more revisit one."""
+    folder = shared.new_path(spark, "warc")
+    archives = warc.write_archives(table(spark, sf_dir, "pages"), folder)
+    return warc.resolved(shared.write(warc.read_archives(archives, folder), "records"))
+
+
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited text."""
     return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
@@ -60,6 +67,7 @@ def op10_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None)
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_warc": op1_warc,
         "op2_fingerprints": op2_fingerprints,
         "op3_minhash_near_dedup": op3_minhash_near_dedup,
         "op4_license_scan": op4_license_scan,
