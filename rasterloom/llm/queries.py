@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, licenses, line_dedup, mixing, near_dedup, packing, shared, toxicity, warc
+from . import fingerprints, licenses, line_dedup, media, mixing, near_dedup, packing, shared, toxicity, warc
 from .shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +35,12 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op5_media_sniffing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text stored as 8-bit audio of undeclared type, recognised by its bytes, read back and measured."""
+    stored = media.store_texts(table(spark, sf_dir, "documents"))
+    return media.wav_features(media.sniff(stored, declared_col="declared", carry=("doc_id", "n_bytes")))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A toxicity score for every document by a model fitted on the labelled rows that aren't held out."""
     docs = table(spark, sf_dir, "documents")
@@ -71,6 +77,7 @@ def queries() -> dict[str, Query]:
         "op2_fingerprints": op2_fingerprints,
         "op3_minhash_near_dedup": op3_minhash_near_dedup,
         "op4_license_scan": op4_license_scan,
+        "op5_media_sniffing": op5_media_sniffing,
         "op6_toxicity": op6_toxicity,
         "op7_mixing": op7_mixing,
         "op8_line_dedup": op8_line_dedup,
