@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, licenses, line_dedup, media, mixing, near_dedup, packing, shared, toxicity, warc
+from . import fingerprints, html_text, licenses, line_dedup, media, mixing, near_dedup, packing, shared, toxicity, warc
 from .shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,6 +60,11 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.kept_text(plan).select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html_text.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     """Documents cut and packed into sequences of 2048 tokens."""
     if tokenizer is None:
@@ -81,6 +86,7 @@ def queries() -> dict[str, Query]:
         "op6_toxicity": op6_toxicity,
         "op7_mixing": op7_mixing,
         "op8_line_dedup": op8_line_dedup,
+        "op9_html_text": op9_html_text,
         "op10_packing": op10_packing,
     }
 
