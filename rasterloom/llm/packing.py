@@ -17,8 +17,10 @@ An empty table gives an empty table. Other columns aren't read.
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,65 +29,136 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shared
+from .numbering import Numbers
 
 PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary, part int, cls int, local_rank long"
 
 
+def byte_letters() -> dict[int, str]:
+    """How a byte-level vocabulary writes each byte: itself where it is printable, else the next free character from 256."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = iter(range(256, 512))
+    return {b: chr(b if b in printable else next(others)) for b in range(256)}
+
+
 class WordIds:
     """Token ids of texts, word by word: ids of a text are those of its pieces between white space, one after another.
 
-    That holds for tokenizers that drop white space and never merge across it. Ids of `most` words are held at once.
+    That holds for tokenizers that drop white space and never merge across it. The first `most` pieces are remembered
+    for the life of the worker, later ones for one call, so memory is bounded.
+
+    For tokenizers that lower-case, cut letters from the rest and mark word ends, two short cuts give the same ids: a
+    Latin-1 text is lower-cased before it is cut; a piece of letters alone goes to the merges directly, many at a time,
+    and its end is found by the mark; and a comma or full stop behind letters is a token of its own.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    LETTERS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"  # the cut that the short cuts rely on, a fixed value
+
+    def __init__(self, path: str, most: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import CharDelimiterSplit
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
-        self._reset()
-
-    def _reset(self) -> None:
-        self.index: dict[str, int] = {}
-        self.starts, self.lengths, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
-
-    def _learn(self, words: list[str]) -> None:
-        found = [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        self.starts = np.concatenate((self.starts, len(self.flat) + np.cumsum(sizes) - sizes))
-        self.lengths = np.concatenate((self.lengths, sizes))
-        self.flat = np.concatenate((self.flat, np.fromiter((i for ids in found for i in ids), np.uint32, int(sizes.sum()))))
+        made = json.loads(self.tokenizer.to_str())
+        kinds = [n["type"] for n in (made["normalizer"] or {}).get("normalizers", [])]
+        cut = ((made["pre_tokenizer"] or {}).get("pretokenizers") or [{}])[0].get("pattern", {}).get("Regex")
+        self.short = kinds == ["NFC", "Replace", "Lowercase"] and cut == self.LETTERS and made["model"].get("end_of_word_suffix") == "</w>"
+        if self.short:
+            self.merges = Tokenizer.from_file(path)
+            self.merges.normalizer, self.merges.pre_tokenizer = None, CharDelimiterSplit(" ")
+            spelled = byte_letters()
+            self.spelling = {c: "".join(spelled[b] for b in chr(c).encode()) for c in range(128, 256)}
+            vocabulary = self.tokenizer.get_vocab()
+            self.is_end = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.is_end[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+            self.marks = {m: vocabulary[m + "</w>"] for m in ",."}
+        self.index = Numbers()
+        self.starts, self.lengths, self.flat = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint32)
+        self.used = 0  # ids in flat
+        self.index[""] = 0
+
+    def _add(self, pieces: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        while len(self.index) > len(self.starts):
+            self.starts, self.lengths = (np.concatenate((x, np.zeros_like(x))) for x in (self.starts, self.lengths))
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
+        at = np.fromiter(map(self.index.__getitem__, pieces), np.int64, len(pieces))
+        self.starts[at] = self.used + np.cumsum(sizes) - sizes
+        self.lengths[at] = sizes
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+
+    def _learn(self, new: list[str]) -> None:
+        """Find the ids of new pieces. `new` grows by the words before a comma or full stop that aren't known either."""
+        letters, marked, others = [], [], []
+        for w in new:
+            if not self.short:
+                others.append(w)
+            elif self._plain(w):
+                letters.append(w)
+            elif w[-1] in self.marks and self._plain(w[:-1]):
+                marked.append(w)
+                self.index[w[:-1]]
+            else:
+                others.append(w)
+        for at in range(0, len(letters), 1000):
+            some = letters[at : at + 1000]
+            ids = np.array(self.merges.encode_batch_fast([" ".join(some).translate(self.spelling)], add_special_tokens=False)[0].ids, np.uint32)
+            self._add(some, ids, np.diff(np.flatnonzero(self.is_end[ids]), prepend=-1))
+        for at in range(0, len(others), 1000):
+            some = others[at : at + 1000]
+            ids = [x.ids for x in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+            self._add(some, np.array([i for own in ids for i in own], np.uint32), np.array([len(own) for own in ids], np.int64))
+        if marked:
+            base = np.array([self.index[w[:-1]] for w in marked])
+            sizes = self.lengths[base] + 1
+            ids = np.empty(int(sizes.sum()), np.uint32)
+            ends = np.cumsum(sizes) - 1
+            inner = np.ones(len(ids), bool)
+            inner[ends] = False
+            ids[inner], ids[ends] = self._gathered(base), [self.marks[w[-1]] for w in marked]
+            self._add(marked, ids, sizes)
+
+    @staticmethod
+    def _plain(w: str) -> bool:
+        return w.isalpha() and w.islower() and (w.isascii() or max(w) < "\u0100")
+
+    def _gathered(self, pieces: np.ndarray) -> np.ndarray:
+        sizes = self.lengths[pieces]
+        ends = np.cumsum(sizes)
+        return self.flat[np.repeat(self.starts[pieces] - ends + sizes, sizes) + np.arange(ends[-1])]
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """One uint32 array for each text."""
-        if len(self.index) > self.most:
-            self._reset()
-        index, new, rows = self.index, [], []
-        known = index.get
+        used, number, rows = self.used, self.index.__getitem__, []
+        new = self.index.fresh()
         for text in texts:
-            words = (text or "").replace("\n", " ").replace("\t", " ").split(" ")
-            row = list(map(known, words))
-            if None in row:
-                for i, at in enumerate(row):
-                    if at is None:
-                        at = known(words[i])
-                        if at is None:
-                            index[words[i]] = at = len(index)
-                            new.append(words[i])
-                        row[i] = at
-            rows.append(np.array(row, np.int64))
-        if new:
-            self._learn(new)
-        out = []
-        for row in rows:
-            sizes = self.lengths[row]
-            ends = np.cumsum(sizes)
-            out.append(self.flat[np.repeat(self.starts[row] - ends + sizes, sizes) + np.arange(ends[-1])])
+            text = text or ""
+            if self.short:
+                try:
+                    text.encode("latin-1")
+                    text = text.lower()
+                except UnicodeEncodeError:
+                    pass
+            rows.append(np.array(list(map(number, text.replace("\n", " ").split(" "))), np.int64))
+        self._learn(new)
+        out = [self._gathered(row) for row in rows]
+        if len(self.index) > self.most:
+            self.index.forget(new)
+            self.used = used
         return out
 
 
+@cache
+def word_ids(path: str) -> WordIds:
+    """One for each worker and tokenizer."""
+    return WordIds(path)
+
+
 def _pieces(path: str, end_id: int, capacity: int, grain: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, task = WordIds(path), TaskContext.get()
+        words, task = word_ids(path), TaskContext.get()
         part = task.partitionId() if task else 0
         ranks = np.zeros(capacity // grain + 1, np.int64)
         for batch in batches:
