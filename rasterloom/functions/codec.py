@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,11 +42,19 @@ def varint_hex(value: Column) -> Column:
     return F.when(value < 1 << 7, whole(1)).when(value < 1 << 14, whole(2)).when(value < 1 << 21, whole(3)).when(value < 1 << 28, whole(4)).otherwise(whole(5))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once, however often body names it, also inside its lambdas."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def pieces(text: Column, size: int) -> Column:
+    """A string cut into pieces of a size, in one pass."""
+    return F.filter(F.split(text, rf"(?<=\G.{{{size}}})"), lambda p: F.length(p) > 0)
+
+
 def byte_values(hexed: Column) -> Column:
     """Hex digits as an array of byte values."""
-    n = (F.length(hexed) / 2).cast("int")
-    spots = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(spots, lambda i: F.conv(F.substring(hexed, i * 2 + 1, F.lit(2)), 16, 10).cast("long"))
+    return F.transform(pieces(hexed, 2), lambda h: F.conv(h, 16, 10).cast("long"))
 
 
 def varints(hexed: Column) -> Column:
@@ -65,12 +75,14 @@ def varints(hexed: Column) -> Column:
 
 def text_units(hexed: Column) -> Column:
     """The code units of bytes as 15-bit text: 4096 + padding bits, then the bits in fifteens. No bytes: no units."""
-    bits = F.array_join(F.transform(byte_values(hexed), lambda b: F.lpad(F.bin(b), 8, "0")), "")
-    pad = F.pmod(-F.length(bits), F.lit(15))
-    padded = F.concat(bits, F.repeat(F.lit("0"), pad))
-    n = (F.length(padded) / 15).cast("int")
-    units = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.conv(F.substring(padded, i * 15 + 1, F.lit(15)), 2, 10).cast("long"))
-    return F.when(F.length(hexed) == 0, F.array().cast("array<bigint>")).otherwise(F.concat(F.array((pad + 4096).cast("long")), units))
+
+    def units(bits: Column) -> Column:
+        pad = F.pmod(-F.length(bits), F.lit(15))
+        body = F.transform(pieces(F.concat(bits, F.repeat(F.lit("0"), pad)), 15), lambda u: F.conv(u, 2, 10).cast("long"))
+        return F.concat(F.array((pad + 4096).cast("long")), body)
+
+    bits = F.array_join(F.transform(pieces(hexed, 2), lambda h: F.lpad(F.conv(h, 16, 2), 8, "0")), "")
+    return F.when(F.length(hexed) == 0, F.array().cast("array<bigint>")).otherwise(let(bits, units))
 
 
 def units_text(units: Column) -> Column:
@@ -80,11 +92,12 @@ def units_text(units: Column) -> Column:
 
 def text_hex(text: Column) -> Column:
     """The bytes of 15-bit text as hex digits; a leading K: is dropped."""
+
+    def of_units(units: Column) -> Column:
+        bits = F.array_join(F.transform(F.slice(units, 2, 1 << 30), lambda u: F.lpad(F.conv(u, 16, 2), 15, "0")), "")
+        pad = F.conv(F.element_at(units, 1), 16, 10).cast("int") - 4096
+        whole = let(bits, lambda b: F.substring(b, F.lit(1), F.length(b) - pad))
+        return F.array_join(F.transform(pieces(whole, 8), lambda b: F.lpad(F.conv(b, 2, 16), 2, "0")), "")
+
     body = F.when(F.substring(text, 1, 2) == "K:", F.substring(text, 3, 1 << 30)).otherwise(text)
-    quads = F.hex(F.encode(body, "UTF-16BE"))
-    n = (F.length(quads) / 4).cast("int")
-    units = F.transform(F.when(n > 1, F.sequence(F.lit(1), n - 1)).otherwise(F.array().cast("array<int>")), lambda i: F.lpad(F.conv(F.substring(quads, i * 4 + 1, F.lit(4)), 16, 2), 15, "0"))
-    bits = F.array_join(units, "")
-    n_bytes = ((F.length(bits) - (F.conv(F.substring(quads, 1, 4), 16, 10).cast("int") - 4096)) / 8).cast("int")
-    spots = F.when(n_bytes > 0, F.sequence(F.lit(0), n_bytes - 1)).otherwise(F.array().cast("array<int>"))
-    return F.when(n == 0, "").otherwise(F.array_join(F.transform(spots, lambda i: F.lpad(F.conv(F.substring(bits, i * 8 + 1, F.lit(8)), 2, 16), 2, "0")), ""))
+    return F.when(F.length(body) == 0, "").otherwise(let(pieces(F.hex(F.encode(body, "UTF-16BE")), 4), of_units))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Bayer 4x4 thresholds, fixed values, row by row
@@ -63,30 +63,42 @@ def lab(r: Column, g: Column, b: Column) -> Column:
     return F.struct((116.0 * y - 16.0).alias("L"), (500.0 * (x - y)).alias("a"), (200.0 * (y - z)).alias("b"))
 
 
-def delta_e2000(p: Column, q: Column) -> Column:
-    """CIEDE2000 difference of two lab structs."""
-    l1, a1, b1, l2, a2, b2 = p["L"], p["a"], p["b"], q["L"], q["a"], q["b"]
-    mean = (F.sqrt(a1 * a1 + b1 * b1) + F.sqrt(a2 * a2 + b2 * b2)) / 2
-    g = 0.5 * (1 - F.sqrt(F.pow(mean, F.lit(7.0)) / (F.pow(mean, F.lit(7.0)) + 25.0**7)))
-    x1, x2 = a1 * (1 + g), a2 * (1 + g)
-    c1, c2 = F.sqrt(x1 * x1 + b1 * b1), F.sqrt(x2 * x2 + b2 * b2)
-
-    def hue(x: Column, y: Column) -> Column:
-        h = F.degrees(F.atan2(y, x))
-        return F.when(h < 0, h + 360).otherwise(h)
-
-    h1, h2 = hue(x1, b1), hue(x2, b2)
-    turn = F.when(c1 * c2 == 0, 0.0).when(F.abs(h2 - h1) <= 180, h2 - h1).when(h2 - h1 > 180, h2 - h1 - 360).otherwise(h2 - h1 + 360)
-    dl, dc, dh = l2 - l1, c2 - c1, 2 * F.sqrt(c1 * c2) * F.sin(F.radians(turn / 2))
-    lm, cm = (l1 + l2) / 2, (c1 + c2) / 2
-    hm = F.when(c1 * c2 == 0, h1 + h2).when(F.abs(h1 - h2) <= 180, (h1 + h2) / 2).when(h1 + h2 < 360, (h1 + h2 + 360) / 2).otherwise((h1 + h2 - 360) / 2)
-    t = 1 - 0.17 * F.cos(F.radians(hm - 30)) + 0.24 * F.cos(F.radians(2 * hm)) + 0.32 * F.cos(F.radians(3 * hm + 6)) - 0.20 * F.cos(F.radians(4 * hm - 63))
-    sl = 1 + 0.015 * (lm - 50) * (lm - 50) / F.sqrt(20 + (lm - 50) * (lm - 50))
-    sc, sh = 1 + 0.045 * cm, 1 + 0.015 * cm * t
-    bend = 30 * F.exp(-((hm - 275) / 25) * ((hm - 275) / 25))
-    rc = 2 * F.sqrt(F.pow(cm, F.lit(7.0)) / (F.pow(cm, F.lit(7.0)) + 25.0**7))
-    rt = -F.sin(F.radians(2 * bend)) * rc
-    return F.sqrt((dl / sl) * (dl / sl) + (dc / sc) * (dc / sc) + (dh / sh) * (dh / sh) + rt * (dc / sc) * (dh / sh))
+def with_delta_e2000(df: DataFrame, p: str, q: str, out: str = "delta_e") -> DataFrame:
+    """Adds the CIEDE2000 difference of two lab struct columns. In steps, so that no term is written out many times."""
+    keep = df.columns
+    c = F.col
+    l1, a1, b1, l2, a2, b2 = (c(x)[n] for x in (p, q) for n in ("L", "a", "b"))
+    df = df.withColumn("_m", F.pow((F.sqrt(a1 * a1 + b1 * b1) + F.sqrt(a2 * a2 + b2 * b2)) / 2, F.lit(7.0)))
+    df = df.withColumn("_g", 1 + 0.5 * (1 - F.sqrt(c("_m") / (c("_m") + 25.0**7))))
+    df = df.withColumns({"_c1": F.sqrt(a1 * c("_g") * a1 * c("_g") + b1 * b1), "_c2": F.sqrt(a2 * c("_g") * a2 * c("_g") + b2 * b2), "_h1": F.degrees(F.atan2(b1, a1 * c("_g"))), "_h2": F.degrees(F.atan2(b2, a2 * c("_g")))})
+    df = df.withColumns({n: F.when(c(n) < 0, c(n) + 360).otherwise(c(n)) for n in ("_h1", "_h2")}).withColumn("_gray", c("_c1") * c("_c2") == 0)
+    turn = c("_h2") - c("_h1")
+    total = c("_h1") + c("_h2")
+    df = df.withColumns(
+        {
+            "_turn": F.when(c("_gray"), 0.0).when(F.abs(turn) <= 180, turn).when(turn > 180, turn - 360).otherwise(turn + 360),
+            "_hm": F.when(c("_gray"), total).when(F.abs(turn) <= 180, total / 2).when(total < 360, (total + 360) / 2).otherwise((total - 360) / 2),
+            "_lm": (l1 + l2) / 2 - 50,
+            "_cm": (c("_c1") + c("_c2")) / 2,
+        }
+    )
+    hm, cm = c("_hm"), c("_cm")
+    df = df.withColumns(
+        {
+            "_t": 1 - 0.17 * F.cos(F.radians(hm - 30)) + 0.24 * F.cos(F.radians(2 * hm)) + 0.32 * F.cos(F.radians(3 * hm + 6)) - 0.20 * F.cos(F.radians(4 * hm - 63)),
+            "_p7": F.pow(cm, F.lit(7.0)),
+            "_bend": 60 * F.exp(-((hm - 275) / 25) * ((hm - 275) / 25)),
+        }
+    )
+    df = df.withColumns(
+        {
+            "_dl": (l2 - l1) / (1 + 0.015 * c("_lm") * c("_lm") / F.sqrt(20 + c("_lm") * c("_lm"))),
+            "_dc": (c("_c2") - c("_c1")) / (1 + 0.045 * cm),
+            "_dh": 2 * F.sqrt(c("_c1") * c("_c2")) * F.sin(F.radians(c("_turn") / 2)) / (1 + 0.015 * cm * c("_t")),
+            "_rt": -F.sin(F.radians(c("_bend"))) * 2 * F.sqrt(c("_p7") / (c("_p7") + 25.0**7)),
+        }
+    )
+    return df.withColumn(out, F.sqrt(c("_dl") * c("_dl") + c("_dc") * c("_dc") + c("_dh") * c("_dh") + c("_rt") * c("_dc") * c("_dh"))).select(*keep, out)
 
 
 def bayer_bias(x: Column, y: Column, spread: float = 32.0) -> Column:

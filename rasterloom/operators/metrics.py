@@ -46,9 +46,8 @@ def ssim_sampled(pairs: DataFrame, step: int = 10, most: int = 50) -> DataFrame:
 
 def delta_e(pairs: DataFrame) -> DataFrame:
     """Mean CIEDE2000 of each frame."""
-    diff = C.delta_e2000(F.col("p"), F.col("q"))
     labs = pairs.select("video", "frame", C.lab(*[F.col(f"{c}1") for c in "rgb"]).alias("p"), C.lab(*[F.col(f"{c}2") for c in "rgb"]).alias("q"))
-    return labs.groupBy("video", "frame").agg(F.avg(diff).alias("delta_e"))
+    return C.with_delta_e2000(labs, "p", "q").groupBy("video", "frame").agg(F.avg("delta_e").alias("delta_e"))
 
 
 def report(values: DataFrame) -> DataFrame:
@@ -60,3 +59,22 @@ def report(values: DataFrame) -> DataFrame:
 def gate(measures: DataFrame, least_ssim: float = 0.85, most_delta_e: float = 3.0) -> DataFrame:
     """Adds passed: both thresholds hold."""
     return measures.withColumn("passed", (F.col("ssim") >= least_ssim) & (F.col("delta_e") <= most_delta_e))
+
+
+def ssim_windows(pairs: DataFrame, width: int, window: int = 7, data_range: float = 255.0) -> DataFrame:
+    """Mean over channels of SSIM in whole window x window neighbourhoods, sample statistics. A frame is a group."""
+    import numpy as np
+    import pandas as pd
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("idx")
+        n, c1, c2 = window * window, (0.01 * data_range) ** 2, (0.03 * data_range) ** 2
+        values = []
+        for c in "rgb":
+            a, b = (np.lib.stride_tricks.sliding_window_view(frame[f"{c}{i}"].to_numpy(float).reshape(-1, width), (window, window)).reshape(-1, n) for i in (1, 2))
+            ma, mb = a.mean(axis=1), b.mean(axis=1)
+            va, vb, cov = a.var(axis=1, ddof=1), b.var(axis=1, ddof=1), ((a - ma[:, None]) * (b - mb[:, None])).sum(axis=1) / (n - 1)
+            values.append((((2 * ma * mb + c1) * (2 * cov + c2)) / ((ma**2 + mb**2 + c1) * (va + vb + c2))).mean())
+        return pd.DataFrame({"video": frame["video"].iloc[:1], "frame": frame["frame"].iloc[:1], "ssim": [float(np.mean(values))]})
+
+    return pairs.groupBy("video", "frame").applyInPandas(run, "video string, frame int, ssim double")

@@ -36,7 +36,7 @@ def typed(df: DataFrame, columns: list[tuple[str, str]]) -> DataFrame:
 
 
 def typed_sql(sql: str, columns: list[tuple[str, str]]) -> str:
-    cast = ", ".join(f"round(cast({n} as double), 6) + 0.0 as {n}" if k == "f" else f"cast({n} as {DUCK[k]}) as {n}" for n, k in columns)
+    cast = ", ".join(f'round(cast("{n}" as double), 6) + 0.0 as "{n}"' if k == "f" else f'cast("{n}" as {DUCK[k]}) as "{n}"' for n, k in columns)
     head, _, body = sql.rpartition("\n---\n")
     return f"{head}\nselect {cast} from ({body}) as q"
 
@@ -170,9 +170,9 @@ packets as (select k.frame, k.kind = 'K' as is_keyframe, coalesce(n_runs, 0) as
   from packets join gop_of using (frame))""",
     ),
     "decoded": ("ix pal", "decoded as (select i.frame, i.idx, p.r, p.g, p.b from ix i join pal p on p.palette = 'full' and p.color = i.color)"),
-    "both": ("px decoded", "both as (select frame, idx, a.r as r1, a.g as g1, a.b as b1, d.r as r2, d.g as g2, d.b as b2 from px a join decoded d using (frame, idx))"),
-    "both_chans": ("both", "both_chans as (select frame, r1::double as a, r2::double as b from both union all select frame, g1, g2 from both union all select frame, b1, b2 from both)"),
-    "grays": ("both", "grays as (select frame, (r1 + g1 + b1) / 3.0::double as a, (r2 + g2 + b2) / 3.0::double as b from both)"),
+    "mates": ("px decoded", "mates as (select frame, idx, a.r as r1, a.g as g1, a.b as b1, d.r as r2, d.g as g2, d.b as b2 from px a join decoded d using (frame, idx))"),
+    "both_chans": ("mates", "both_chans as (select frame, r1::double as a, r2::double as b from mates union all select frame, g1, g2 from mates union all select frame, b1, b2 from mates)"),
+    "grays": ("mates", "grays as (select frame, (r1 + g1 + b1) / 3.0::double as a, (r2 + g2 + b2) / 3.0::double as b from mates)"),
     "ssims": (
         "grays",
         """ssims as (select frame, ((2 * ma * mb + 6.5025) * (2 * cov + 58.5225)) / ((ma * ma + mb * mb + 6.5025) * (va + vb + 58.5225)) as ssim
