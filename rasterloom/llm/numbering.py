@@ -1,7 +1,20 @@
-"""Numbers for the pieces of texts, given as they are first seen."""
+"""Numbers for the pieces of texts, given as they are first seen, and what a worker remembers between tasks."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Hashable
+from typing import Any
+
+_slot: dict[Hashable, Any] = {}
+
+
+def remembered(key: Hashable, make: Callable[[], Any]) -> Any:
+    """What make() gave for this key. A worker remembers one thing: another key's goes first, so memory doesn't add up."""
+    if key not in _slot:
+        _slot.clear()
+        _slot[key] = make()
+    return _slot[key]
+
 
 class Numbers(dict):
     """Piece to number; an unknown one gets the next number and is noted in `new`."""

@@ -27,29 +27,51 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shared
+from .numbering import Numbers, remembered
 
 WORD = re.compile(r"[^\W_]+(?:['’*@$0-9][^\W_]+)*")
 LONGEST = 24  # longer words are cut into pieces of this many characters
+ODD, EVEN = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9  # multipliers of the n-gram hash, fixed values
 
 
-def words_of(token: str) -> list[str]:
-    """The words in one white-space token, in lower case."""
-    out = []
-    for w in WORD.findall(token.lower()):
-        out += [w[i : i + LONGEST] for i in range(0, len(w), LONGEST)]
-    return out
+def tokens_of(text: str | None) -> list[str]:
+    return (text or "").lower().split()
 
 
-def grams_of(word: str, shortest: int, longest: int, buckets: int) -> list[int]:
-    """Buckets of the word's n-grams, its ends marked, and of the word itself."""
-    marked = f"<{word}>"
-    grams = [marked[i : i + n] for n in range(shortest, longest + 1) for i in range(len(marked) - n + 1)]
-    return [zlib.crc32(g.encode("utf-8", "surrogatepass")) % buckets for g in [*grams, "=" + marked]]
+def words_of(token: str) -> list[str]:
+    """The words in one lower-cased white-space token."""
+    if len(token) <= LONGEST and token.isalpha():
+        return [token]
+    return [w[i : i + LONGEST] for w in WORD.findall(token) for i in range(0, len(w), LONGEST)]
+
+
+def grams(words: list[str], shortest: int, longest: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(word number, bucket) of every n-gram of the words, their ends marked, and of each whole word."""
+    marked = [f"<{w}>" for w in words]
+    codes = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    sizes = np.fromiter(map(len, marked), np.int64, len(marked))
+    word = np.repeat(np.arange(len(words)), sizes)
+    room = np.cumsum(sizes)[word] - np.arange(len(codes))  # characters from here to the word's end
+    h, owners, buckets = codes.copy(), [], []
+    for n in range(2, longest + 1):
+        h = h[: max(len(codes) - n + 1, 0)] * np.uint64(ODD) + codes[n - 1 :]
+        if n >= shortest:
+            ok = np.flatnonzero(room[: len(h)] >= n)
+            owners.append(word[ok])
+            buckets.append(_bucket(h[ok] + np.uint64(n), bits))
+    owners.append(np.arange(len(words)))
+    buckets.append(_bucket(np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words), np.uint64, len(words)), bits))
+    return np.concatenate(owners), np.concatenate(buckets)
+
+
+def _bucket(h: np.ndarray, bits: int) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(EVEN)
+    return ((h ^ (h >> np.uint64(32))) * np.uint64(ODD) >> np.uint64(64 - bits)).astype(np.int64)
 
 
 @dataclass
 class Model:
-    """weights: what each n-gram bucket adds to the logit of class 1; bias: the logit of an empty text."""
+    """weights: what each of 2**bits n-gram buckets adds to the logit of class 1; bias: the logit of an empty text."""
 
     weights: np.ndarray
     bias: float
@@ -57,11 +79,15 @@ class Model:
     shortest: int
     longest: int
 
-    def word_logit(self, word: str) -> float:
-        return float(self.weights[grams_of(word, self.shortest, self.longest, len(self.weights))].mean())
+    @property
+    def bits(self) -> int:
+        return len(self.weights).bit_length() - 1
 
-    def token_logits(self, token: str) -> tuple[float, ...]:
-        return tuple(self.word_logit(w) for w in words_of(token))
+    def word_logits(self, words: list[str]) -> np.ndarray:
+        if not words:
+            return np.zeros(0)
+        word, bucket = grams(words, self.shortest, self.longest, self.bits)
+        return np.bincount(word, self.weights[bucket], len(words)) / np.bincount(word, minlength=len(words))
 
 
 def window_means(values: np.ndarray, window: int) -> np.ndarray:
@@ -72,23 +98,51 @@ def window_means(values: np.ndarray, window: int) -> np.ndarray:
     return (total[window:] - total[:-window]) / window
 
 
-def score_texts(model: Model, texts: list[str | None], cache: dict[str, tuple[float, ...]], most: int = 300_000) -> np.ndarray:
-    out = np.empty(len(texts))
-    for i, text in enumerate(texts):
-        if len(cache) > most:
-            cache.clear()
-        values: list[float] = []
-        for token in (text or "").split():
-            found = cache.get(token)
-            if found is None:
-                found = cache[token] = model.token_logits(token)
-            values += found
-        out[i] = window_means(np.array(values), model.window).max() if values else 0.0
-    return 1 / (1 + np.exp(-np.clip(out + model.bias, -60, 60)))
+class Scorer:
+    """Scores texts. The first `most` tokens keep their logits, later ones for one call, so memory is bounded."""
+
+    def __init__(self, model: Model, most: int = 200_000):
+        self.model, self.most = model, most
+        self.index = Numbers()
+        self.logit = np.zeros(1 << 16)  # of tokens that are one word; not a number for others
+        self.several: dict[int, np.ndarray] = {}
+
+    def _learn(self, new: list[str]) -> None:
+        while len(self.index) > len(self.logit):
+            self.logit = np.concatenate((self.logit, np.zeros_like(self.logit)))
+        words = [words_of(t) for t in new]
+        logits = self.model.word_logits([w for own in words for w in own])
+        at = 0
+        for token, own in zip(new, words, strict=True):
+            number = self.index[token]
+            self.logit[number] = logits[at] if len(own) == 1 else np.nan
+            if len(own) != 1:
+                self.several[number] = logits[at : at + len(own)]
+            at += len(own)
+
+    def __call__(self, texts: list[str | None]) -> np.ndarray:
+        new, number = self.index.fresh(), self.index.__getitem__
+        rows = []
+        for text in texts:
+            tokens = tokens_of(text)
+            rows.append(np.fromiter(map(number, tokens), np.int64, len(tokens)))
+        self._learn(new)
+        out = np.zeros(len(texts))
+        for i, row in enumerate(rows):
+            values = self.logit[row]
+            if np.isnan(values).any():
+                values = np.concatenate([self.several[n] if n in self.several else self.logit[n : n + 1] for n in row.tolist()])
+            if len(values):
+                out[i] = window_means(values, self.model.window).max()
+        if len(self.index) > self.most:
+            for token in new:
+                self.several.pop(self.index[token], None)
+            self.index.forget(new)
+        return 1 / (1 + np.exp(-np.clip(out + self.model.bias, -60, 60)))
 
 
 def train(
-    texts: list[str | None], labels: list[int], buckets: int = 1 << 18, dim: int = 6, window: int = 2, shortest: int = 3, longest: int = 6,
+    texts: list[str | None], labels: list[int], bits: int = 18, dim: int = 6, window: int = 2, shortest: int = 3, longest: int = 6,
     least: int = 3, bag_rounds: int = 12, window_rounds: int = 120, rate: float = 1.0, decay: float = 1e-8, seed: int = 7,
 ) -> Model:
     """Fit embeddings and softmax on labelled texts; every fourth of them only sets the bias.
@@ -102,14 +156,15 @@ def train(
         return Model(np.zeros(1, np.float32), float(np.log(base / (1 - base))), window, shortest, longest)
     own = y[fitted]
     vocabulary: dict[str, int] = {}
-    docs = [np.array([vocabulary.setdefault(w, len(vocabulary)) for t in (x or "").split() for w in words_of(t)], np.int64) for x, f in zip(texts, fitted, strict=True) if f]
+    docs = [np.array([vocabulary.setdefault(w, len(vocabulary)) for t in tokens_of(x) for w in words_of(t)], np.int64) for x, f in zip(texts, fitted, strict=True) if f]
     vocabulary = vocabulary or {"": 0}
-    grams = [grams_of(w, shortest, longest, buckets) for w in vocabulary]
-    sizes = np.array([len(g) for g in grams])
-    flat = np.fromiter((g for own_grams in grams for g in own_grams), np.int64, int(sizes.sum()))
+    word, flat = grams(list(vocabulary), shortest, longest, bits)
+    order = np.argsort(word, kind="stable")
+    word, flat = word[order], flat[order]
+    sizes = np.bincount(word, minlength=len(vocabulary))
     in_docs = np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=len(vocabulary))
-    common = np.bincount(flat, np.repeat(in_docs, sizes), buckets)[flat] >= least
-    word = np.repeat(np.arange(len(vocabulary)), sizes)[common]
+    common = np.bincount(flat, in_docs[word], 1 << bits)[flat] >= least
+    word = word[common]
     known, flat = np.unique(flat[common], return_inverse=True)
     begins = np.searchsorted(word, np.arange(len(vocabulary) + 1))
     rng = np.random.default_rng(seed)
@@ -151,7 +206,7 @@ def train(
         embed -= rate * to_gram / np.sqrt(slow_e)[:, None]
         soft -= rate * to_soft / np.sqrt(slow_s)
         bias -= rate * to_bias / np.sqrt(slow_b)
-    weights = np.zeros(buckets, np.float32)
+    weights = np.zeros(1 << bits, np.float32)
     weights[known] = embed @ (soft[:, 1] - soft[:, 0])
     model = Model(weights, float(bias[1] - bias[0]), window, shortest, longest)
     rest = [i for i in np.flatnonzero(~fitted)]
@@ -159,14 +214,15 @@ def train(
 
 
 def _calibrated(model: Model, texts: list[str | None], y: np.ndarray) -> Model:
-    """The bias at which a score of 0.5 makes the fewest errors among rows not trained on, in the middle of all such."""
+    """The bias at which a score of 0.5 costs least among rows not trained on, in the middle of all such; a clean text
+    taken for a toxic one costs as much as two toxic ones that are missed."""
     if len(np.unique(y)) < 2:
         return model
     bias, model.bias = model.bias, 0.0
-    s = np.clip(score_texts(model, texts, {}), 1e-15, 1 - 1e-15)
+    s = np.clip(Scorer(model)(texts), 1e-15, 1 - 1e-15)
     logit = np.log(s / (1 - s))
     order = np.argsort(logit, kind="stable")
-    errors = np.concatenate(([0], np.cumsum(np.where(y[order] == 1, 1, -1))))  # with the cut above the first k rows
+    errors = np.concatenate(([0], np.cumsum(np.where(y[order] == 1, 1, -2))))  # with the cut above the first k rows
     best = np.flatnonzero(errors == errors.min())
     best = best[(best > 0) & (best < len(y))]
     if not len(best):
@@ -197,12 +253,19 @@ def held_out(id_col: str) -> F.Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def _scorer(model: Model) -> Scorer:
+    """The worker's scorer of a model."""
+    return remembered(("scorer", model.bias, zlib.crc32(model.weights.tobytes())), lambda: Scorer(model))
+
+
 def _scored(model: Model, n_carry: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, tuple[float, ...]] = {}
+        scorer = _scorer(model)
         for batch in batches:
-            scores = score_texts(model, batch.column(n_carry).to_pylist(), cache)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n_carry], pa.array(scores)], names=[*batch.schema.names[:n_carry], "_score"])
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                scores = scorer(part.column(n_carry).to_pylist())
+                yield pa.RecordBatch.from_arrays([*part.columns[:n_carry], pa.array(scores)], names=[*part.schema.names[:n_carry], "_score"])
 
     return run
 
