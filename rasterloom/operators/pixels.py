@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from ..functions import color as C
 from ..functions.palette import ALIASES, FALLBACK, NAMESPACE, palette_rows
@@ -88,12 +89,17 @@ def by_frame(px: DataFrame) -> DataFrame:
     return px.repartition("video", "frame")
 
 
-ROW, COLUMN = Window.partitionBy("video", "frame", "y").orderBy("x"), Window.partitionBy("video", "frame", "x").orderBy("y")
+def along_row() -> WindowSpec:
+    return Window.partitionBy("video", "frame", "y").orderBy("x")
+
+
+def along_column() -> WindowSpec:
+    return Window.partitionBy("video", "frame", "x").orderBy("y")
 
 
 def box3(df: DataFrame, columns: list[str]) -> DataFrame:
     """Sums over 3x3 neighbourhoods, nothing beyond the border, as <column>_box: a row pass and a column pass."""
-    near = [w.rowsBetween(-1, 1) for w in (ROW, COLUMN)]
+    near = [w.rowsBetween(-1, 1) for w in (along_row(), along_column())]
     out = by_frame(df).withColumns({f"{c}_box": F.sum(c).over(near[0]) for c in columns})
     return out.withColumns({f"{c}_box": F.sum(f"{c}_box").over(near[1]) for c in columns})
 
@@ -120,7 +126,7 @@ def gradient(px: DataFrame) -> DataFrame:
         a, b, here = F.lag("gray").over(w), F.lead("gray").over(w), F.col("gray")
         return F.when(a.isNull() & b.isNull(), 0.0).when(a.isNull(), b - here).when(b.isNull(), here - a).otherwise((b - a) / 2.0)
 
-    own = own.withColumns({"gx": slope(ROW)}).withColumns({"gy": slope(COLUMN)})
+    own = own.withColumns({"gx": slope(along_row())}).withColumns({"gy": slope(along_column())})
     return own.withColumn("edge", F.sqrt(F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy"))).drop("gx", "gy")
 
 
@@ -131,7 +137,7 @@ def sobel_mask(px: DataFrame) -> DataFrame:
     def near(c: str, w, k: int) -> Column:
         return F.coalesce((F.lag(c) if k < 0 else F.lead(c)).over(w), F.lit(0.0))
 
-    own = own.withColumns({"dx": near("luma", ROW, 1) - near("luma", ROW, -1), "sx": near("luma", ROW, -1) + 2 * F.col("luma") + near("luma", ROW, 1)})
-    own = own.withColumns({"gx": near("dx", COLUMN, -1) + 2 * F.col("dx") + near("dx", COLUMN, 1), "gy": near("sx", COLUMN, 1) - near("sx", COLUMN, -1)})
+    own = own.withColumns({"dx": near("luma", along_row(), 1) - near("luma", along_row(), -1), "sx": near("luma", along_row(), -1) + 2 * F.col("luma") + near("luma", along_row(), 1)})
+    own = own.withColumns({"gx": near("dx", along_column(), -1) + 2 * F.col("dx") + near("dx", along_column(), 1), "gy": near("sx", along_column(), 1) - near("sx", along_column(), -1)})
     size = F.sqrt(F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy"))
     return own.withColumn("mask", 1.0 - C.clamp(size / 2.0, 0.0, 1.0)).drop("luma", "dx", "sx", "gx", "gy")

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 START_DELAY, AUDIO_TICKS, WRITES, YIELDS = 5, 200, 4000, 12  # ticks before the first frame, ticks an audio chunk, writes before a yield, yields a tick
-VIDEO = Window.partitionBy("video").orderBy("frame")
+
+
+def of_video() -> WindowSpec:
+    return Window.partitionBy("video").orderBy("frame")
 
 
 def tick_schedule(frames: DataFrame, interval: int = 2) -> DataFrame:
@@ -18,7 +22,7 @@ def tick_budget(writes: DataFrame) -> DataFrame:
     """writes: video, frame, n. Adds yields, ticks that the frame takes, and the tick at which it is done."""
     own = writes.withColumn("yields", F.floor(F.col("n") / (WRITES + 1)))
     own = own.withColumn("ticks", F.ceil((F.col("yields") + 1) / YIELDS))
-    return own.withColumn("done_at", F.sum("ticks").over(VIDEO.rowsBetween(Window.unboundedPreceding, 0)) + START_DELAY)
+    return own.withColumn("done_at", F.sum("ticks").over(of_video().rowsBetween(Window.unboundedPreceding, 0)) + START_DELAY)
 
 
 def audio_chunk(frame: Column, interval: int) -> Column:
@@ -28,12 +32,12 @@ def audio_chunk(frame: Column, interval: int) -> Column:
 def audio_switches(frames: DataFrame, interval: int = 2) -> DataFrame:
     """Frames at which another audio chunk begins."""
     own = frames.withColumn("chunk", audio_chunk(F.col("frame"), interval))
-    return own.withColumn("before", F.lag("chunk").over(VIDEO)).where(F.col("before").isNull() | (F.col("before") != F.col("chunk"))).select("video", "frame", "chunk")
+    return own.withColumn("before", F.lag("chunk").over(of_video())).where(F.col("before").isNull() | (F.col("before") != F.col("chunk"))).select("video", "frame", "chunk")
 
 
 def prefetch(with_gops: DataFrame, ahead: int = 10) -> DataFrame:
     """Adds next_gop, the group of the frame `ahead` later where it is another one."""
-    later = F.lead("gop_id", ahead).over(VIDEO)
+    later = F.lead("gop_id", ahead).over(of_video())
     return with_gops.withColumn("next_gop", F.when(later != F.col("gop_id"), later))
 
 

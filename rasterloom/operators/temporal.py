@@ -4,15 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from . import pixels as P
 
-PIXEL = Window.partitionBy("video", "idx").orderBy("frame")
+
+def of_pixel() -> WindowSpec:
+    return Window.partitionBy("video", "idx").orderBy("frame")
 
 
 def changes(ix: DataFrame) -> DataFrame:
     """Pixels that differ from the frame before; a first frame differs everywhere (prev is -1)."""
-    prev = F.coalesce(F.lag("color").over(PIXEL), F.lit(-1))
+    prev = F.coalesce(F.lag("color").over(of_pixel()), F.lit(-1))
     return ix.withColumn("prev", prev).where(F.col("color") != F.col("prev"))
 
 
@@ -46,7 +49,7 @@ def emitted(ix: DataFrame, interval: int = 30, threshold: float = 0.015) -> Data
 def deltas(ix: DataFrame, kinds: DataFrame) -> DataFrame:
     """Pixels that each sent frame writes: all of a keyframe, else those that differ from the last sent one. Adds kind."""
     sent = ix.join(kinds.where("kind <> 'S'"), ["video", "frame"])
-    prev = F.lag("color").over(PIXEL)
+    prev = F.lag("color").over(of_pixel())
     return sent.withColumn("prev", prev).where((F.col("kind") == "K") | F.col("prev").isNull() | (F.col("color") != F.col("prev"))).drop("prev")
 
 
@@ -54,7 +57,7 @@ def reconstructed(written: DataFrame, frames: DataFrame, n_pixels: int) -> DataF
     """The screen at every frame: each pixel's last write. frames: video, frame."""
     grid = frames.withColumn("idx", F.explode(F.sequence(F.lit(0), F.lit(n_pixels - 1))))
     seen = grid.join(written.select("video", "frame", "idx", "color"), ["video", "frame", "idx"], "left")
-    last = F.last("color", ignorenulls=True).over(PIXEL.rowsBetween(Window.unboundedPreceding, 0))
+    last = F.last("color", ignorenulls=True).over(of_pixel().rowsBetween(Window.unboundedPreceding, 0))
     return seen.withColumn("color", last).where("color is not null")
 
 
@@ -69,7 +72,7 @@ def seek(written: DataFrame, target: int) -> DataFrame:
 
 def with_previous(df: DataFrame, columns: list[str]) -> DataFrame:
     """Adds <column>_before: the pixel one frame earlier; first frames go."""
-    out = df.withColumns({f"{c}_before": F.lag(c).over(PIXEL) for c in columns})
+    out = df.withColumns({f"{c}_before": F.lag(c).over(of_pixel()) for c in columns})
     return out.where(F.col(f"{columns[0]}_before").isNotNull())
 
 

@@ -14,7 +14,7 @@ WRITTEN = "video string, frame int, n_written int, n_changed int"
 
 def windowed(events: DataFrame, length: str = "10 seconds", late: str = "30 seconds") -> DataFrame:
     """Counts and sums by event type in tumbling windows; events later than the watermark are dropped by the stream."""
-    grouped = events.withWatermark("ts", late).groupBy(F.window("ts", length), "event_type")
+    grouped = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", length), "event_type")
     return grouped.agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 

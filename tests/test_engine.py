@@ -142,3 +142,25 @@ def test_windows_over_a_stream(spark, tiny):
     got = {(r["window"]["start"], r["event_type"]): r["n"] for r in spark.table("windows").collect()}
     batch = player.windowed(spark.read.parquet(f"{tiny}/events.parquet"))
     assert got == {(r["window"]["start"], r["event_type"]): r["n"] for r in batch.collect()}
+
+
+def test_screen_state_over_a_stream(spark, tiny, tmp_path):
+    """Writes that arrive in two batches change as many cells as a plain dictionary says."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    writes = temporal_queries.written(spark, tiny).select("video", "frame", "idx", "color")
+    schema = writes.schema
+    writes.where("frame < 5").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = player.played(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
+    run = stream.writeStream.format("memory").queryName("screens").outputMode("append").option("checkpointLocation", str(tmp_path / "state")).start()
+    run.processAllAvailable()
+    writes.where("frame >= 5").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    run.processAllAvailable()
+    run.stop()
+    screen, want = {}, []
+    rows = sorted(map(tuple, writes.collect()))
+    for frame in sorted({r[1] for r in rows}):
+        own = [r for r in rows if r[1] == frame]
+        changed = sum(screen.get(i) != c for _, _, i, c in own)
+        screen |= {i: c for _, _, i, c in own}
+        want.append((frame, len(own), changed))
+    assert sorted((r["frame"], r["n_written"], r["n_changed"]) for r in spark.table("screens").collect()) == want
