@@ -9,9 +9,13 @@
    probability `miss` at most.
 5. In each bucket the smallest id is the leader, and each member is verified with it on whole sets. Links become
    components: union-find inside each partition, then star contraction between partitions.
-6. Buckets that still hold several components get other leaders, a linear number of pairs each round; when few pairs
-   are left, or leaders bring nothing new, every pair of members in different components is verified. So each pair that
-   meets in a bucket is verified or already connected: no cap on partners.
+6. Where buckets still hold several components, members that can't have another link are set aside: shingles that no
+   other such set has lower what two sets can share, and so the similarity they can reach. Groups that share much, but
+   too little, are thus spared from being compared pair by pair. Setting some aside makes more shingles single, so this is
+   done up to `peels` times while it is worth it. If many pairs are left, other leaders follow, a linear number of pairs each.
+7. What is left is verified pair by pair: members of one bucket in different components, once a pair, whose sizes,
+   single shingles and overlap with one set of the bucket, the pivot, allow the threshold. Every step is exact: each pair that meets in a bucket is verified, connected
+   already, or shown to be no link. There is no cap on partners.
 
 Nulls, ties, empties: a null text is an empty one. Rows that share a doc_id are one document: they are in one component.
 A null doc_id takes the component of its equals, null if none of them has an id, and is kept only in that last case.
@@ -29,16 +33,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shared
+from .numbering import remembered
 
 GOLDEN, MIX_A, MIX_B = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB  # splitmix64, fixed values
-CHUNK = 60_000  # shingles that are signed together
+CHUNK = 30_000  # shingles that are signed together
 SIGNED = "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>"
 
 
 class WordHashes(dict):
     """Word to 64-bit hash; emptied when it holds `most` words."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 200_000):
         super().__init__()
         self.most = most
 
@@ -126,7 +131,7 @@ def _signed(k: int, rows: int, n_bands: int):
     slots = rows * n_bands
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordHashes()
+        words = remembered("word hashes", WordHashes)
 
         def emit(ids: list[int | None], sets: list[np.ndarray]) -> pa.RecordBatch:
             sizes = np.array([len(s) for s in sets])
@@ -158,7 +163,7 @@ def _signed(k: int, rows: int, n_bands: int):
 
 def _sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordHashes()
+        words = remembered("word hashes", WordHashes)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
@@ -193,19 +198,21 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([parent[x] for x in part], pa.int64())], ["node", "root"])
 
 
+def _flat(forest: DataFrame) -> bool:
+    """Whether each node hangs on one root and no root hangs on another node."""
+    ends = forest.select(F.col("node").alias("x"), F.lit(1).alias("below")).unionByName(forest.select(F.col("root").alias("x"), F.lit(0).alias("below")).distinct())
+    seen = ends.groupBy("x").agg(F.sum("below").alias("below"), F.count("*").alias("n")).where((F.col("below") > 0) & (F.col("n") > 1))
+    return seen.isEmpty()
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) for each node of a link that isn't its component's smallest, root being that smallest.
 
     Union-find shrinks each partition's links to a forest; large-star and small-star rounds then join the forests until
-    nothing changes. All of it is joins and partial aggregates over links; nothing goes to the driver but two numbers.
+    every tree is flat. All of it is joins and partial aggregates over links; nothing but a yes or no goes to the driver.
     """
     forest = shared.write(links.select(F.col(a).cast("long"), F.col(b).cast("long")).mapInArrow(_forest, "node long, root long"), "forest")
-    state = None
-    while True:
-        now = forest.agg(F.count("*"), F.sum(F.xxhash64("node", "root").cast("decimal(38,0)"))).first()
-        if tuple(now) == state or now[0] == 0:
-            return forest
-        state = tuple(now)
+    while not _flat(forest):
         # large star: each neighbour above a node hangs on the node's smallest neighbour
         both = forest.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(forest.select(F.col("root").alias("u"), F.col("node").alias("v")))
         least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
@@ -217,40 +224,15 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         after = shared.write(least.select("node", F.col("m").alias("root")).unionByName(moved).distinct(), "small-star")
         shared.drop(forest, large)
         forest = after
-
-
-class _Verifier:
-    """Verifies pairs of class representatives on their whole sets, each pair once."""
-
-    def __init__(self, docs: DataFrame, k: int, threshold: float):
-        self.docs, self.k = docs, k
-        self.per_mille = round(threshold * 1000)
-        self.tested: DataFrame | None = None
-        self.links: DataFrame | None = None
-
-    def __call__(self, pairs: DataFrame) -> int:
-        """Add the links among pairs (a < b); how many there were."""
-        pairs = pairs.select("a", "b").distinct()
-        if self.tested is not None:
-            pairs = pairs.join(self.tested, ["a", "b"], "left_anti")
-        pairs = shared.write(pairs, "pairs")
-        self.tested = pairs if self.tested is None else self.tested.unionByName(pairs)
-        needed = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-        sets = shared.write(self.docs.join(needed, "doc_id", "left_semi").mapInArrow(_sets(self.k), "doc_id long, shingles array<long>"), "shingle-sets")
-        joined = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
-        common = F.size(F.array_intersect("x", "y"))
-        union = F.size("x") + F.size("y") - common
-        links = shared.write(joined.where((common > 0) & (common * 1000 >= union * self.per_mille)).select("a", "b"), "links")
-        shared.drop(sets)
-        self.links = links if self.links is None else self.links.unionByName(links)
-        return links.count()
+    return forest
 
 
 def near_dedup(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: float = 0.8, rows: int = 5, miss: float = 1e-6, leader_rounds: int = 6
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: float = 0.8, rows: int = 8, miss: float = 1e-6, peels: int = 3, leader_rounds: int = 2
 ) -> DataFrame:
     """A row for each row of docs: doc_id, n_shingles, component_id (the smallest id reachable) and kept."""
-    n_bands = bands_for(threshold, rows, miss)
+    shared.small_batches(docs.sparkSession)
+    n_bands, per_mille = bands_for(threshold, rows, miss), round(threshold * 1000)
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     signed = shared.write(narrow.mapInArrow(_signed(k, rows, n_bands), SIGNED), "signatures")
 
@@ -258,41 +240,80 @@ def near_dedup(
     classes = with_words.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     classes = shared.write(classes, "classes")
     members = classes.select("rep", "n", F.explode("bands").alias("bucket"))
-    met = members.groupBy("bucket").agg(F.min("rep").alias("leader"), F.max("rep").alias("other")).where("leader < other").select("bucket", "leader")
-    members = shared.write(members.join(met, "bucket"), "buckets")
+    met = members.groupBy("bucket").agg(F.min(F.struct("rep", "n")).alias("first"), F.max("rep").alias("last")).where("first.rep < last")
+    members = shared.write(members.join(met.select("bucket", F.col("first.rep").alias("leader"), F.col("first.n").alias("leader_n")), "bucket"), "buckets")
+    sets = shared.write(narrow.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(_sets(k), "doc_id long, shingles array<long>"), "shingle-sets")
 
     def fits(a: str, b: str) -> F.Column:
         """Sizes that allow the threshold: a necessary condition, so that nothing is lost."""
-        return (F.least(a, b) * 1000) >= (F.greatest(a, b) * round(threshold * 1000))
+        return (F.least(a, b) * 1000) >= (F.greatest(a, b) * per_mille)
 
-    def led(led_members: DataFrame) -> DataFrame:
+    def verified(pairs: DataFrame) -> DataFrame:
+        """Those of the pairs (a, b) whose whole sets reach the threshold, written."""
+        joined = pairs.distinct().join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a")
+        joined = joined.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
+        common = F.size(F.array_intersect("x", "y"))
+        return shared.write(joined.where(common * 1000 >= (F.size("x") + F.size("y") - common) * per_mille).select("a", "b"), "links")
+
+    def led(rows_led: DataFrame) -> DataFrame:
         """Pairs of each member with its bucket's leader."""
-        sizes = led_members.where(F.col("rep") == F.col("leader")).select("bucket", F.col("n").alias("leader_n")).distinct()
-        pairs = led_members.where(F.col("rep") != F.col("leader")).join(sizes, "bucket").where(fits("n", "leader_n"))
+        pairs = rows_led.where((F.col("rep") != F.col("leader")) & fits("n", "leader_n"))
         return pairs.select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b"))
 
-    verify = _Verifier(narrow, k, threshold)
-    verify(led(members))
-    forest = components(verify.links)
-    for turn in range(leader_rounds + 1):
-        placed = members.join(forest.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", "n", F.coalesce("root", "rep").alias("root"))
+    links = verified(led(members))
+    forest = components(links)
+
+    def mixed_members() -> tuple[DataFrame, int, int]:
+        """Members of buckets that hold several components, how many pairs those have across, how many members."""
+        placed = members.join(forest.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", "n", "own", F.coalesce("root", "rep").alias("root"))
         shares = placed.groupBy("bucket", "root").agg(F.count("*").alias("m")).groupBy("bucket").agg(F.count("*").alias("roots"), F.sum("m").alias("all"), F.sum(F.col("m") * F.col("m")).alias("sq"))
-        mixed = shares.where("roots > 1").select("bucket", ((F.col("all") * F.col("all") - F.col("sq")) / 2).alias("pairs"), "all")
-        mixed = shared.write(mixed, "mixed")
+        mixed = shared.write(shares.where("roots > 1").select("bucket", ((F.col("all") * F.col("all") - F.col("sq")) / 2).alias("pairs"), "all"), "mixed")
         left = mixed.agg(F.sum("pairs").alias("pairs"), F.sum("all").alias("all")).first()
         if not left["pairs"]:
-            break
-        placed = shared.write(placed.join(mixed.select("bucket"), "bucket"), "placed")
-        if turn == leader_rounds or left["pairs"] <= 4 * left["all"]:
-            x = placed.select("bucket", F.col("rep").alias("a"), F.col("n").alias("an"), F.col("root").alias("ar"))
-            y = placed.select("bucket", F.col("rep").alias("b"), F.col("n").alias("bn"), F.col("root").alias("br"))
-            verify(x.join(y, "bucket").where((F.col("a") < F.col("b")) & (F.col("ar") != F.col("br")) & fits("an", "bn")))
-            forest = components(verify.links)
-            break
-        lead = placed.groupBy("bucket").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "rep").alias("o"), F.col("rep").alias("leader"), F.col("root").alias("lr"))).alias("s"))
-        lead = placed.join(lead.select("bucket", "s.leader", "s.lr"), "bucket").where((F.col("root") != F.col("lr")) | (F.col("rep") == F.col("leader")))
-        if verify(led(lead)):
-            forest = components(verify.links)
+            return mixed, 0, 0
+        return shared.write(placed.join(mixed.select("bucket"), "bucket"), "placed"), left["pairs"], left["all"]
+
+    def without_lone(placed: DataFrame) -> DataFrame:
+        """placed with own, how many of a set's shingles no other open set has, without members that rules out in a bucket.
+
+        Two sets with similarity t share t / (1 + t) of their sizes' sum, and at most what isn't single in either.
+        """
+        open_reps = placed.select(F.col("rep").alias("doc_id")).distinct()
+        spread = sets.join(open_reps, "doc_id").select("doc_id", F.explode("shingles").alias("shingle"))
+        single = spread.groupBy("shingle").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("other")).where("rep = other").groupBy("rep").agg(F.count("*").alias("single"))
+        counted = placed.drop("own").join(single, "rep", "left").withColumn("own", F.coalesce("single", F.lit(0))).drop("single")
+        least = counted.groupBy("bucket").agg(F.min("n").alias("least"))
+        return counted.join(least, "bucket").where(F.col("n") * 1000 - F.col("own") * (1000 + per_mille) >= F.col("least") * per_mille).select("bucket", "rep", "n", "own")
+
+    members = members.select("bucket", "rep", "n", F.lit(0).cast("long").alias("own"))
+    placed, pairs, n_members = mixed_members()
+    for _ in range(peels):
+        if pairs > 2 * n_members:
+            members = shared.write(without_lone(placed), "open-members")
+            placed, pairs, n_members = mixed_members()
+    for turn in range(leader_rounds):
+        if pairs > 8 * n_members:
+            # one other leader a bucket: a linear number of pairs
+            lead = placed.groupBy("bucket").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "rep").alias("o"), F.col("rep").alias("leader"), F.col("n").alias("leader_n"), F.col("root").alias("lr"))).alias("s"))
+            lead = placed.join(lead.select("bucket", "s.leader", "s.leader_n", "s.lr"), "bucket").where(F.col("root") != F.col("lr"))
+            links = links.unionByName(verified(led(lead)))
+            forest = components(links)
+            placed, pairs, n_members = mixed_members()
+    if pairs:
+        # what each member shares with one set of its bucket bounds what two members share: in it, and outside of it
+        placed = placed.join(placed.groupBy("bucket").agg(F.min("rep").alias("pivot")), "bucket")
+        near = placed.select("rep", "pivot").distinct().join(sets.select(F.col("doc_id").alias("rep"), F.col("shingles").alias("x")), "rep")
+        near = near.join(sets.select(F.col("doc_id").alias("pivot"), F.col("shingles").alias("y")), "pivot").select("rep", "pivot", F.size(F.array_intersect("x", "y")).alias("common"))
+        meets = placed.groupBy("rep").agg(F.collect_set("bucket").alias("meets"))
+        placed = placed.join(near, ["rep", "pivot"]).join(meets, "rep").withColumn("outside", F.greatest(F.col("n") - F.col("common") - F.col("own"), F.lit(0)))
+        x, y = (placed.select("bucket", *[F.col(c).alias(f"{i}_{c}") for c in ("rep", "n", "root", "own", "common", "outside", "meets")]) for i in "ab")
+        needed = (F.col("a_n") + F.col("b_n")) * per_mille
+        shared_enough = ((F.col("a_n") - F.col("a_own")) * (1000 + per_mille) >= needed) & ((F.col("b_n") - F.col("b_own")) * (1000 + per_mille) >= needed)
+        shared_enough &= (F.least("a_common", "b_common") + F.least("a_outside", "b_outside")) * (1000 + per_mille) >= needed
+        once = F.col("bucket") == F.array_min(F.array_intersect("a_meets", "b_meets"))
+        across = x.join(y, "bucket").where((F.col("a_rep") < F.col("b_rep")) & (F.col("a_root") != F.col("b_root")) & fits("a_n", "b_n") & shared_enough & once)
+        links = links.unionByName(verified(across.select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b"))))
+        forest = components(links)
     found = classes.select("s1", "s2", "rep").join(forest.withColumnRenamed("node", "rep"), "rep", "left").select("s1", "s2", F.coalesce("root", "rep").alias("root"))
     own = signed.drop("bands").join(found, ["s1", "s2"], "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("root"))
