@@ -58,14 +58,15 @@ def dither_blue_noise(px: DataFrame, width: int, height: int, spread: float = 64
 
 
 def quantize_oklab(px: DataFrame, name: str = "full") -> DataFrame:
-    """Adds color: the entry nearest in OkLab; the palette is a literal, the pixel's colour is computed once."""
-    entries = F.array(*[F.struct(F.lit(i).alias("color"), *[F.lit(v).alias(n) for v, n in zip(C.oklab_of((r, g, b)), "Lab", strict=True)]) for i, _, _, r, g, b in palette_rows(name)])
-    own = px.withColumn("ok", C.oklab(*rgb()))
+    """Adds color: the entry nearest in OkLab, the first of equals. The palette is literals, the pixel's colour is computed once."""
+    own = px.withColumn("_ok", C.oklab(*rgb())).withColumns({f"_{n}": F.col("_ok")[n] for n in "Lab"})
 
-    def far(p: Column) -> Column:
-        return sum(((F.col("ok")[n] - p[n]) * (F.col("ok")[n] - p[n]) for n in "ab"), (F.col("ok")["L"] - p["L"]) * (F.col("ok")["L"] - p["L"]))
+    def far(ink: tuple[float, float, float]) -> Column:
+        parts = [(F.col(f"_{n}") - v) * (F.col(f"_{n}") - v) for n, v in zip("Lab", ink, strict=True)]
+        return F.round(parts[1] + parts[2] + parts[0], 12)
 
-    return own.withColumn("color", F.array_min(F.transform(entries, lambda p: F.struct(F.round(far(p), 12).alias("d"), p["color"].alias("color"))))["color"]).drop("ok")
+    own = own.withColumn("_d", F.array(*[far(C.oklab_of(row[3:])) for row in palette_rows(name)]))
+    return own.withColumn("color", (F.array_position("_d", F.array_min("_d")) - 1).cast("int")).drop("_ok", "_L", "_a", "_b", "_d")
 
 
 def quantize_rgb(px: DataFrame, name: str = "full") -> DataFrame:
