@@ -106,5 +106,30 @@ from j group by doc_id
 """
 
 
+OP1_SQL = """
+with p as (select page_id, coalesce(html, '') as payload from pages),
+t as (select payload, max(page_id) as top from p where strlen(payload) >= 1000 group by payload)
+select page_id, cast(strlen(p.payload) as bigint) as payload_bytes, sha1(p.payload) as payload_digest,
+  case when page_id <> top then 'revisit' else 'response' end as record_type, case when page_id <> top then top end as refers_to
+from p left join t on p.payload = t.payload
+"""
+
+OP3_SQL = """
+with recursive words as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w
+  from documents),
+spots as (select doc_id, w, unnest(range(case when len(w) = 0 then 0 else greatest(len(w) - 2, 1) end)) as i from words),
+sets as (select distinct doc_id, array_to_string(list_slice(w, i + 1, i + 3), ' ') as shingle from spots),
+sizes as (select doc_id, count(*) as n from sets group by doc_id),
+pairs as (select a.doc_id as a, b.doc_id as b, count(*) as c from sets a join sets b on a.shingle = b.shingle and a.doc_id <> b.doc_id group by 1, 2),
+links as (select a, b from pairs join sizes x on x.doc_id = a join sizes y on y.doc_id = b where 100 * c >= 85 * (x.n + y.n - c)),
+reach(doc_id, other) as (select a, b from links union select r.doc_id, l.b from reach r join links l on l.a = r.other),
+found as (select doc_id, min(other) as least from reach group by doc_id)
+select d.doc_id, coalesce(n, 0) as n_shingles, least(d.doc_id, coalesce(f.least, d.doc_id)) as component_id,
+  least(d.doc_id, coalesce(f.least, d.doc_id)) = d.doc_id as kept
+from documents d left join sizes s on s.doc_id = d.doc_id left join found f on f.doc_id = d.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_license_scan": licenses.sql(), "op8_line_dedup": OP8_SQL}
+    return {"op1_warc": OP1_SQL, "op3_minhash_near_dedup": OP3_SQL, "op4_license_scan": licenses.sql(), "op8_line_dedup": OP8_SQL}
