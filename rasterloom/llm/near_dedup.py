@@ -36,7 +36,7 @@ from . import shared
 from .numbering import remembered
 
 GOLDEN, MIX_A, MIX_B = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB  # splitmix64, fixed values
-CHUNK = 30_000  # shingles that are signed together
+CHUNK = 20_000  # shingles that are signed together
 SIGNED = "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>"
 
 
@@ -123,8 +123,13 @@ def band_hashes(sig: np.ndarray, rows: int) -> np.ndarray:
     return total
 
 
+def rows_for(threshold: float) -> int:
+    """Slots a band: as many as keep a pair at the threshold in about 27 % of the bands, so that pairs far below meet in few."""
+    return max(1, round(math.log(0.27) / math.log(threshold))) if threshold < 1 else 16
+
+
 def bands_for(threshold: float, rows: int, miss: float) -> int:
-    return math.ceil(math.log(miss) / math.log1p(-(threshold**rows)))
+    return math.ceil(math.log(miss) / math.log1p(-(threshold**rows))) if threshold < 1 else 1
 
 
 def _signed(k: int, rows: int, n_bands: int):
@@ -228,10 +233,11 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 
 def near_dedup(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: float = 0.8, rows: int = 8, miss: float = 1e-6, peels: int = 3, leader_rounds: int = 2
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: float = 0.8, rows: int | None = None, miss: float = 1e-6, peels: int = 3, leader_rounds: int = 2
 ) -> DataFrame:
     """A row for each row of docs: doc_id, n_shingles, component_id (the smallest id reachable) and kept."""
     shared.small_batches(docs.sparkSession)
+    rows = rows or rows_for(threshold)
     n_bands, per_mille = bands_for(threshold, rows, miss), round(threshold * 1000)
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     signed = shared.write(narrow.mapInArrow(_signed(k, rows, n_bands), SIGNED), "signatures")

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Callable, Hashable
 from typing import Any
 
+import pyarrow as pa
+
 _slot: dict[Hashable, Any] = {}
 
 
@@ -12,10 +17,19 @@ def remembered(key: Hashable, make: Callable[[], Any]) -> Any:
     """What make() gave for this key. A worker remembers one thing: another key's goes first, so memory doesn't add up."""
     if key not in _slot:
         _slot.clear()
+        give_back()
         _slot[key] = make()
     return _slot[key]
 
 
+def give_back() -> None:
+    """Return freed memory to the system; a worker that serves one stage after another otherwise keeps the most of each."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 class Numbers(dict):
     """Piece to number; an unknown one gets the next number and is noted in `new`."""
 

@@ -20,7 +20,6 @@ from __future__ import annotations
 import json
 import os
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shared
-from .numbering import Numbers
+from .numbering import Numbers, remembered
 
 PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary, part int, cls int, local_rank long"
 
@@ -54,7 +53,7 @@ class WordIds:
 
     LETTERS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"  # the cut that the short cuts rely on, a fixed value
 
-    def __init__(self, path: str, most: int = 250_000):
+    def __init__(self, path: str, most: int = 200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import CharDelimiterSplit
@@ -150,10 +149,9 @@ class WordIds:
         return out
 
 
-@cache
 def word_ids(path: str) -> WordIds:
     """One for each worker and tokenizer."""
-    return WordIds(path)
+    return remembered(("word ids", path), lambda: WordIds(path))
 
 
 def _pieces(path: str, end_id: int, capacity: int, grain: int):

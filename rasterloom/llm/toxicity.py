@@ -158,14 +158,21 @@ def train(
     vocabulary: dict[str, int] = {}
     docs = [np.array([vocabulary.setdefault(w, len(vocabulary)) for t in tokens_of(x) for w in words_of(t)], np.int64) for x, f in zip(texts, fitted, strict=True) if f]
     vocabulary = vocabulary or {"": 0}
-    word, flat = grams(list(vocabulary), shortest, longest, bits)
-    order = np.argsort(word, kind="stable")
-    word, flat = word[order], flat[order]
-    sizes = np.bincount(word, minlength=len(vocabulary))
     in_docs = np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=len(vocabulary))
-    common = np.bincount(flat, in_docs[word], 1 << bits)[flat] >= least
-    word = word[common]
-    known, flat = np.unique(flat[common], return_inverse=True)
+    listed, seen, sizes = list(vocabulary), np.zeros(1 << bits), np.zeros(len(vocabulary), np.int64)
+    parts = range(0, len(listed), 10_000)  # in parts, to bound memory
+    for at in parts:
+        word, bucket = grams(listed[at : at + 10_000], shortest, longest, bits)
+        seen += np.bincount(bucket, in_docs[at + word], 1 << bits)
+        sizes[at : at + 10_000] = np.bincount(word)
+    kept: list[tuple[np.ndarray, np.ndarray]] = []
+    for at in parts:
+        word, bucket = grams(listed[at : at + 10_000], shortest, longest, bits)
+        common = np.flatnonzero(seen[bucket] >= least)
+        common = common[np.argsort(word[common], kind="stable")]
+        kept.append(((at + word[common]).astype(np.int32), bucket[common].astype(np.int32)))
+    word, flat = (np.concatenate(x) for x in zip(*kept, strict=True))
+    known, flat = np.unique(flat, return_inverse=True)
     begins = np.searchsorted(word, np.arange(len(vocabulary) + 1))
     rng = np.random.default_rng(seed)
     embed, soft, bias = rng.normal(0, 0.1, (len(known), dim)), rng.normal(0, 0.1, (dim, 2)), np.zeros(2)
@@ -280,6 +287,6 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", carry: tuple[st
     return out.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)], F.col("_score").alias(out_col))
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 1500, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 1200, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     shared.small_batches(docs.sparkSession)
     return train(*gather_rows(docs, labels, most_rows, id_col, text_col, label_col))
