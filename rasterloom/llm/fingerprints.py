@@ -42,6 +42,12 @@ def suffix(canon: Column) -> Column:
     return F.concat(F.lit("-"), F.sha2(canon, 512))
 
 
+def same_row(h: str) -> Column:
+    """Whether a row's text has the hash in column h. Not an equality of two sides, which would become a join key and
+    shuffle the texts once more, by both keys."""
+    return F.xxhash64("text").bitwiseXOR(F.col(h)) == 0
+
+
 def collisions(texts: DataFrame, prints: DataFrame) -> DataFrame:
     """(doc_id, h) of the rows whose canonical form isn't that of their bucket's leader.
 
@@ -53,7 +59,7 @@ def collisions(texts: DataFrame, prints: DataFrame) -> DataFrame:
     heads = leaders.select(F.col("leader.doc_id").alias("doc_id"), F.col("leader.h").alias("want"), "fingerprint")
 
     def with_text(rows: DataFrame, name: str) -> DataFrame:
-        found = texts.join(rows, "doc_id").where(F.xxhash64("text") == F.col("want"))
+        found = texts.join(rows, "doc_id").where(same_row("want"))
         return found.select("doc_id", F.col("want").alias("h"), "fingerprint", canonical(F.col("text")).alias(name))
 
     lead = with_text(heads, "lead").dropDuplicates(["fingerprint"]).select("fingerprint", "lead")
@@ -62,7 +68,10 @@ def collisions(texts: DataFrame, prints: DataFrame) -> DataFrame:
 
 def prepared(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """(doc_id, text) of all rows, and the written table of doc_id, h, n_chars and plain fingerprint."""
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    # without an alias where none is needed: an alias in one branch alone would keep plans from sharing one shuffle of the texts
+    plain = id_col == "doc_id" and docs.schema[id_col].dataType.simpleString() == "bigint"
+    own_id = F.col(id_col) if plain else F.col(id_col).cast("long").alias("doc_id")
+    texts = docs.select(own_id, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     prints = texts.select("doc_id", F.xxhash64("text").alias("h"), F.length("text").cast("long").alias("n_chars"), wide_hash(canonical(F.col("text"))).alias("fingerprint"))
     return texts, shared.write(prints, "fingerprints")
 
@@ -71,7 +80,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """A row for each row of docs: doc_id, fingerprint, group_id (the smallest id with that fingerprint), group_size."""
     texts, prints = prepared(docs, id_col, text_col)
     bad = collisions(texts.where("doc_id is not null"), prints).distinct().withColumn("bad", F.lit(True))
-    canon = texts.join(bad, "doc_id").where(F.xxhash64("text") == F.col("h")).select("doc_id", "h", suffix(canonical(F.col("text"))).alias("more")).distinct()
+    canon = texts.join(bad, "doc_id").where(same_row("h")).select("doc_id", "h", suffix(canonical(F.col("text"))).alias("more")).distinct()
     full = prints.join(canon, ["doc_id", "h"], "left").select("doc_id", F.concat("fingerprint", F.coalesce("more", F.lit(""))).alias("fingerprint"))
     sizes = full.groupBy("fingerprint").agg(F.min("doc_id").alias("group_id"), F.count("*").alias("group_size"))
     return full.join(sizes, "fingerprint").select("doc_id", "fingerprint", "group_id", "group_size")
@@ -108,7 +117,7 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     links = shared.write(order.join(one.select("doc_id", F.floor(F.col("most") / 4).alias("need")), "doc_id").join(of_next, "next_id"), "links")
 
     wanted = links.select(F.col("doc_id").alias("for_id"), F.col("next_id").alias("doc_id"), "next_h", "next_fingerprint", "need")
-    heads = known.join(wanted, "doc_id").where(F.xxhash64("text") == F.col("next_h"))
+    heads = known.join(wanted, "doc_id").where(same_row("next_h"))
     heads = heads.select(F.col("for_id").alias("doc_id"), F.expr("substring(text, 1, cast(need as int))").alias("head"), "next_fingerprint")
     heads = heads.groupBy("doc_id").agg(F.min("head").alias("head"), F.min("next_fingerprint").alias("next_fingerprint"))  # rows of one id and hash are equal
     bad = collisions(known, prints).groupBy("doc_id").agg(F.collect_set("h").alias("bad"))
