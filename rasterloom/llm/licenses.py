@@ -5,6 +5,9 @@ spellings made one, runs of space made one. The SHA-256 of the result is looked
 hash join; known texts go through the same columns. Units are whole documents and, for notices inside documents, whole
 lines; a text that only contains part of a known one doesn't match.
 
+Before that, texts without any of a few letter sequences go by unread: each known text holds one of them in every
+spelling that normalises to it, so a text that holds none can't match. A table of known texts without them isn't filtered.
+
 The known texts are a fixed table, a few dozen rows, which is why that side is broadcast. Documents are never grouped by
 licence, so it doesn't matter how many hold the same one.
 
@@ -35,6 +38,7 @@ SPELLINGS = (
     (r"\bcreative commons attribution noncommercial\b", "cc by nc"),
     (r"\bgnu gpl\b", "gnu general public license"),
 )
+ANCHORS = ("licen", "permission", "cc", "creative")  # in lower case; no spelling above, no white space and no punctuation breaks them
 COPYRIGHT_LINE = r"^[ \t]*(?:copyright[ \t]+(?:\(c\)|©|by\b|[0-9])|\(c\)|©)[^\n]*"  # with ^ at each \n
 
 # Known texts, fixed values: short notices and the texts of short licences
@@ -123,13 +127,25 @@ def registry(spark: SparkSession, known: tuple[tuple[str, str], ...] = KNOWN) ->
 
 
 
+def may_match(text: Column, known: tuple[tuple[str, str], ...]) -> Column:
+    """Whether a text holds a letter sequence that every spelling of every known text has one of."""
+    if not all(any(a in body.lower() for a in ANCHORS) for _, body in known):
+        return F.lit(True)
+    low = F.lower(text)
+    out = F.contains(low, F.lit(ANCHORS[0]))
+    for anchor in ANCHORS[1:]:
+        out = out | F.contains(low, F.lit(anchor))
+    return out
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known: tuple[tuple[str, str], ...] = KNOWN) -> DataFrame:
     """A row for each row of docs: doc_id, license_id (of the whole text, or null), notices (ids of its lines, sorted,
     joined by commas, empty if none) and n_notices, how many lines match."""
     table = F.broadcast(registry(docs.sparkSession, known))
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    whole = texts.select("doc_id", digest(F.col("text")).alias("digest")).join(table, "digest", "left").select("doc_id", "license_id")
-    lines = texts.select("doc_id", F.explode(F.split("text", "\n")).alias("line")).select("doc_id", digest(F.col("line")).alias("digest"))
+    possible = may_match(F.col("text"), known)
+    whole = texts.select("doc_id", F.when(possible, digest(F.col("text"))).alias("digest")).join(table, "digest", "left").select("doc_id", "license_id")
+    lines = texts.where(possible).select("doc_id", F.explode(F.split("text", "\n")).alias("line")).where(may_match(F.col("line"), known)).select("doc_id", digest(F.col("line")).alias("digest"))
     found = lines.join(table.withColumnRenamed("license_id", "notice"), "digest")
     found = found.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set("notice")), ",").alias("notices"), F.count("*").alias("n_notices"))
     found = found.withColumnRenamed("doc_id", "found_id")
