@@ -303,7 +303,8 @@ def extract(
     """A row for each row of pages: page_id, url, text."""
     shared.small_batches(pages.sparkSession)
     low = importance(pages, gamma, url_col, html_col).where((F.col("n_pages") >= least_pages) & (F.col("importance") < threshold))
-    low = low.groupBy(F.col("host").alias("low_host")).agg(F.collect_list("node").alias("low"))
+    # written, so that its size is known when the join is planned: small ones are broadcast, others shuffled
+    low = shared.write(low.groupBy(F.col("host").alias("low_host")).agg(F.collect_list("node").alias("low")), "low-nodes")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     joined = rows.join(low, host_of(F.col("url")) == F.col("low_host"), "left").select("page_id", "url", "html", "low")
     return joined.mapInArrow(_extracted, "page_id long, url string, text string")
