@@ -36,10 +36,12 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def nearest_rgb(r: Column, g: Column, b: Column, name: str = "full") -> Column:
     """The palette index with the smallest squared distance, the lowest of equals.
 
-    No join and no array: distance * 128 + index, whose least is taken in generated code. Palettes have 112 entries at most.
+    No join and no array: (distance - |pixel|^2) * 128 + index is linear in the channels, and its least is taken in generated
+    code. Doubles hold it exactly and need no overflow checks, which keeps the code small enough to be compiled.
     """
-    ranks = [((r - x) * (r - x) + (g - y) * (g - y) + (b - z) * (b - z)) * 128 + c for c, _, _, x, y, z in palette_rows(name)]
-    return (F.least(*ranks) % 128).cast("int")
+    x, y, z = (F.coalesce(c.cast("double"), F.lit(0.0)) for c in (r, g, b))
+    ranks = [F.lit(128.0 * (p * p + q * q + s * s) + c) - x * (256.0 * p) - y * (256.0 * q) - z * (256.0 * s) for c, _, _, p, q, s in palette_rows(name)]
+    return F.pmod(F.least(*ranks), F.lit(128.0)).cast("int")
 
 
 def indexed(spark: SparkSession, sf_dir: str, name: str = "full") -> DataFrame:
