@@ -150,8 +150,9 @@ def by_number(source: Column, names: tuple[str, ...] = ("web", "news", "books",
     return F.element_at(F.array(*map(F.lit, names)), F.when(place.between(0, len(names) - 1), place.cast("int") + 1))
 
 
+# Unlisted and null values weigh as much as the least named one of their level
 PRODUCTION = Weights(
-    domain={"web": 0.4, "news": 0.3, "books": 0.2, "forums": 0.1},
-    lang={"en": 0.4, "fr": 0.2, "de": 0.2, "es": 0.2},
-    source={f"src{i}": 1.0 for i in range(20)},
+    domain={"web": 0.4, "news": 0.3, "books": 0.2, "forums": 0.1, "other": 0.1},
+    lang={"en": 0.4, "fr": 0.2, "de": 0.2, "es": 0.2, "other": 0.2},
+    source={**{f"src{i}": 1.0 for i in range(20)}, "other": 1.0},
 )

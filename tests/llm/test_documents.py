@@ -307,3 +307,13 @@ def test_mix_of_odd_rows(spark):
     got = mixing.mix(odd_docs(spark), everything, mixing.by_number(F.col("source")), share=1.0, max_epochs=1).collect()
     assert sum(r["n_tokens"] for r in got) == sum(len(re.findall(r"\S+", r[1] or "", re.ASCII)) for r in odd_rows())
     assert mixing.mix(no_docs(spark), everything, mixing.by_number(F.col("source"))).count() == 0
+
+
+def test_unlisted_and_null_leaves_share_the_production_budget(spark):
+    rows = [(i, "two words", lang, source) for i, (lang, source) in enumerate([("en", "src0"), ("en", "blog"), ("it", "src7"), (None, "src12"), ("fr", None), ("de", "src25"), (None, None)])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = mixing.mix(docs, mixing.PRODUCTION, mixing.by_number(F.col("source")), share=1.0, max_epochs=1).collect()
+    assert sorted(r["doc_id"] for r in got) == [r[0] for r in rows]
+    hot = spark.range(400).select(F.col("id").alias("doc_id"), F.lit("two words").alias("text"), F.lit("en").alias("lang"), F.when(F.col("id") < 300, "crawl").otherwise("src0").alias("source"))
+    got = mixing.mix(hot, mixing.PRODUCTION, mixing.by_number(F.col("source")), share=0.6, max_epochs=1).collect()
+    assert sum(r["n_tokens"] for r in got) == 480 and len({r["doc_id"] for r in got if r["source"] == "other"}) == 140
