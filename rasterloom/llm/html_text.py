@@ -8,6 +8,10 @@ is under `threshold` are removed from each page: they say the same everywhere. W
 serves hosts with few pages: scripts, forms, navigation and elements whose role, class or id names page furniture go; the
 text is taken from article elements if there are any, else from main, else from the body.
 
+A name alone removes no branch with more than half of the text of the page, article or main that it is in (comments may
+have more), and no text where nothing else is left. Words like "no" and "has" before it undo a name; in a heading only a
+whole name counts, and in an article or main the words that articles use of themselves don't.
+
 Statistics are partial aggregates by (host, node, value), so that a host with a third of all pages is spread over its
 values; a host gets back a list of its low nodes only, joined to its pages like any skewed join.
 
@@ -50,6 +54,10 @@ FURNITURE = {
     "comment", "comments", "commentlist", "disqus", "replies", "reply", "respond", "discussion", "share", "sharing", "social", "related", "recommended", "recommendations", "trending", "tags",
     "search", "searchbox", "form", "hidden", "noprint",
 }
+COMMENTS = {"comment", "comments", "commentlist", "disqus", "replies", "reply", "respond"}  # often longer than the page's own text
+OWN_WORDS = {"header", "discussion", "form", "notice", "notices", "notification", "alert", "search", "rail", "consent", "copyright", "promotion", "subscription"}  # in an article, its own parts too
+UNDONE = {"no", "not", "has", "with", "without"}  # "has-banner" is said of what is around a banner
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 KEEP = {"html", "body", "article", "main"}
 ATTRIBUTE = re.compile(r"""([^\s=>"'/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^"]*"|'[^']*')*+)>""")
@@ -138,17 +146,55 @@ def _implied(node: Node, tag: str) -> Node:
     return out if at.parent is not None else node if out is node else out
 
 
-def furniture(node: Node) -> bool:
-    """Whether an element is page furniture by its tag or by the words of its role, class and id."""
-    if node.tag in GONE:
+def removed(node: Node) -> bool:
+    """Whether an element is page furniture by its tag or hidden."""
+    if node.tag in GONE or node.tag == "header":
         return True
     attrs = node.attrs
     if not attrs or node.tag in KEEP:
-        return node.tag == "header"
-    if "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "").lower():
-        return True
-    named = re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{attrs.get('class', '')} {attrs.get('id', '')} {attrs.get('role', '')}").lower()
-    return node.tag == "header" or not FURNITURE.isdisjoint(WORDS.findall(named))
+        return False
+    return "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "").lower()
+
+
+def names(node: Node, inside: bool) -> set[str]:
+    """The words of an element's role, class and id that name page furniture. inside: in an article or main."""
+    found: set[str] = set()
+    if not node.attrs:
+        return found
+    for name in f"{node.attrs.get('class', '')} {node.attrs.get('id', '')} {node.attrs.get('role', '')}".split():
+        words = WORDS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower())
+        if len(words) > 1 and (words[0] in UNDONE or node.tag in HEADINGS):
+            continue
+        found.update(FURNITURE.intersection(words))
+    return found - OWN_WORDS if inside else found
+
+
+class Sizes:
+    """How many characters of text each branch of a page has, without white space and what is removed; counted when first asked for."""
+
+    def __init__(self, root: Node, low: set[int]):
+        self.root, self.low, self.known = root, low, {}
+
+    def of(self, node: Node) -> int:
+        if not self.known:
+            order, stack = [], [self.root]
+            while stack:
+                x = stack.pop()
+                order.append(x)
+                stack += [c for c in x.children if isinstance(c, Node)]
+            for x in reversed(order):
+                own = sum(len("".join(c.split())) if isinstance(c, str) else 0 if removed(c) or c.path in self.low else self.known[id(c)] for c in x.children)
+                self.known[id(x)] = own
+        return self.known[id(node)]
+
+    def furniture(self, node: Node, top: Node, by_name: bool = True) -> bool:
+        """Whether an element of top, which is the page or an article or main, is page furniture."""
+        if removed(node):
+            return True
+        if not by_name or node.tag in KEEP:
+            return False
+        found = names(node, top is not self.root)
+        return bool(found) and (not found.isdisjoint(COMMENTS) or 2 * self.of(node) <= self.of(top))
 
 
 def has(node: Node, tags: tuple[str, ...]) -> bool:
@@ -165,17 +211,17 @@ def is_main(node: Node) -> bool:
     return node.tag == "main" or node.attrs.get("role") == "main"
 
 
-def roots_of(root: Node, low: set[int]) -> list[Node]:
+def roots_of(root: Node, low: set[int], sizes: Sizes, by_name: bool) -> list[Node]:
     """Where the text is: outermost articles that aren't furniture, else main elements, else the whole page."""
     articles, mains, stack = [], [], [root]
     while stack:
         x = stack.pop()
-        if x is not root and (x.path in low or x.tag != "article" and furniture(x)) and not has(x, ("article", "main")):
-            continue
-        if x.tag == "article" and FURNITURE.isdisjoint(WORDS.findall(f"{x.attrs.get('class', '')} {x.attrs.get('id', '')}".lower())):
-            articles.append(x)
+        if x is not root and (x.path in low or x.tag != "article" and sizes.furniture(x, root, by_name)) and not has(x, ("article", "main")):
             continue
         if x.tag == "article":
+            found = names(x, False) if by_name else set()
+            if not found or found.isdisjoint(COMMENTS) and 2 * sizes.of(x) > sizes.of(root):
+                articles.append(x)
             continue
         if is_main(x):
             mains.append(x)
@@ -188,11 +234,15 @@ def main_text(page: str | None, low: set[int] = frozenset()) -> str:
     if not page:
         return ""
     root = parse(page)
-    out = _text(roots_of(root, low), low)
-    return out or (_text(roots_of(root, set()), set()) if low else "")
+    for gone, by_name in ((low, True), (frozenset(), True), (frozenset(), False)):
+        sizes = Sizes(root, gone)
+        out = _text(roots_of(root, gone, sizes, by_name), gone, sizes, by_name)
+        if out:
+            break
+    return out
 
 
-def _text(roots: list[Node], low: set[int]) -> str:
+def _text(roots: list[Node], low: set[int], sizes: Sizes, by_name: bool) -> str:
     blocks: list[str] = []
     now: list[str] = []
 
@@ -211,7 +261,7 @@ def _text(roots: list[Node], low: set[int]) -> str:
                 end()
             elif isinstance(x, str):
                 now.append(x)
-            elif x is not top and (x.path in low or furniture(x) and not (inside and x.tag == "header")) and not has(x, ("article", "main")):
+            elif x is not top and (x.path in low or sizes.furniture(x, top, by_name) and not (inside and x.tag == "header")) and not has(x, ("article", "main")):
                 if x.tag in BLOCK:
                     end()
             elif x.tag == "br":

@@ -180,6 +180,22 @@ def test_main_text(page, want):
     assert html_text.main_text(page) == want
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        *((f"<body><div id=page class='{c}'><p>story</p><div class=ad>x</div></div></body>", "story") for c in ("content no-sidebar", "has-banner", "header-fixed", "related-layout", "menu")),
+        ("<article><p>one</p><section class=discussion>two</section><h2 class=section-header>three</h2><div class=form-factor>four</div><div class=share>x</div></article>", "one\n\ntwo\n\nthree\n\nfour"),
+        ("<article><div class=related-layout><p>long enough</p></div><p>end</p></article>", "long enough\n\nend"),
+        ("<article class='post tag-social'>a long story</article><article class=comment>b</article>", "a long story"),
+        ("<div><p>short</p></div><div class=comments><p>a long talk about it</p></div>", "short"),
+        ("<body><div class=alert>closed</div><div class=notice>opened</div></body>", "closed\n\nopened"),
+        ("<body><nav>n</nav><div class=widget>only text</div></body>", "only text"),
+    ],
+)
+def test_names_alone_take_no_main_text(page, want):
+    assert html_text.main_text(page) == want
+
+
 def test_site_style_tree(spark):
     """A host whose furniture has no telling names is learned from its pages; a small host is left to structure."""
     def page(n, host):
