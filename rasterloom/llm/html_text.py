@@ -3,8 +3,10 @@
 Each page is parsed tolerantly into a tree. Nodes of the pages of one host are merged by their path of tags, classes and
 ids. For each merged node two entropies over the host's distinct pages, each divided by the log of their number, tell how
 much it varies: of its branch's content, and of its presentation, the sequence of its children's styles. Its importance
-is gamma times the first plus (1 - gamma) times the second. Branches seen on `least_pages` pages or more whose importance
-is under `threshold` are removed from each page: they say the same everywhere. What is left is read by structure, which also
+is gamma times the first plus (1 - gamma) times the second. A node is low if it is on `least_pages` pages or more and its
+importance is under `threshold`; its repeated contents are those that `repeated` of its pages, and two at least, have. A
+low node's branch is removed from pages on which its content is a repeated one, and never inside of an article or main
+whose text is taken. What is left is read by structure, which also
 serves hosts with few pages: scripts, forms, navigation and elements whose role, class or id names page furniture go; the
 text is taken from article elements if there are any, else from main, else from the body.
 
@@ -13,7 +15,8 @@ have more), and no text where nothing else is left. Words like "no" and "has" be
 whole name counts, and in an article or main the words that articles use of themselves don't.
 
 Statistics are partial aggregates by (host, node, value), so that a host with a third of all pages is spread over its
-values; a host gets back a list of its low nodes only, joined to its pages like any skewed join.
+values; a host gets back a list of its low nodes with 1 / `repeated` contents each at most, joined to its pages like any
+skewed join.
 
 Nulls, ties, empties: a null or empty html has an empty text. A null or odd url has the host "". Repeated rows count once
 in the statistics and come back each. If a host's low branches hold all of a page's text, the page keeps it. An empty
@@ -173,7 +176,7 @@ class Sizes:
     """How many characters of text each branch of a page has, without white space and what is removed; counted when first asked for."""
 
     def __init__(self, root: Node, low: set[int]):
-        self.root, self.low, self.known = root, low, {}
+        self.root, self.low, self.known = root, low, {}  # low: paths that go from this page
 
     def of(self, node: Node) -> int:
         if not self.known:
@@ -229,12 +232,13 @@ def roots_of(root: Node, low: set[int], sizes: Sizes, by_name: bool) -> list[Nod
     return articles or mains[:1] or [root]
 
 
-def main_text(page: str | None, low: set[int] = frozenset()) -> str:
-    """The page's main text: blocks in page order, two line ends between them."""
+def main_text(page: str | None, low: set[tuple[int, int]] = frozenset()) -> str:
+    """The page's main text: blocks in page order, two line ends between them. low: pairs of a low node and a repeated content."""
     if not page:
         return ""
     root = parse(page)
-    for gone, by_name in ((low, True), (frozenset(), True), (frozenset(), False)):
+    here = {path for path, (content, _) in features(root).items() if (path, content) in low} if low else set()
+    for gone, by_name in ((here, True), (frozenset(), True), (frozenset(), False)):
         sizes = Sizes(root, gone)
         out = _text(roots_of(root, gone, sizes, by_name), gone, sizes, by_name)
         if out:
@@ -253,7 +257,7 @@ def _text(roots: list[Node], low: set[int], sizes: Sizes, by_name: bool) -> str:
         now.clear()
 
     for top in roots:
-        inside = top.tag in ("article", "main")
+        inside, whole = top.tag in ("article", "main"), top is sizes.root
         stack: list = [top]
         while stack:
             x = stack.pop()
@@ -261,7 +265,7 @@ def _text(roots: list[Node], low: set[int], sizes: Sizes, by_name: bool) -> str:
                 end()
             elif isinstance(x, str):
                 now.append(x)
-            elif x is not top and (x.path in low or sizes.furniture(x, top, by_name) and not (inside and x.tag == "header")) and not has(x, ("article", "main")):
+            elif x is not top and (whole and x.path in low or sizes.furniture(x, top, by_name) and not (inside and x.tag == "header")) and not has(x, ("article", "main")):
                 if x.tag in BLOCK:
                     end()
             elif x.tag == "br":
@@ -275,8 +279,8 @@ def _text(roots: list[Node], low: set[int], sizes: Sizes, by_name: bool) -> str:
     return "\n\n".join(blocks)
 
 
-def features(page: str | None) -> dict[int, tuple[int, int]]:
-    """For each merged node of a page: hashes of its branch's content and of its children's styles."""
+def features(root: Node) -> dict[int, tuple[int, int]]:
+    """For each merged node of a page's tree: hashes of its branch's content and of its children's styles."""
     content: dict[int, xxhash.xxh3_64] = {}
     styles: dict[int, xxhash.xxh3_64] = {}
 
@@ -306,10 +310,13 @@ def features(page: str | None) -> dict[int, tuple[int, int]]:
                 stack[-1][2].append(done)
         return done
 
-    note(parse(page or ""))
+    note(root)
     return {path: (content[path].intdigest(), styles[path].intdigest()) for path in content}
 
 
+MASK = (1 << 64) - 1
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
@@ -319,7 +326,7 @@ def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cols: list[list] = [[], [], [], [], []]
         for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             whole = _signed(xxhash.xxh3_64_intdigest((page or "").encode("utf-8", "surrogatepass")))
-            for path, (content, style) in features(page).items():
+            for path, (content, style) in features(parse(page or "")).items():
                 for col, x in zip(cols, (host, whole, _signed(path), _signed(content), _signed(style)), strict=True):
                     col.append(x)
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if i == 0 else pa.int64()) for i, c in enumerate(cols)], ["host", "page", "node", "content", "style"])
@@ -327,7 +334,8 @@ def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = [main_text(page, {x & (1 << 64) - 1 for x in low or ()}) for page, low in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+        lows = ({(x["node"] & MASK, value & MASK) for x in low or () for value in x["values"]} for low in batch.column(3).to_pylist())
+        texts = [main_text(page, low) for page, low in zip(batch.column(2).to_pylist(), lows, strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
 
@@ -335,26 +343,28 @@ def host_of(url: F.Column) -> F.Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1), F.lit("")))
 
 
-def importance(pages: DataFrame, gamma: float = 0.9, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """The merged nodes of each host: host, node, n_pages (distinct pages that have it), importance."""
+def importance(pages: DataFrame, gamma: float = 0.9, repeated: float = 0.01, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """The merged nodes of each host: host, node, n_pages (distinct pages that have it), importance, values (its repeated contents)."""
     rows = pages.select(host_of(F.col(url_col).cast("string")).alias("host"), F.col(html_col).cast("string").alias("html"))
     nodes = rows.mapInArrow(_nodes, "host string, page long, node long, content long, style long").distinct()
     spread = nodes.select("host", "page", "node", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("content").alias("value")), F.struct(F.lit(1).alias("kind"), F.col("style").alias("value")))).alias("x"))
     counts = spread.groupBy("host", "node", "x.kind", "x.value").agg(F.count("*").alias("c"))
     entropy = F.log(F.sum("c")) - F.sum(F.col("c") * F.log("c")) / F.sum("c")
-    by_kind = counts.groupBy("host", "node", "kind").agg(F.sum("c").alias("n"), entropy.alias("h"))
+    again = F.collect_list(F.when((F.col("kind") == 0) & (F.col("c") > 1), F.struct("c", "value")))
+    by_kind = counts.groupBy("host", "node", "kind").agg(F.sum("c").alias("n"), entropy.alias("h"), again.alias("again"))
+    by_kind = by_kind.withColumn("values", F.expr(f"transform(filter(again, x -> x.c >= {repeated} * n), x -> x.value)")).drop("again")
     share = F.when(F.col("n") > 1, F.greatest(F.col("h") / F.log("n"), F.lit(0.0))).otherwise(1.0) * F.when(F.col("kind") == 0, gamma).otherwise(1 - gamma)
-    return by_kind.groupBy("host", "node").agg(F.max("n").alias("n_pages"), F.sum(share).alias("importance"))
+    return by_kind.groupBy("host", "node").agg(F.max("n").alias("n_pages"), F.sum(share).alias("importance"), F.flatten(F.collect_list("values")).alias("values"))
 
 
 def extract(
-    pages: DataFrame, threshold: float = 0.3, gamma: float = 0.9, least_pages: int = 8, id_col: str = "page_id", url_col: str = "url", html_col: str = "html"
+    pages: DataFrame, threshold: float = 0.3, gamma: float = 0.9, least_pages: int = 8, repeated: float = 0.01, id_col: str = "page_id", url_col: str = "url", html_col: str = "html"
 ) -> DataFrame:
     """A row for each row of pages: page_id, url, text."""
     shared.small_batches(pages.sparkSession)
-    low = importance(pages, gamma, url_col, html_col).where((F.col("n_pages") >= least_pages) & (F.col("importance") < threshold))
+    low = importance(pages, gamma, repeated, url_col, html_col).where((F.size("values") > 0) & (F.col("n_pages") >= least_pages) & (F.col("importance") < threshold))
     # written, so that its size is known when the join is planned: small ones are broadcast, others shuffled
-    low = shared.write(low.groupBy(F.col("host").alias("low_host")).agg(F.collect_list("node").alias("low")), "low-nodes")
+    low = shared.write(low.groupBy(F.col("host").alias("low_host")).agg(F.collect_list(F.struct("node", "values")).alias("low")), "low-nodes")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     joined = rows.join(low, host_of(F.col("url")) == F.col("low_host"), "left").select("page_id", "url", "html", "low")
     return joined.mapInArrow(_extracted, "page_id long, url string, text string")

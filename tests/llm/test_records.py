@@ -212,6 +212,19 @@ def test_site_style_tree(spark):
     assert html_text.extract(pages.where("false")).count() == 0
 
 
+def test_titles_of_near_copies_stay(spark):
+    """Most of a host's pages are near copies with one title: it is no furniture in articles, and other titles never are."""
+    def page(n, tag):
+        title = "one title" if n < 90 else f"title {n}"
+        return f"<html><body><div><em>call us</em></div><{tag}><h1>{title}</h1><p>text {n}</p></{tag}></body></html>"
+
+    rows = [(n, f"https://a.example/{n}", page(n, "article")) for n in range(100)] + [(1000 + n, f"https://b.example/{n}", page(n, "section")) for n in range(100)]
+    text = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).collect()}
+    assert all(text[n] == f"{'one title' if n < 90 else f'title {n}'}\n\ntext {n}" for n in range(100))
+    assert all(text[1000 + n] == f"title {n}\n\ntext {n}" for n in range(90, 100))
+    assert all(text[1000 + n] == f"text {n}" for n in range(90))
+
+
 # --- packing
 
 
