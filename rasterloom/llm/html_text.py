@@ -215,8 +215,9 @@ def is_main(node: Node) -> bool:
 
 
 def roots_of(root: Node, low: set[int], sizes: Sizes, by_name: bool) -> list[Node]:
-    """Where the text is: outermost articles that aren't furniture, else main elements, else the whole page."""
+    """Where the text is: outermost articles that aren't furniture, else outermost main elements, else the whole page."""
     articles, mains, stack = [], [], [root]
+    within: set[int] = set()  # nodes in a main
     while stack:
         x = stack.pop()
         if x is not root and (x.path in low or x.tag != "article" and sizes.furniture(x, root, by_name)) and not has(x, ("article", "main")):
@@ -226,10 +227,13 @@ def roots_of(root: Node, low: set[int], sizes: Sizes, by_name: bool) -> list[Nod
             if not found or found.isdisjoint(COMMENTS) and 2 * sizes.of(x) > sizes.of(root):
                 articles.append(x)
             continue
-        if is_main(x):
+        if is_main(x) and id(x) not in within:
             mains.append(x)
-        stack += [c for c in reversed(x.children) if isinstance(c, Node)]
-    return articles or mains[:1] or [root]
+        own = [c for c in reversed(x.children) if isinstance(c, Node)]
+        if id(x) in within or is_main(x):
+            within.update(map(id, own))
+        stack += own
+    return articles or mains or [root]
 
 
 def main_text(page: str | None, low: set[tuple[int, int]] = frozenset()) -> str:

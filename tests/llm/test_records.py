@@ -190,6 +190,7 @@ def test_main_text(page, want):
         ("<div><p>short</p></div><div class=comments><p>a long talk about it</p></div>", "short"),
         ("<body><div class=alert>closed</div><div class=notice>opened</div></body>", "closed\n\nopened"),
         ("<body><nav>n</nav><div class=widget>only text</div></body>", "only text"),
+        ("<main>a<div role=main>b</div></main><p>x</p><div><main>c</main></div><div role=main>d</div>", "a\n\nb\n\nc\n\nd"),
     ],
 )
 def test_names_alone_take_no_main_text(page, want):
