@@ -8,7 +8,7 @@ lines; a text that only contains part of a known one doesn't match.
 Before that, texts without any of a few letter sequences go by unread: each known text holds one of them in every
 spelling that normalises to it, so a text that holds none can't match. A table of known texts without them isn't filtered.
 
-The known texts are a fixed table, a few dozen rows, which is why that side is broadcast. Documents are never grouped by
+The known texts are a fixed table of some thousand short rows once they are digests, which is why that side is broadcast. Documents are never grouped by
 licence, so it doesn't matter how many hold the same one.
 
 Nulls, ties, empties: a null or empty text, and any that normalises to nothing, matches nothing. Rows that share a doc_id
@@ -17,6 +17,9 @@ share their notices. Equal lines count each. An empty table gives an empty table
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,7 +41,7 @@ SPELLINGS = (
     (r"\bcreative commons attribution noncommercial\b", "cc by nc"),
     (r"\bgnu gpl\b", "gnu general public license"),
 )
-ANCHORS = ("licen", "permission", "cc", "creative")  # in lower case; no spelling above, no white space and no punctuation breaks them
+ANCHORS = ("licen", "permission", "cc", "creative", "redistribut", "gpl", "bsd")  # in lower case; no spelling above, no white space and no punctuation breaks them
 COPYRIGHT_LINE = r"^[ \t]*(?:copyright[ \t]+(?:\(c\)|©|by\b|[0-9])|\(c\)|©)[^\n]*"  # with ^ at each \n
 
 # Known texts, fixed values: short notices and the texts of short licences
@@ -100,7 +103,81 @@ ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CO
 THIS SOFTWARE.""",
     ),
 )
-KNOWN = (*NOTICES, *FULL_TEXTS)
+# How notices begin, and what they call the licences
+STARTS = tuple(
+    f"{start} under" for start in ("Licensed", "Released", "Distributed", "Published", "Available", *(f"This {what} is {how}" for what in ("project", "work", "software", "code", "program", "library", "package", "file") for how in ("licensed", "released", "distributed", "available")))
+)
+NAMES = {
+    "MIT": ("MIT License", "MIT"),
+    "ISC": ("ISC License", "ISC"),
+    "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD License", "0BSD License", "0BSD"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "2-Clause BSD License", "Simplified BSD License", "BSD-2-Clause License", "BSD-2-Clause", 'BSD 2-Clause "Simplified" License', "FreeBSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "3-Clause BSD License", "New BSD License", "Modified BSD License", "Revised BSD License", "BSD-3-Clause", 'BSD 3-Clause "New" or "Revised" License'),
+    "Zlib": ("zlib License", "zlib/libpng License", "zlib"),
+    "Unlicense": ("Unlicense", "Unlicense License"),
+    "BSL-1.0": ("Boost Software License, Version 1.0", "Boost Software License 1.0", "Boost Software License - Version 1.0", "BSL-1.0"),
+    "Apache-2.0": ("Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 License", "Apache-2.0 License", "Apache 2.0", "Apache License v2.0"),
+    "MPL-2.0": ("Mozilla Public License, Version 2.0", "Mozilla Public License 2.0", "MPL 2.0", "MPL-2.0 License"),
+    "GPL-2.0": ("GNU General Public License, version 2", "GNU General Public License version 2.0", "GNU GPL 2.0", "GPLv2", "GPL-2.0", "GPL-2.0-only"),
+    "GPL-3.0": ("GNU General Public License, version 3", "GNU General Public License version 3.0", "GNU GPL 3.0", "GPLv3", "GPL-3.0", "GPL-3.0-only"),
+    "LGPL-3.0": ("GNU Lesser General Public License, version 3", "LGPLv3", "LGPL-3.0", "LGPL-3.0-only"),
+    "AGPL-3.0": ("GNU Affero General Public License, version 3", "AGPLv3", "AGPL-3.0", "AGPL-3.0-only"),
+    "CC-BY-4.0": ("CC BY 4.0", "Creative Commons Attribution 4.0 International License"),
+    "CC-BY-SA-4.0": ("CC BY-SA 4.0", "Creative Commons Attribution-ShareAlike 4.0 International License"),
+    "CC-BY-NC-4.0": ("CC BY-NC 4.0", "Creative Commons Attribution-NonCommercial 4.0 International License"),
+    "CC-BY-ND-4.0": ("CC BY-ND 4.0", "Creative Commons Attribution-NoDerivatives 4.0 International License"),
+    "CC0-1.0": ("CC0 1.0", "CC0 1.0 Universal"),
+}
+FOLDER = Path(__file__).parent / "license_texts"  # whole texts, one file each, read on the driver
+
+
+def anchored(body: str) -> bool:
+    return any(a in body.lower() for a in ANCHORS)
+
+
+def notices() -> list[tuple[str, str]]:
+    """Sentences that name a licence, and SPDX lines; those without an anchor aren't known."""
+    out = []
+    for license_id, called in NAMES.items():
+        rights = [f"{the}{name}" for name in called for the in ("", "the ", "the terms of the ")]
+        out += [(license_id, f"{start} {right}.") for start in STARTS for right in rights]
+        out += [(license_id, f"SPDX-License-Identifier: {x}") for x in (license_id, *(n for n in called if n.endswith("-only")))]
+    out += [("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License");'), ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at http://www.boost.org/LICENSE_1_0.txt)")]
+    return [x for x in out if anchored(x[1])]
+
+
+def whole_texts() -> list[tuple[str, str]]:
+    """Whole texts with and without their title, "All rights reserved", numbers of clauses and appendix."""
+    files = {f: (FOLDER / f"{f}.txt").read_text(encoding="utf-8") for f in ("Apache-2.0", "BSD-3-Clause", "BSD-3-Clause-Regents", "BSL-1.0", "GPL-2.0", "GPL-3.0", "MPL-2.0", "Unlicense", "Zlib")}
+    bodies = list(FULL_TEXTS)
+    bodies += [("ISC", dict(FULL_TEXTS)["ISC"].replace("and/or", "and"))]
+    for name in ("BSD-3-Clause", "BSD-3-Clause-Regents"):
+        third = re.compile(r"\n3\. Neither.*?permission\.\n", re.S)
+        bodies += [("BSD-3-Clause", files[name]), ("BSD-2-Clause", third.sub("\n", files[name]))]
+    bodies += [("Zlib", files["Zlib"]), ("Unlicense", files["Unlicense"]), ("Unlicense", files["Unlicense"].partition("For more information")[0]), ("Unlicense", files["Unlicense"].replace("http://unlicense.org", "http://www.unlicense.org"))]
+    bodies += [("BSL-1.0", files["BSL-1.0"].partition("2003")[2])]
+    titles = {i: ["", *(f"{the}{n}" for n in called for the in ("", "The ") if n != i or i == "Unlicense")] for i, called in NAMES.items()}
+    titles["MIT"].append("The MIT License (MIT)")
+    titles["BSL-1.0"].append("Boost Software License - Version 1.0 - August 17th, 2003")
+    out = []
+    for license_id, body in bodies:
+        for form in dict.fromkeys((body, re.sub(r"(?m)^\s*[0-9]\.\s+", "", body))):
+            out += [(license_id, f"{title}\n\n{reserved}{form}") for title in titles[license_id] for reserved in ("", "All rights reserved.\n\n")]
+    apache, end = files["Apache-2.0"], "END OF TERMS AND CONDITIONS"
+    terms, _, appendix = apache.partition(end)
+    header = appendix[appendix.index("Licensed under") :]
+    out += [("Apache-2.0", x) for x in (apache, terms, terms + end, re.sub(r"Copyright \[yyyy\][^\n]*", "", apache), header)]
+    out += [("Apache-2.0", x.partition("http://www.apache.org/licenses/")[2]) for x in (terms, terms + end)]
+    for license_id, mark in (("GPL-2.0", "How to Apply These Terms"), ("GPL-3.0", "How to Apply These Terms"), ("MPL-2.0", "Exhibit A -")):
+        text = files[license_id]
+        before = text[: text.rindex(mark)]
+        out += [(license_id, text), (license_id, before), (license_id, before.replace(end, ""))]
+    source_form = dict((i, n) for i, n in NOTICES)["MPL-2.0"] + " If a copy of the MPL was not distributed with this file, You can obtain one at "
+    out += [("MPL-2.0", f"{source_form}{url}") for url in ("http://mozilla.org/MPL/2.0/.", "http://www.mozilla.org/MPL/2.0/.")]
+    return list(dict.fromkeys(out))
+
+
+KNOWN = tuple(dict.fromkeys((*NOTICES, *notices(), *whole_texts())))
 
 
 def canonical(text: Column) -> Column:
@@ -129,7 +206,7 @@ def registry(spark: SparkSession, known: tuple[tuple[str, str], ...] = KNOWN) ->
 
 def may_match(text: Column, known: tuple[tuple[str, str], ...]) -> Column:
     """Whether a text holds a letter sequence that every spelling of every known text has one of."""
-    if not all(any(a in body.lower() for a in ANCHORS) for _, body in known):
+    if not all(anchored(body) for _, body in known):
         return F.lit(True)
     low = F.lower(text)
     out = F.contains(low, F.lit(ANCHORS[0]))

@@ -219,6 +219,19 @@ def test_licences(spark):
     assert sum(r["license_id"] == "none" for r in own.collect()) == 1
 
 
+def test_whole_texts_and_usual_notices_of_common_licences(spark):
+    texts = {f: (licenses.FOLDER / f"{f}.txt").read_text() for f in ("Apache-2.0", "BSD-3-Clause", "BSL-1.0", "GPL-2.0", "GPL-3.0", "MPL-2.0", "Unlicense", "Zlib")}
+    assert all(licenses.anchored(body) for _, body in licenses.KNOWN)
+    two = re.sub(r"3\. Neither.*?permission\.", "", texts["BSD-3-Clause"], flags=re.S)
+    rows = [*texts.items(), ("BSD-2-Clause", "BSD 2-Clause License\n\nCopyright (c) 2020, Someone\nAll rights reserved.\n\n" + two.replace("1. ", "* ").replace("2. ", "* "))]
+    rows += [("BSD-3-Clause", "Copyright (c) 2020 X. All rights reserved.\n" + texts["BSD-3-Clause"].replace("HOLDER OR", "OWNER OR")), ("MIT", "MIT License\n\nCopyright (c) 2020 X\n\n" + dict(licenses.FULL_TEXTS)["MIT"])]
+    rows += [("Zlib", "zlib License\n\n(C) 2020 X\n\n" + " ".join(texts["Zlib"].split())), ("BSL-1.0", texts["BSL-1.0"].partition("2003")[2]), ("Unlicense", texts["Unlicense"].replace("http:", "https:"))]
+    rows += [("BSD-3-Clause", "Licensed under the BSD 3-Clause License."), ("GPL-3.0", "Released under the GNU GPL, v3"), ("MIT", "// SPDX-License-Identifier: MIT"), ("0BSD", "Available under 0BSD"), (None, two + "\nand more")]
+    docs = spark.createDataFrame([(n, t) for n, (_, t) in enumerate(rows)], "doc_id long, text string")
+    got = {r["doc_id"]: r["license_id"] for r in licenses.scan(docs).collect()}
+    assert [got[n] for n in range(len(rows))] == [i for i, _ in rows]
+
+
 # --- toxicity
 
 
