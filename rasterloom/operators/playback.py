@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 from pyspark.sql.window import WindowSpec
 
 START_DELAY, AUDIO_TICKS, WRITES, YIELDS = 5, 200, 4000, 12  # ticks before the first frame, ticks an audio chunk, writes before a yield, yields a tick
@@ -41,20 +45,31 @@ def prefetch(with_gops: DataFrame, ahead: int = 10) -> DataFrame:
     return with_gops.withColumn("next_gop", F.when(later != F.col("gop_id"), later))
 
 
+def _walked(size: int):
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        video, held, begun = None, [], False
+        for batch in batches:
+            hits: list[bool | None] = []
+            for own, gop in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if not begun or own != video:
+                    video, held, begun = own, [], True
+                hit = gop is not None and gop in held
+                hits.append(True if hit else None if gop is None or None in held else False)
+                if not hit:
+                    held = [gop, *held][:size]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hits, pa.bool_())], ["video", "at", "gop_id", "hit"])
+
+    return walk
+
+
 def cache_hits(requests: DataFrame, size: int = 4) -> DataFrame:
     """requests: video, at, gop_id. Adds hit under a first-in-first-out cache: a hit does not renew its entry.
 
-    A fold over a video's requests in order.
+    One pass over a video's requests in order, which holds the cache and a batch of rows.
     """
-    listed = requests.groupBy("video").agg(F.array_sort(F.collect_list(F.struct("at", "gop_id"))).alias("s"))
-    start = F.struct(F.array().cast("array<bigint>").alias("held"), F.array().cast("array<struct<at:bigint,gop_id:bigint,hit:boolean>>").alias("out"))
-
-    def step(state: Column, r: Column) -> Column:
-        hit = F.array_contains(state["held"], r["gop_id"])
-        held = F.when(hit, state["held"]).otherwise(F.slice(F.concat(F.array(r["gop_id"]), state["held"]), 1, size))
-        return F.struct(held.alias("held"), F.concat(state["out"], F.array(F.struct(r["at"].alias("at"), r["gop_id"].alias("gop_id"), hit.alias("hit")))).alias("out"))
-
-    return listed.select("video", F.inline(F.aggregate("s", start, step, lambda s: s["out"])))
+    own = requests.select("video", F.col("at").cast("bigint").alias("at"), F.col("gop_id").cast("bigint").alias("gop_id"))
+    ordered = own.repartition("video").sortWithinPartitions("video", "at", "gop_id")
+    return ordered.mapInArrow(_walked(size), StructType([*own.schema, StructField("hit", BooleanType())]))
 
 
 def neighbour_videos(catalog: DataFrame) -> DataFrame:

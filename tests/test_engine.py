@@ -12,6 +12,7 @@ from rasterloom.functions import codec as K
 from rasterloom.functions import color as C
 from rasterloom.functions.palette import PALETTES
 from rasterloom.operators import kernels, metrics, runs
+from rasterloom.operators import playback as Y
 from rasterloom.operators import temporal as T
 from rasterloom.plans import temporal_queries, wire_queries
 from rasterloom.sources import containers
@@ -164,3 +165,18 @@ def test_screen_state_over_a_stream(spark, tiny, tmp_path):
         screen |= {i: c for _, _, i, c in own}
         want.append((frame, len(own), changed))
     assert sorted((r["frame"], r["n_written"], r["n_changed"]) for r in spark.table("screens").collect()) == want
+
+
+def test_cache_of_all_events_in_one_pass(spark):
+    """Every event of the largest scale, in one video and in seven, against a loop; no array holds a video's requests."""
+    events = spark.read.parquet("/root/testdata/sf0.1/events.parquet").select(F.lit("v0").alias("video"), F.col("event_id").alias("at"), (F.col("user_id") % 7).alias("gop_id"))
+    both = events.unionByName(events.withColumn("video", F.concat(F.lit("w"), (F.col("at") % 7).cast("string"))))
+    df = Y.cache_hits(both, 4)
+    assert "collect_list" not in df._jdf.queryExecution().optimizedPlan().toString()
+    want, held = [], {}
+    for video, at, gop in sorted(map(tuple, both.collect())):
+        cache = held.setdefault(video, [])
+        want.append((video, at, gop, gop in cache))
+        if gop not in cache:
+            held[video] = [gop, *cache][:4]
+    assert len(want) == 200_000 and sorted(map(tuple, df.select("video", "at", "gop_id", "hit").collect())) == want
