@@ -1,34 +1,42 @@
 """Main text of web pages by site style trees.
 
-Each page is parsed tolerantly into a tree. Nodes of the pages of one host are merged by their path of tags, classes and
-ids. For each merged node two entropies over the host's distinct pages, each divided by the log of their number, tell how
-much it varies: of its branch's content, and of its presentation, the sequence of its children's styles. Its importance
-is gamma times the first plus (1 - gamma) times the second. A node is low if it is on `least_pages` pages or more and its
-importance is under `threshold`; its repeated contents are those that `repeated` of its pages, and two at least, have. A
-low node's branch is removed from pages on which its content is a repeated one, and never inside of an article or main
-whose text is taken. What is left is read by structure, which also
-serves hosts with few pages: scripts, forms, navigation and elements whose role, class or id names page furniture go; the
-text is taken from article elements if there are any, else from main, else from the body.
+Each page is parsed tolerantly into a tree. Nodes of the distinct pages of one host are merged by their path of tags,
+classes and ids. Two entropies over the m pages that have a merged node, each divided by log m, tell how much it varies:
+a content's is that of its spread over pages, so that what each page has weighs nothing and what one page has weighs
+1; a node's presentation is that of the sequences of its children's styles. A branch's importance on a page is gamma
+times the mean importance of its texts, by length, plus (1 - gamma) times its node's presentation. A branch of an importance
+under `threshold` goes, unless it holds more than half of what is the page's own (the sum of length times importance): then
+it is a frame around the main text, and its parts are judged. Nodes on fewer than `least_pages` pages and contents on
+fewer than `repeated` of a node's pages count as unknown, importance 1. The tree takes nothing from inside of an
+article or main element, but decides which articles are the page's.
+
+What the tree can't tell, as menus, adverts and comments differ from page to page and hosts may be small, is read by structure:
+scripts, forms, navigation and elements whose role, class or id names page furniture go. Text is taken from outermost
+articles if there are any, else from main elements, else from the body; articles and mains in low or named branches are
+taken only where there are no others, those in asides, footers or comments not at all, wherever they stand.
 
 A name alone removes no branch with more than half of the text of the page, article or main that it is in (comments may
-have more), and no text where nothing else is left. Words like "no" and "has" before it undo a name; in a heading only a
-whole name counts, and in an article or main the words that articles use of themselves don't.
+have more, if they hold no main or first heading), and no text where nothing else is left. Words like "no" and "has"
+before it undo a name; in a heading only a whole name counts. Words that articles use of themselves count outside of articles
+only, and only for nodes that the tree doesn't know.
 
 Statistics are partial aggregates by (host, node, value), so that a host with a third of all pages is spread over its
-values; a host gets back a list of its low nodes with 1 / `repeated` contents each at most, joined to its pages like any
-skewed join.
+values; a host gets back 1 / `repeated` contents a text of a page at most, joined to its pages like any skewed join.
+Parsing and reading take time in proportion to a page's length, whatever its nesting.
 
 Nulls, ties, empties: a null or empty html has an empty text. A null or odd url has the host "". Repeated rows count once
 in the statistics and come back each. If a host's low branches hold all of a page's text, the page keeps it. An empty
-table gives an empty table.
+table gives an empty table. Extra columns aren't read, whatever their names.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -39,7 +47,7 @@ from . import shared
 # Elements by how they are read, fixed values
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"}
-GONE = RAW | {"head", "noscript", "template", "object", "svg", "math", "canvas", "audio", "video", "map", "button", "select", "datalist", "dialog", "menu", "nav", "aside", "footer", "form", "input", "label", "option"}
+GONE = RAW | {"head", "noscript", "template", "object", "svg", "canvas", "audio", "video", "map", "button", "select", "datalist", "dialog", "menu", "nav", "aside", "footer", "form", "input", "option"}
 BLOCK = {
     "address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form",
     "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td",
@@ -69,22 +77,54 @@ WORDS = re.compile(r"[a-z]+")
 
 
 class Node:
-    """An element: children are nodes and texts in page order."""
+    """An element: children are nodes and texts in page order. Sizes are set by Page."""
 
-    __slots__ = ("tag", "attrs", "children", "parent", "path")
+    __slots__ = ("tag", "attrs", "children", "path", "size", "own", "weight", "holds", "titled", "low")
 
-    def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None):
-        self.tag, self.attrs, self.children, self.parent = tag, attrs, [], parent
+    def __init__(self, tag: str, attrs: dict[str, str], above: int):
+        self.tag, self.attrs, self.children = tag, attrs, []
         style = f"{tag}.{' '.join(sorted(attrs.get('class', '').split()))}#{attrs.get('id', '')}"
         style = re.sub(r"\d+", "0", style) if len(style) > len(tag) + 2 else style
-        self.path = xxhash.xxh3_64_intdigest(style.encode("utf-8", "surrogatepass"), parent.path if parent else 0)
+        self.path = xxhash.xxh3_64_intdigest(style.encode("utf-8", "surrogatepass"), above)
+        self.size, self.own, self.weight, self.holds, self.titled, self.low = 0, 0.0, 0, False, False, False
+
+
+class Open:
+    """The open elements, and where in their list those of each tag are, so that no end tag has to search."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.places, self.blocks = [root], {}, []
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.nodes))
+        if node.tag in BLOCK or node.tag == "button":
+            self.blocks.append(len(self.nodes))
+        self.nodes.append(node)
+
+    def cut(self, place: int) -> None:
+        """Close the element at a place and all in it."""
+        while len(self.nodes) > place:
+            self.places[self.nodes.pop().tag].pop()
+            if self.blocks and self.blocks[-1] == len(self.nodes):
+                self.blocks.pop()
+
+    def last(self, tag: str) -> int:
+        """The place of the innermost one, 0 if there is none."""
+        own = self.places.get(tag)
+        return own[-1] if own else 0
+
+    def first(self, tags: set[str], after: int) -> int:
+        """The place of the outermost one of some tags behind a place, 0 if there is none."""
+        found = [own[i] for own in (self.places.get(t, []) for t in tags) if (i := bisect_right(own, after)) < len(own)]
+        return min(found, default=0)
 
 
 def parse(page: str) -> Node:
     """The tree of a page. Unclosed elements close where HTML closes them; stray end tags and broken tags are passed over."""
-    root = node = Node("#root", {}, None)
-    pos, n = 0, len(page)
+    root = Node("#root", {}, 0)
+    pos, n, opened = 0, len(page), Open(root)
     while pos < n:
+        node = opened.nodes[-1]
         at = page.find("<", pos)
         if at < 0:
             at = n
@@ -109,14 +149,19 @@ def parse(page: str) -> Node:
             continue
         pos, tag = found.end(), found[2].lower()
         if found[1]:
-            node = _closed(node, tag)
+            place = opened.last(tag)
+            if place:
+                opened.cut(place)
             continue
         attrs = {k.lower(): entities.unescape(a or b or c) for k, a, b, c in reversed(ATTRIBUTE.findall(found[3]))} if found[3].strip(" /") else {}
-        if tag in CLOSES_P:
-            node = _closed(node, "p", stop=("table", "td", "th", "button"), inner=True)
+        if tag in CLOSES_P and opened.blocks and opened.nodes[opened.blocks[-1]].tag == "p":  # only a p that is open right here
+            opened.cut(opened.blocks[-1])
         if tag in SAME_CLOSES:
-            node = _implied(node, tag)
-        own = Node(tag, attrs, node)
+            place = opened.first(SAME_CLOSES[tag], max(map(opened.last, SCOPE[tag])))
+            if place:
+                opened.cut(place)
+        node = opened.nodes[-1]
+        own = Node(tag, attrs, node.path)
         node.children.append(own)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, pos)
@@ -124,31 +169,10 @@ def parse(page: str) -> Node:
             close = page.find(">", end.start()) if end else -1
             pos = close + 1 if close >= 0 else n
         elif tag not in VOID:
-            node = own
+            opened.push(own)
     return root
 
 
-def _closed(node: Node, tag: str, stop: tuple[str, ...] = (), inner: bool = False) -> Node:
-    """The node after an end tag: the parent of the nearest open element of that name, or node itself if there is none."""
-    at = node
-    while at.parent is not None and at.tag not in stop:
-        if at.tag == tag:
-            return at.parent
-        if inner and at.tag in BLOCK:  # only a p that is open right here closes by itself
-            return node
-        at = at.parent
-    return node
-
-
-def _implied(node: Node, tag: str) -> Node:
-    at, out = node, node
-    while at.parent is not None and at.tag not in SCOPE[tag]:
-        if at.tag in SAME_CLOSES[tag]:
-            out = at.parent
-        at = at.parent
-    return out if at.parent is not None else node if out is node else out
-
-
 def removed(node: Node) -> bool:
     """Whether an element is page furniture by its tag or hidden."""
     if node.tag in GONE or node.tag == "header":
@@ -172,85 +196,102 @@ def names(node: Node, inside: bool) -> set[str]:
     return found - OWN_WORDS if inside else found
 
 
-class Sizes:
-    """How many characters of text each branch of a page has, without white space and what is removed; counted when first asked for."""
+Site = dict[int, float]  # what a host's pages tell: importance by content (content_key) and by node (path), where it is known
 
-    def __init__(self, root: Node, low: set[int]):
-        self.root, self.low, self.known = root, low, {}  # low: paths that go from this page
 
-    def of(self, node: Node) -> int:
-        if not self.known:
-            order, stack = [], [self.root]
-            while stack:
-                x = stack.pop()
-                order.append(x)
-                stack += [c for c in x.children if isinstance(c, Node)]
-            for x in reversed(order):
-                own = sum(len("".join(c.split())) if isinstance(c, str) else 0 if removed(c) or c.path in self.low else self.known[id(c)] for c in x.children)
-                self.known[id(x)] = own
-        return self.known[id(node)]
+def content_key(path: int, text: str) -> int:
+    """A text, white space aside, of the node it stands in."""
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"), path)
+
 
-    def furniture(self, node: Node, top: Node, by_name: bool = True) -> bool:
+class Page:
+    """A page's tree with what is in each branch, without what is removed by tag: characters that aren't white space,
+    their part that is the page's own, main elements and articles, first headings."""
+
+    def __init__(self, root: Node, site: Site, by_name: bool = True, gamma: float = 0.9, threshold: float = 0.3):
+        self.root, self.site, self.by_name = root, site, by_name
+        order, stack = [], [root]
+        while stack:
+            x = stack.pop()
+            x.size, x.own, x.weight, x.holds, x.titled, x.low = 0, 0.0, 0, False, False, False
+            order.append(x)
+            if x.tag not in GONE or x.tag == "form":
+                stack += [c for c in x.children if isinstance(c, Node)]
+        known = site
+        for x in reversed(order):
+            if x.tag in GONE and x.tag != "form":
+                continue
+            for c in x.children:
+                if isinstance(c, str):
+                    words = c.split()
+                    n = sum(map(len, words))
+                    if n:
+                        x.size += n
+                        x.weight += n
+                        x.own += n * known.get(content_key(x.path, " ".join(words)), 1.0) if known else n
+                else:
+                    c_main = is_main(c)
+                    x.holds |= c.holds or c_main or c.tag == "article"
+                    x.titled |= c.titled or c_main or c.tag == "h1"
+                    if not removed(c):
+                        x.size, x.own, x.weight = x.size + c.size, x.own + c.own, x.weight + c.weight
+        if known:
+            for x in order:
+                if x.weight and 2 * x.own <= root.own:
+                    x.low = gamma * x.own / x.weight + (1 - gamma) * known.get(x.path, 1.0) < threshold
+
+    def gone(self, node: Node, top: Node) -> bool:
         """Whether an element of top, which is the page or an article or main, is page furniture."""
         if removed(node):
-            return True
-        if not by_name or node.tag in KEEP:
+            return not (node.tag in ("form", "header") and (node.holds or node.tag == "form" and node.titled))
+        if not self.by_name or node.tag in ("html", "body") or is_main(node):
             return False
-        found = names(node, top is not self.root)
-        return bool(found) and (not found.isdisjoint(COMMENTS) or 2 * self.of(node) <= self.of(top))
-
-
-def has(node: Node, tags: tuple[str, ...]) -> bool:
-    stack = [node]
-    while stack:
-        x = stack.pop()
-        if x.tag in tags:
-            return True
-        stack += [c for c in x.children if isinstance(c, Node)]
-    return False
+        found = names(node, top is not self.root or node.path in self.site)
+        return bool(found) and (not found.isdisjoint(COMMENTS) and not (node.titled and top is self.root) or 2 * node.size <= top.size)
 
 
 def is_main(node: Node) -> bool:
     return node.tag == "main" or node.attrs.get("role") == "main"
 
 
-def roots_of(root: Node, low: set[int], sizes: Sizes, by_name: bool) -> list[Node]:
-    """Where the text is: outermost articles that aren't furniture, else outermost main elements, else the whole page."""
-    articles, mains, stack = [], [], [root]
-    within: set[int] = set()  # nodes in a main
+def roots_of(page: Page) -> list[Node]:
+    """Where the text is: outermost articles, else main elements, that are in no low or named branch; else those that are;
+    else the whole page."""
+    articles: tuple[list[Node], list[Node]] = ([], [])
+    mains: tuple[list[Node], list[Node]] = ([], [])
+    stack = [(page.root, False, False)]
     while stack:
-        x = stack.pop()
-        if x is not root and (x.path in low or x.tag != "article" and sizes.furniture(x, root, by_name)) and not has(x, ("article", "main")):
-            continue
+        x, in_main, doubted = stack.pop()
+        if x is not page.root and page.gone(x, page.root):
+            comment = page.by_name and not names(x, False).isdisjoint(COMMENTS)
+            if removed(x) or comment or x.tag == "article" or not x.holds:
+                continue
+            doubted = True
+        doubted |= x.low
         if x.tag == "article":
-            found = names(x, False) if by_name else set()
-            if not found or found.isdisjoint(COMMENTS) and 2 * sizes.of(x) > sizes.of(root):
-                articles.append(x)
+            articles[doubted].append(x)
             continue
-        if is_main(x) and id(x) not in within:
-            mains.append(x)
-        own = [c for c in reversed(x.children) if isinstance(c, Node)]
-        if id(x) in within or is_main(x):
-            within.update(map(id, own))
-        stack += own
-    return articles or mains or [root]
-
-
-def main_text(page: str | None, low: set[tuple[int, int]] = frozenset()) -> str:
-    """The page's main text: blocks in page order, two line ends between them. low: pairs of a low node and a repeated content."""
-    if not page:
+        if is_main(x) and not in_main:
+            mains[doubted].append(x)
+            in_main = True
+        stack += [(c, in_main, doubted) for c in reversed(x.children) if isinstance(c, Node)]
+    return articles[0] or mains[0] or articles[1] or mains[1] or [page.root]
+
+
+def main_text(html: str | None, site: Site | None = None, gamma: float = 0.9, threshold: float = 0.3) -> str:
+    """The page's main text: blocks in page order, two line ends between them."""
+    if not html:
         return ""
-    root = parse(page)
-    here = {path for path, (content, _) in features(root).items() if (path, content) in low} if low else set()
-    for gone, by_name in ((here, True), (frozenset(), True), (frozenset(), False)):
-        sizes = Sizes(root, gone)
-        out = _text(roots_of(root, gone, sizes, by_name), gone, sizes, by_name)
+    root = parse(html)
+    for own, by_name in ((site or {}, True), ({}, True), ({}, False)):
+        page = Page(root, own, by_name, gamma, threshold)
+        out = _text(page, roots_of(page))
         if out:
             break
     return out
 
 
-def _text(roots: list[Node], low: set[int], sizes: Sizes, by_name: bool) -> str:
+def _text(page: Page, roots: list[Node]) -> str:
     blocks: list[str] = []
     now: list[str] = []
 
@@ -261,7 +302,7 @@ def _text(roots: list[Node], low: set[int], sizes: Sizes, by_name: bool) -> str:
         now.clear()
 
     for top in roots:
-        inside, whole = top.tag in ("article", "main"), top is sizes.root
+        whole = top is page.root
         stack: list = [top]
         while stack:
             x = stack.pop()
@@ -269,7 +310,7 @@ def _text(roots: list[Node], low: set[int], sizes: Sizes, by_name: bool) -> str:
                 end()
             elif isinstance(x, str):
                 now.append(x)
-            elif x is not top and (whole and x.path in low or sizes.furniture(x, top, by_name) and not (inside and x.tag == "header")) and not has(x, ("article", "main")):
+            elif x is not top and (whole and x.low or page.gone(x, top) and (whole or x.tag != "header")):
                 if x.tag in BLOCK:
                     end()
             elif x.tag == "br":
@@ -283,39 +324,28 @@ def _text(roots: list[Node], low: set[int], sizes: Sizes, by_name: bool) -> str:
     return "\n\n".join(blocks)
 
 
-def features(root: Node) -> dict[int, tuple[int, int]]:
-    """For each merged node of a page's tree: hashes of its branch's content and of its children's styles."""
-    content: dict[int, xxhash.xxh3_64] = {}
-    styles: dict[int, xxhash.xxh3_64] = {}
+CONTENT, STYLE = 0, 1
 
-    def note(node: Node) -> bytes:
-        # post-order without recursion: a node's text is known when its children's are
-        stack: list[tuple[Node, int, list[bytes]]] = [(node, 0, [])]
-        done = b""
-        while stack:
-            x, i, parts = stack.pop()
-            if i < len(x.children):
-                child = x.children[i]
-                if isinstance(child, str):
-                    parts.append(" ".join(child.split()).encode("utf-8", "surrogatepass"))
-                    stack.append((x, i + 1, parts))
-                else:
-                    stack += [(x, i + 1, parts), (child, 0, [])]
-                continue
-            done = xxhash.xxh3_64_digest(b"\0".join(p for p in parts if p)) if any(parts) else b""
-            last, kinds = None, styles.setdefault(x.path, xxhash.xxh3_64())
-            for child in x.children:
-                if isinstance(child, Node) and child.path != last:
+
+def features(root: Node) -> set[tuple[int, int, int]]:
+    """(node, kind, value) of a page: the texts of merged nodes, and a hash of their children's styles. What is removed by tag
+    is left out."""
+    out: set[tuple[int, int, int]] = set()
+    styles: dict[int, xxhash.xxh3_64] = {}
+    stack = [root]
+    while stack:
+        x = stack.pop()
+        last, kinds = None, styles.setdefault(x.path, xxhash.xxh3_64())
+        for child in x.children:
+            if isinstance(child, Node):
+                if child.path != last:
                     last = child.path
                     kinds.update(last.to_bytes(8, "little"))
-            kinds.update(b"|")
-            content.setdefault(x.path, xxhash.xxh3_64()).update(done)
-            if stack:
-                stack[-1][2].append(done)
-        return done
-
-    note(root)
-    return {path: (content[path].intdigest(), styles[path].intdigest()) for path in content}
+            elif words := child.split():
+                out.add((x.path, CONTENT, content_key(x.path, " ".join(words))))
+        kinds.update(b"|")
+        stack += [c for c in reversed(x.children) if isinstance(c, Node) and c.tag not in GONE]
+    return out | {(path, STYLE, value.intdigest()) for path, value in styles.items()}
 
 
 MASK = (1 << 64) - 1
@@ -330,35 +360,49 @@ def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cols: list[list] = [[], [], [], [], []]
         for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             whole = _signed(xxhash.xxh3_64_intdigest((page or "").encode("utf-8", "surrogatepass")))
-            for path, (content, style) in features(parse(page or "")).items():
-                for col, x in zip(cols, (host, whole, _signed(path), _signed(content), _signed(style)), strict=True):
+            for path, kind, value in features(parse(page or "")):
+                for col, x in zip(cols, (host, whole, _signed(path), kind, _signed(value)), strict=True):
                     col.append(x)
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if i == 0 else pa.int64()) for i, c in enumerate(cols)], ["host", "page", "node", "content", "style"])
+        kinds = [pa.string(), pa.int64(), pa.int64(), pa.int8(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["host", "page", "node", "kind", "value"])
 
 
-def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        lows = ({(x["node"] & MASK, value & MASK) for x in low or () for value in x["values"]} for low in batch.column(3).to_pylist())
-        texts = [main_text(page, low) for page, low in zip(batch.column(2).to_pylist(), lows, strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
+def _extracted(gamma: float, threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, site = None, {}
+        for batch in batches:
+            texts = []
+            for i in range(batch.num_rows):
+                own = tuple(b"" if (x := batch.column(c)[i].values) is None else x.to_numpy().tobytes() for c in (3, 4))
+                if own != last:
+                    last, site = own, dict(zip(np.frombuffer(own[0], "<u8").tolist(), np.frombuffer(own[1], "<f4").tolist(), strict=True))
+                texts.append(main_text(batch.column(2)[i].as_py(), site, gamma, threshold))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
+
+    return run
 
 
 def host_of(url: F.Column) -> F.Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1), F.lit("")))
 
 
-def importance(pages: DataFrame, gamma: float = 0.9, repeated: float = 0.01, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """The merged nodes of each host: host, node, n_pages (distinct pages that have it), importance, values (its repeated contents)."""
+def importance(pages: DataFrame, least_pages: int = 8, repeated: float = 0.01, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """What the pages of each host tell: host, kind (CONTENT, STYLE), key, n_pages, importance.
+
+    A content's key is its content_key, a node's its path; n_pages counts the distinct pages that have it. Nodes are those
+    of `repeated` of the host's pages, and least_pages, at least.
+    """
     rows = pages.select(host_of(F.col(url_col).cast("string")).alias("host"), F.col(html_col).cast("string").alias("html"))
-    nodes = rows.mapInArrow(_nodes, "host string, page long, node long, content long, style long").distinct()
-    spread = nodes.select("host", "page", "node", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("content").alias("value")), F.struct(F.lit(1).alias("kind"), F.col("style").alias("value")))).alias("x"))
-    counts = spread.groupBy("host", "node", "x.kind", "x.value").agg(F.count("*").alias("c"))
-    entropy = F.log(F.sum("c")) - F.sum(F.col("c") * F.log("c")) / F.sum("c")
-    again = F.collect_list(F.when((F.col("kind") == 0) & (F.col("c") > 1), F.struct("c", "value")))
-    by_kind = counts.groupBy("host", "node", "kind").agg(F.sum("c").alias("n"), entropy.alias("h"), again.alias("again"))
-    by_kind = by_kind.withColumn("values", F.expr(f"transform(filter(again, x -> x.c >= {repeated} * n), x -> x.value)")).drop("again")
-    share = F.when(F.col("n") > 1, F.greatest(F.col("h") / F.log("n"), F.lit(0.0))).otherwise(1.0) * F.when(F.col("kind") == 0, gamma).otherwise(1 - gamma)
-    return by_kind.groupBy("host", "node").agg(F.max("n").alias("n_pages"), F.sum(share).alias("importance"), F.flatten(F.collect_list("values")).alias("values"))
+    seen = rows.mapInArrow(_nodes, "host string, page long, node long, kind byte, value long").distinct()
+    counts = seen.groupBy("host", "node", "kind", "value").agg(F.count("*").alias("c"))
+    counts = shared.write(counts.where((F.col("kind") == STYLE) | (F.col("c") > 1)), "style-tree")
+    nodes = counts.where(F.col("kind") == STYLE).groupBy("host", "node").agg(F.sum("c").alias("m"), (F.log(F.sum("c")) - F.sum(F.col("c") * F.log("c")) / F.sum("c")).alias("h"))
+    whole = nodes.where(F.col("node") == _signed(parse("").path)).select("host", F.col("m").alias("all_pages"))
+    nodes = nodes.join(whole, "host").where((F.col("m") >= least_pages) & (F.col("m") >= repeated * F.col("all_pages")))
+    presentation = nodes.select("host", F.lit(STYLE).alias("kind"), F.col("node").alias("key"), F.col("m").alias("n_pages"), F.when(F.col("m") > 1, F.greatest(F.col("h") / F.log("m"), F.lit(0.0))).otherwise(1.0).alias("importance"))
+    others = counts.where((F.col("kind") == CONTENT) & (F.col("c") > 1)).join(nodes.select("host", "node", "m"), ["host", "node"])  # one on a single page is the default
+    content = others.where(F.col("c") >= repeated * F.col("m")).select("host", F.lit(CONTENT).alias("kind"), F.col("value").alias("key"), F.col("c").alias("n_pages"), (1 - F.log("c") / F.log("m")).alias("importance"))
+    return presentation.unionByName(content)
 
 
 def extract(
@@ -366,9 +410,12 @@ def extract(
 ) -> DataFrame:
     """A row for each row of pages: page_id, url, text."""
     shared.small_batches(pages.sparkSession)
-    low = importance(pages, gamma, repeated, url_col, html_col).where((F.size("values") > 0) & (F.col("n_pages") >= least_pages) & (F.col("importance") < threshold))
+    told = importance(pages, least_pages, repeated, url_col, html_col)
+    known = F.sort_array(F.collect_list(F.struct("key", F.col("importance").cast("float").alias("importance"))))
+    sites = told.groupBy(F.col("host").alias("site")).agg(known.alias("known"), F.min("kind").alias("least_kind")).where(F.col("least_kind") == CONTENT)
+    sites = sites.select("site", F.col("known.key").alias("keys"), F.col("known.importance").alias("importances"))
     # written, so that its size is known when the join is planned: small ones are broadcast, others shuffled
-    low = shared.write(low.groupBy(F.col("host").alias("low_host")).agg(F.collect_list(F.struct("node", "values")).alias("low")), "low-nodes")
+    sites = shared.write(sites, "sites")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    joined = rows.join(low, host_of(F.col("url")) == F.col("low_host"), "left").select("page_id", "url", "html", "low")
-    return joined.mapInArrow(_extracted, "page_id long, url string, text string")
+    joined = rows.join(sites, host_of(F.col("url")) == F.col("site"), "left").select("page_id", "url", "html", "keys", "importances")
+    return joined.mapInArrow(_extracted(gamma, threshold), "page_id long, url string, text string")

@@ -5,7 +5,9 @@ from __future__ import annotations
 import gzip
 import hashlib
 import io
+import math
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -226,6 +228,85 @@ def test_titles_of_near_copies_stay(spark):
     assert all(text[1000 + n] == f"text {n}" for n in range(90))
 
 
+def unnamed_page(n: int) -> str:
+    """Furniture without telling tags or names around a short story; one part of it varies a little."""
+    return (
+        f"<html><body><div class=a1><span>Welcome to the paper of the town</span><b>day {n % 3}</b></div><section class=a2><p>story {n} is about {n * n}</p><p>and {n + 1}</p></section>"
+        f"<div class=a3><div>Call our desk at any hour</div><em>all words are ours</em><i>{n}</i></div></body></html>"
+    )
+
+
+def test_the_tree_decides_on_every_page(spark):
+    rows = [(n, f"https://{'big' if n % 3 else 'other'}.example/{n}", unnamed_page(n)) for n in range(60)]
+    pages = spark.createDataFrame([(*r, "x", "x") for r in rows], "page_id long, url string, html string, host string, keys string").repartition(5)
+    text = {r["page_id"]: r["text"] for r in html_text.extract(pages).collect()}
+    for n, _, html in rows:
+        assert text[n] == f"story {n} is about {n * n}\n\nand {n + 1}" != html_text.main_text(html)
+
+
+def test_importance_by_its_definition(spark):
+    """Entropies of contents and of presentations against sums over explicit shares."""
+    htmls = [unnamed_page(n) for n in range(30)] + [unnamed_page(n).replace("<section", "<p>extra</p><section") for n in range(30, 40)]
+    pages = spark.createDataFrame([(n, "http://h.example/", h) for n, h in enumerate([*htmls, htmls[0]])], "page_id long, url string, html string")
+    got = {(r["kind"], r["key"] & html_text.MASK): (r["n_pages"], r["importance"]) for r in html_text.importance(pages, least_pages=8).collect()}
+    texts, styles = {}, {}
+    for page, html in enumerate(htmls):
+        stack = [html_text.parse(html)]
+        while stack:
+            x = stack.pop()
+            kinds = tuple(c.path for c in x.children if not isinstance(c, str))
+            styles.setdefault(x.path, {}).setdefault(page, []).append(tuple(k for i, k in enumerate(kinds) if not i or k != kinds[i - 1]))
+            for c in x.children:
+                if not isinstance(c, str):
+                    stack.append(c)
+                elif c.strip():
+                    texts.setdefault((x.path, c), set()).add(page)
+    want = {}
+    for path, by_page in styles.items():
+        m = len(by_page)
+        seen = [repr(v) for v in by_page.values()]
+        shares = [seen.count(v) / m for v in set(seen)]
+        if m >= 8:
+            want[html_text.STYLE, path] = (m, -sum(p * math.log(p, m) for p in shares))
+    for (path, text), own in texts.items():
+        m, n = len(styles[path]), len(own)
+        if m >= 8 and n > 1:
+            want[html_text.CONTENT, html_text.content_key(path, text)] = (n, 1 + sum(1 / n * math.log(1 / n, m) for _ in own))
+    assert set(got) == set(want) and len({v[1] for v in want.values()}) > 4
+    assert all(got[k][0] == want[k][0] and got[k][1] == pytest.approx(want[k][1], abs=1e-9) for k in want)
+
+
+def test_articles_that_are_not_the_page_s(spark):
+    for page, want in [
+        ("<article>story<div class='comments'><article class='comment'><p>reader says hi</article></div></article>", "story"),
+        ("<article>story</article><aside class='related'><article>Teaser, a long one at that</article></aside>", "story"),
+        ("<article>a main story<h2 class='header'>Chapter one</h2><p class=form>The form of verse</p></article><div class=related><article>Teaser</article></div>", "a main story\n\nChapter one\n\nThe form of verse"),
+        ("<form id=all><nav>n</nav><main>text</main></form>", "text"),
+        ("<article><p>x <math><mi>y</mi></math> <label>z</label></p><form><label>q</label></form></article>", "x y z"),
+        ("<article>deep<article class='reply comment'>answer</article></article>", "deep"),
+    ]:
+        assert html_text.main_text(page) == want
+    teaser = "<section><article><p>Read the story of the year</p></article></section>"
+    rows = [(n, "http://t.example/", f"<body><article><p>story {n} of {n * n}</p></article>{teaser}</body>") for n in range(20)]
+    text = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(text[n] == f"story {n} of {n * n}" for n in range(20))
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<span>" * 100_000 + "x" + "</b>" * 100_000, "<div class=ad>" * 100_000 + "x", "<article>" * 100_000 + "x", "<ul>" + "<span>" * 50_000 + "<li>a" * 50_000,
+        "<p><td>" + "<span>" * 50_000 + "<ul></ul>" * 50_000 + "x", "<div><p class=ad>a</p><p>b</p></div>" * 30_000,
+    ],
+)
+def test_large_pages_take_linear_time(page):
+    """A walk over ancestors or descendants for each node would take minutes."""
+    start = time.perf_counter()
+    assert html_text.main_text(page)
+    html_text.features(html_text.parse(page))
+    assert time.perf_counter() - start < 30
+
+
 # --- packing
 
 
