@@ -2,22 +2,27 @@
 
 An archive starts with a skippable frame that holds its dictionary; each record is one frame that declares its content
 size. The reader takes the dictionary from that frame, decodes one frame at a time, and checks of each record the version
-line, the required headers, that Content-Length is what follows, the two closing line ends, and the payload's digest.
-A broken record raises WarcError with its archive and offset.
+line, the required headers, that Content-Length is what follows, the two closing line ends, and the digests of block and
+payload. A broken record raises WarcError with its archive and offset. Archives of others are read too: without a
+dictionary, with further skippable frames, all record types, digests in hex or base32 or none, and HTTP messages, whose
+payload is their body. Digests of an unknown algorithm aren't checked; a missing payload digest is computed.
 
 Writing: payload digests are aggregated to the largest id of each digest, and joined back to rows by digest; both sides
 of that join are plain exchanges, so a digest that a third of all rows share is split like any skewed join. Each task
 writes archives of `roll` bytes at most before compression; a task's files carry its attempt in their name and count
 only when the task reports them, so a repeated task leaves no half archive behind. Reading: each archive is decoded in one
-streaming pass; revisits are joined to their responses for the payload's length.
+streaming pass, a task an archive up to 20,000 tasks; revisits are joined to their responses for the payload's length.
 
 Nulls, ties, empties: a null or empty payload is an empty record. Payloads under `least` bytes are never revisits. Rows
 that share an id: of equal payloads the first written is the response if ids tie, the others revisit it. Rows with a null id
-are written as responses and come back with a null id. An empty table gives an empty table.
+are written as responses and come back with a null id. An empty table gives an empty table. Columns beyond id, uri and
+payload aren't read, whatever their names.
 """
 
 from __future__ import annotations
 
+import base64
+import binascii
 import hashlib
 import io
 import re
@@ -37,9 +42,11 @@ from . import shared
 
 SKIPPABLE = 0x184D2A5D  # magic number of the dictionary's frame, fixed value
 FRAME = 0xFD2FB528  # magic number of a Zstandard frame, fixed value
-TYPES = ("warcinfo", "response", "revisit")
+TYPES = ("warcinfo", "response", "resource", "request", "metadata", "revisit", "conversion", "continuation")
+SIZES = {"sha1": 20, "md5": 16, "sha256": 32, "sha512": 64}  # bytes of a digest
+MOST_TASKS = 20_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-RECORD = "page_id long, record_type string, payload_digest string, refers_to long, uri string, payload binary"
+RECORD = "page_id long, record_type string, payload_digest string, refers_to long, uri string, payload binary, block_bytes long, record_id string, refers_to_record string"
 LIST = "archive string, n_records long"
 
 
@@ -52,19 +59,24 @@ def open_store(url: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(url) if "://" in url or url.startswith("file:") else (fs.LocalFileSystem(), url)
 
 
-def record_bytes(kind: str, page: int | None, uri: str | None, payload: bytes, digest: str, refers_to: int | None, when: str) -> bytes:
-    """One record: headers, block, closing line ends. A revisit has an empty block."""
+def response_id(page: int | None, digest: str) -> str:
+    """The record id of a page's response; revisits name it without having seen it."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page}/{digest}')}>"
+
+
+def record_bytes(kind: str, page: int | None, uri: str | None, payload: bytes, digest: str, refers_to: int | None, when: str, named: bool = False) -> bytes:
+    """One record: headers, block, closing line ends. A revisit has an empty block. named: revisits may refer to this one."""
     block = b"" if kind == "revisit" else payload
     head = {
         "WARC-Type": kind,
-        "WARC-Record-ID": f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page}/{digest}')}>",
+        "WARC-Record-ID": response_id(page, digest) if named else f"<urn:uuid:{uuid.uuid4()}>",
         "WARC-Date": when,
         "WARC-Target-URI": re.sub(r"[\r\n]+", "", uri or "") or "urn:none",
         "WARC-Payload-Digest": f"sha1:{digest}",
         "X-Page-ID": "" if page is None else str(page),
     }
     if kind == "revisit":
-        head |= {"WARC-Profile": PROFILE, "X-Refers-To-Page-ID": str(refers_to)}
+        head |= {"WARC-Profile": PROFILE, "WARC-Refers-To": response_id(refers_to, digest), "X-Refers-To-Page-ID": str(refers_to)}
     head |= {"Content-Type": "text/html; charset=utf-8", "Content-Length": str(len(block))}
     lines = "".join(f"{k}: {v}\r\n" for k, v in head.items())
     return b"WARC/1.1\r\n" + lines.encode("utf-8", "surrogatepass") + b"\r\n" + block + b"\r\n\r\n"
@@ -91,13 +103,79 @@ def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
     if len(rest) != size + 4 or rest[size:] != b"\r\n\r\n":
         raise WarcError(f"Content-Length is {size}, the block and its end take {len(rest)}")
     block = rest[:size]
-    if headers["warc-type"] == "response" and headers.get("warc-payload-digest") != "sha1:" + hashlib.sha1(block).hexdigest():
-        raise WarcError("the payload doesn't have its digest")
-    if headers["warc-type"] == "revisit" and size:
-        raise WarcError("a revisit with a block")
+    if headers["warc-type"] not in TYPES:
+        raise WarcError(f"unknown record type {headers['warc-type'][:40]!r}")
+    if headers["warc-type"] == "revisit" and payloads(headers, block)[0]:
+        raise WarcError("a revisit with a payload")
+    check_digests(headers, block)
     return headers, block
 
 
+def hex_digest(value: str) -> tuple[str, str | None]:
+    """(algorithm, digest in lower-case hex) of a labelled digest in hex or base32; None if the algorithm is unknown."""
+    name, colon, digits = value.strip().partition(":")
+    name = name.lower().replace("-", "")
+    size = SIZES.get(name)
+    if not colon or size is None:
+        return name, None
+    digits = digits.strip()
+    if len(digits) == 2 * size and re.fullmatch(r"[0-9a-fA-F]+", digits):
+        return name, digits.lower()
+    try:
+        raw = base64.b32decode(digits.upper().rstrip("=") + "=" * (-len(digits.rstrip("=")) % 8))
+    except binascii.Error:
+        raw = b""
+    if len(raw) != size:
+        raise WarcError(f"bad digest {value[:60]!r}")
+    return name, raw.hex()
+
+
+def unchunked(body: bytes) -> bytes | None:
+    """The body of a chunked HTTP message, None if it isn't one."""
+    out, pos = [], 0
+    while True:
+        end = body.find(b"\r\n", pos, pos + 64)
+        size = re.match(rb"[0-9a-fA-F]{1,15}", body[pos:end]) if end > 0 else None
+        if not size:
+            return None
+        n, pos = int(size[0], 16), end + 2
+        if not n:
+            return b"".join(out)
+        out.append(body[pos : pos + n])
+        pos += n + 2
+
+
+def payloads(headers: dict[str, str], block: bytes) -> list[bytes]:
+    """What may be meant by a record's payload, the stored bytes first: of an HTTP message its body, as sent or put together."""
+    if not headers.get("content-type", "").lower().startswith("application/http"):
+        return [block]
+    head, sep, body = block.partition(b"\r\n\r\n")
+    whole = unchunked(body) if re.search(rb"(?im)^transfer-encoding:.*chunked", head) else None
+    return [body if sep else b"", *([] if whole is None else [whole])]
+
+
+def check_digests(headers: dict[str, str], block: bytes) -> None:
+    """Digests of the block, and of the payload where the record holds it; a cut-off record has no digest to compare."""
+    if "warc-truncated" in headers:
+        return
+    name, want = hex_digest(headers["warc-block-digest"]) if headers.get("warc-block-digest") else ("", None)
+    if want and hashlib.new(name, block).hexdigest() != want:
+        raise WarcError("the block doesn't have its digest")
+    if headers["warc-type"] == "revisit" or "warc-segment-number" in headers:  # the payload is elsewhere, or partly
+        return
+    name, want = hex_digest(headers["warc-payload-digest"]) if headers.get("warc-payload-digest") else ("", None)
+    if want and all(hashlib.new(name, x).hexdigest() != want for x in payloads(headers, block)):
+        raise WarcError("the payload doesn't have its digest")
+
+
+def payload_sha1(headers: dict[str, str], block: bytes) -> str | None:
+    """The payload's SHA-1 in hex: as declared, else computed; None for a revisit that declares none."""
+    name, want = hex_digest(headers["warc-payload-digest"]) if headers.get("warc-payload-digest") else ("", None)
+    if name == "sha1" and want:
+        return want
+    return None if headers["warc-type"] == "revisit" else hashlib.sha1(payloads(headers, block)[0]).hexdigest()
+
+
 def train_dictionary(samples: list[bytes], size: int = 16 * 1024) -> bytes:
     """A dictionary from the first records of an archive; empty if they are too few or too small."""
     if len(samples) < 16:
@@ -142,25 +220,50 @@ class ArchiveWriter:
         self.out.close()
 
 
+def other_frame(held: bytes) -> bool:
+    """Whether a skippable frame begins here."""
+    return struct.unpack_from("<I", held)[0] & 0xFFFFFFF0 == 0x184D2A50
+
+
 def read_archive(stream: io.RawIOBase, most: int = 1 << 31) -> Iterator[tuple[int, dict[str, str], bytes]]:
     """(offset, headers, block) of each record. Holds one compressed and one decoded record at a time."""
-    start = stream.read(8)
-    if len(start) < 8 or struct.unpack("<II", start)[0] != SKIPPABLE:
-        raise WarcError("the archive doesn't start with a dictionary frame")
-    size = struct.unpack("<II", start)[1]
-    dictionary = stream.read(size)
-    if len(dictionary) != size:
-        raise WarcError("the dictionary is cut off")
-    if dictionary[:4] == struct.pack("<I", FRAME):  # a dictionary may itself be compressed
-        dictionary = zstandard.ZstdDecompressor().decompress(dictionary, max_output_size=1 << 27)
-    options = {"dict_data": zstandard.ZstdCompressionDict(dictionary)} if dictionary else {}
+    held = b""
+
+    def need(n: int) -> bool:
+        """Have n bytes at hand, if the archive has them."""
+        nonlocal held
+        while len(held) < n:
+            more = stream.read(max(1 << 16, n - len(held)))
+            if not more:
+                return False
+            held += more
+        return True
+
+    offset, options = 0, {}
+    if need(8) and struct.unpack_from("<I", held)[0] == SKIPPABLE:
+        size = struct.unpack_from("<I", held, 4)[0]
+        if not need(8 + size):
+            raise WarcError("the dictionary is cut off")
+        dictionary, held, offset = held[8 : 8 + size], held[8 + size :], 8 + size
+        if dictionary[:4] == struct.pack("<I", FRAME):  # a dictionary may itself be compressed
+            try:
+                dictionary = zstandard.ZstdDecompressor().decompress(dictionary, max_output_size=1 << 27)
+            except zstandard.ZstdError as broken:
+                raise WarcError(f"the dictionary is broken: {broken}") from None
+        if dictionary:
+            options = {"dict_data": zstandard.ZstdCompressionDict(dictionary)}
+    elif len(held) < 8 or struct.unpack_from("<I", held)[0] != FRAME and not other_frame(held):
+        raise WarcError("the archive starts with neither a dictionary nor a Zstandard frame")
     decompressor = zstandard.ZstdDecompressor(**options)
-    held, offset = b"", 8 + size
     while True:
-        if not held:
-            held = stream.read(1 << 16)
-            if not held:
-                return
+        if not need(1):
+            return
+        if need(8) and other_frame(held):
+            size = 8 + struct.unpack_from("<I", held, 4)[0]
+            if not need(size):
+                raise WarcError(f"the skippable frame at {offset} is cut off")
+            held, offset = held[size:], offset + size
+            continue
         frame, parts, total = decompressor.decompressobj(), [], 0
         used = 0
         while not frame.eof:
@@ -186,7 +289,7 @@ def read_archive(stream: io.RawIOBase, most: int = 1 << 31) -> Iterator[tuple[in
         offset += used
 
 
-def _written(folder: str, roll: int, when: str):
+def _written(folder: str, roll: int, least: int, when: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, path = open_store(folder)
         task = TaskContext.get()
@@ -198,7 +301,8 @@ def _written(folder: str, roll: int, when: str):
                     names.append(f"{path}/part-{tag}-{len(names):04d}.warc.zst")
                     writer = ArchiveWriter(store.open_output_stream(names[-1], compression=None))
                 kind = "response" if top is None else "revisit"
-                writer.add(record_bytes(kind, page, uri, html, digest, top, when))
+                named = kind == "response" and page is not None and len(html) >= least  # the only response of its page and payload
+                writer.add(record_bytes(kind, page, uri, html, digest, top, when, named))
                 if writer.size >= roll:
                     writer.close()
                     counts.append(writer.n)
@@ -232,7 +336,12 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", uri_c
     alone = F.col("top").isNull() | F.col("page_id").isNull() | ((F.col("page_id") == F.col("top")) & (F.col("turn") == 1))
     ready = linked.select("page_id", "uri", "payload", "digest", F.when(~alone, F.col("top")).alias("top"))
     when = datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
-    return shared.write(ready.mapInArrow(_written(folder, roll, when), LIST), "archives")
+    return shared.write(ready.mapInArrow(_written(folder, roll, least, when), LIST), "archives")
+
+
+def number(value: str | None) -> int | None:
+    """An id of our own header, None if there is none."""
+    return int(value) if value and re.fullmatch(r"-?[0-9]{1,19}", value) else None
 
 
 def _read(folder: str, with_payload: bool):
@@ -244,15 +353,18 @@ def _read(folder: str, with_payload: bool):
                 with store.open_input_stream(name, compression=None) as stream:
                     try:
                         for _, headers, block in read_archive(stream):
-                            page, refers = headers.get("x-page-id"), headers.get("x-refers-to-page-id")
-                            rows.append((int(page) if page else None, headers["warc-type"], headers["warc-payload-digest"].removeprefix("sha1:"), int(refers) if refers else None, headers.get("warc-target-uri"), block if with_payload else None, len(block)))
+                            body = payloads(headers, block)[0]
+                            rows.append((
+                                number(headers.get("x-page-id")), headers["warc-type"], payload_sha1(headers, block), number(headers.get("x-refers-to-page-id")), headers.get("warc-target-uri"),
+                                body if with_payload else None, len(body), headers["warc-record-id"], headers.get("warc-refers-to"),
+                            ))
                             n, held = n + 1, held + len(block)
                             if held > 4 << 20 or len(rows) >= 2000:
                                 yield _records(rows)
                                 rows, held = [], 0
                     except WarcError as broken:
                         raise WarcError(f"{name}: {broken}") from None
-                if n != expected:
+                if expected is not None and n != expected:
                     raise WarcError(f"{name}: {n} records, {expected} were written")
                 if rows:
                     yield _records(rows)
@@ -261,15 +373,20 @@ def _read(folder: str, with_payload: bool):
 
 
 def _records(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary(), pa.int64()]
-    names = ["page_id", "record_type", "payload_digest", "refers_to", "uri", "payload", "block_bytes"]
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.string()]
+    names = ["page_id", "record_type", "payload_digest", "refers_to", "uri", "payload", "block_bytes", "record_id", "refers_to_record"]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
 
 def read_archives(archives: DataFrame, folder: str, with_payload: bool = False) -> DataFrame:
-    """A row for each record: page_id, record_type, payload_digest, refers_to, uri, payload (if asked for), block_bytes."""
-    spread = archives.repartition(F.col("archive"))
-    return spread.mapInArrow(_read(folder, with_payload), RECORD + ", block_bytes long")
+    """A row for each record: page_id, record_type, payload_digest, refers_to, uri, payload (if asked for), block_bytes (of the
+    payload), record_id, refers_to_record.
+
+    archives: archive (its path in folder's file system), n_records (null: not checked). The number of tasks is given, since
+    adaptive execution would merge the few short rows of the list into one task that reads everything.
+    """
+    tasks = max(1, min(MOST_TASKS, archives.count()))
+    return archives.select("archive", "n_records").repartition(tasks, "archive").mapInArrow(_read(folder, with_payload), RECORD)
 
 
 def resolved(records: DataFrame) -> DataFrame:

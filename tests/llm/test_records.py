@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import gzip
 import hashlib
 import io
@@ -90,6 +91,62 @@ def test_archive_layout_and_broken_archives():
             list(warc.read_archive(io.BytesIO(broken)))
 
 
+def other_records() -> list[bytes]:
+    """Records as other writers make them."""
+    def record(kind, block, **more):
+        head = {"WARC-Type": kind, "WARC-Record-ID": f"<urn:{kind}>", "WARC-Date": "2020-01-01T00:00:00Z", "Content-Length": str(len(block))} | {k.replace("_", "-"): v for k, v in more.items()}
+        return b"WARC/1.0\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head.items()).encode() + b"\r\n" + block + b"\r\n\r\n"
+
+    body = b"<html>hello</html>"
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n"
+    chunked = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n" + b"7\r\n<html>h\r\nb\r\nello</html>\r\n0\r\n\r\n"
+    base32 = base64.b32encode(hashlib.sha1(body).digest()).decode()
+    kind = "application/http; msgtype=response"
+    return [
+        record("warcinfo", b"software: other\r\n", Content_Type="application/warc-fields"),
+        record("request", b"GET / HTTP/1.1\r\n\r\n", Content_Type="application/http; msgtype=request", WARC_Target_URI="http://o/"),
+        record("response", http + body, Content_Type=kind, WARC_Target_URI="http://o/", WARC_Payload_Digest=f"sha1:{base32}", WARC_Block_Digest="sha256:" + hashlib.sha256(http + body).hexdigest()),
+        record("response", chunked, Content_Type=kind, WARC_Payload_Digest=f"SHA-1:{base32.lower()}"),
+        record("response", body, Content_Type="text/html"),
+        record("resource", body, WARC_Payload_Digest="blake9:123"),
+        record("metadata", b"", X_Page_ID="seven"),
+        record("revisit", http, Content_Type=kind, WARC_Payload_Digest=f"sha1:{base32}", WARC_Refers_To="<urn:response>"),
+        record("response", body[:5], WARC_Payload_Digest=f"sha1:{base32}", WARC_Truncated="length"),
+    ]
+
+
+def test_archives_of_others(spark, tmp_path):
+    body = b"<html>hello</html>"
+    frames = [zstandard.ZstdCompressor().compress(r) for r in other_records()]
+    frames.insert(3, struct.pack("<II", 0x184D2A50, 4) + b"skip")
+    (tmp_path / "o.warc.zst").write_bytes(b"".join(frames))
+    (tmp_path / "p.warc.zst").write_bytes(struct.pack("<II", warc.SKIPPABLE, 0) + zstandard.ZstdCompressor(write_content_size=False).compress(b"".join(other_records()[:1])))
+    listed = spark.createDataFrame([(f"{tmp_path}/{x}.warc.zst", None) for x in "op"], warc.LIST)
+    rows = sorted(warc.read_archives(listed, f"file://{tmp_path}", with_payload=True).collect(), key=lambda r: (r["record_type"], r["payload"]))
+    hexed = hashlib.sha1(body).hexdigest()
+    assert [r["record_type"] for r in rows] == ["metadata", "request", "resource", *["response"] * 4, "revisit", "warcinfo", "warcinfo"]
+    got = {bytes(r["payload"]): r["payload_digest"] for r in rows if r["record_type"] == "response"}
+    assert got[body] == hexed and len(got) == 3 and set(got.values()) == {hexed}
+    revisit = rows[7]
+    assert (revisit["payload_digest"], revisit["refers_to_record"], revisit["page_id"]) == (hexed, "<urn:response>", None)
+    assert rows[2]["payload_digest"] == hexed and rows[0]["page_id"] is None
+    wrong = other_records()[2].replace(b"hello", b"hullo"), other_records()[3].replace(b"ello", b"ullo"), other_records()[0].replace(b"warcinfo", b"nonsense")
+    for data in (*wrong, other_records()[2].replace(b"sha1:", b"sha1:1")):
+        with pytest.raises(warc.WarcError):
+            warc.parse_record(data)
+
+
+def test_archives_are_read_by_many_tasks(spark, tmp_path):
+    pages = spark.createDataFrame(page_rows(), PAGES).repartition(6)
+    archives = warc.write_archives(pages, f"file://{tmp_path}/w", roll=20_000)
+    records = warc.read_archives(archives, f"file://{tmp_path}/w")
+    tasks = [r["n"] for r in records.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+    assert archives.count() >= 6 and len(tasks) >= archives.count() // 2 and sum(tasks) == len(page_rows())
+    revisit = records.where("record_type = 'revisit'").select("refers_to_record").distinct()
+    assert revisit.join(records.select(F.col("record_id").alias("refers_to_record")), "refers_to_record").count() == revisit.count() > 0
+    assert records.select("record_id").distinct().count() == len(page_rows())
+
+
 def test_broken_records():
     good = warc.record_bytes("response", 1, "http://h/", b"payload", hashlib.sha1(b"payload").hexdigest(), None, "2020-01-01T00:00:00Z")
     assert warc.parse_record(good)[1] == b"payload"
