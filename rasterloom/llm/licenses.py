@@ -2,17 +2,21 @@
 
 A text is normalised: lower case, curly quotes made straight, copyright lines removed, punctuation made space, equivalent
 spellings made one, runs of space made one. The SHA-256 of the result is looked up among the digests of known texts by a
-hash join; known texts go through the same columns. Units are whole documents and, for notices inside documents, whole
-lines; a text that only contains part of a known one doesn't match.
+hash join; known texts go through the same columns. Units are whole documents, lines, and paragraphs: a known text of n
+paragraphs stands in a document where n paragraphs in a row have the digests of its own, whatever is before and behind,
+which an equality join on digests and a count by (row, known text, place) finds. Paragraphs end at lines without a letter or
+digit, so that comment marks don't matter; those that normalise to nothing aren't counted.
 
-Before that, texts without any of a few letter sequences go by unread: each known text holds one of them in every
-spelling that normalises to it, so a text that holds none can't match. A table of known texts without them isn't filtered.
+Before that, texts without any of a few letter sequences go by unread. That is sound if the normalised form of each known
+text holds one of them, which is looked up in the table itself; another table isn't filtered. None of the steps of
+normalising joins letters, and the spellings that make one of the sequences are made of one.
 
-The known texts are a fixed table of some thousand short rows once they are digests, which is why that side is broadcast. Documents are never grouped by
-licence, so it doesn't matter how many hold the same one.
+No side is broadcast by hint: the known texts are a table of any size. Documents are never grouped by licence, so it doesn't
+matter how many hold the same one.
 
 Nulls, ties, empties: a null or empty text, and any that normalises to nothing, matches nothing. Rows that share a doc_id
-share their notices. Equal lines count each. An empty table gives an empty table.
+share their notices and texts, but paragraphs of two rows make no text together. Equal lines count each. An empty table gives
+an empty table. Columns beyond id and text aren't read, whatever their names.
 """
 
 from __future__ import annotations
@@ -41,7 +45,8 @@ SPELLINGS = (
     (r"\bcreative commons attribution noncommercial\b", "cc by nc"),
     (r"\bgnu gpl\b", "gnu general public license"),
 )
-ANCHORS = ("licen", "permission", "cc", "creative", "redistribut", "gpl", "bsd")  # in lower case; no spelling above, no white space and no punctuation breaks them
+ANCHORS = ("licen", "permission", "cc", "creative", "redistribut", "gpl", "bsd")  # letters; a spelling above that makes one is made of one
+PARAGRAPH_END = r"\n(?:[^\p{L}\p{N}\n]*\n)+"
 COPYRIGHT_LINE = r"^[ \t]*(?:copyright[ \t]+(?:\(c\)|©|by\b|[0-9])|\(c\)|©)[^\n]*"  # with ^ at each \n
 
 # Known texts, fixed values: short notices and the texts of short licences
@@ -199,15 +204,23 @@ def digest(text: Column) -> Column:
 def registry(spark: SparkSession, known: tuple[tuple[str, str], ...] = KNOWN) -> DataFrame:
     """(digest, license_id) of the known texts; of texts with equal digests the smallest id."""
     rows = spark.createDataFrame(list(known), "license_id string, known_text string")
-    return rows.select(digest(F.col("known_text")).alias("digest"), "license_id").groupBy("digest").agg(F.min("license_id").alias("license_id"))
+    return rows.select(digest(F.col("known_text")).alias("digest"), "license_id").where("digest is not null").groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 
+def paragraphs(text: Column) -> Column:
+    """The normalised forms of a text's paragraphs, without those that are empty."""
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), PARAGRAPH_END), canonical), lambda x: x != "")
 
 
-def may_match(text: Column, known: tuple[tuple[str, str], ...]) -> Column:
-    """Whether a text holds a letter sequence that every spelling of every known text has one of."""
-    if not all(anchored(body) for _, body in known):
-        return F.lit(True)
+def sequences(spark: SparkSession, known: tuple[tuple[str, str], ...]) -> DataFrame:
+    """(digest, license_id, known, place, n): the paragraphs of each known text, in order."""
+    rows = spark.createDataFrame([(i, *x) for i, x in enumerate(known)], "known int, license_id string, known_text string")
+    rows = rows.select("known", "license_id", paragraphs(F.col("known_text")).alias("forms"))
+    rows = rows.select("known", "license_id", F.size("forms").alias("n"), F.posexplode("forms").alias("place", "form"))
+    return rows.select(F.sha2("form", 256).alias("digest"), "license_id", "known", "place", "n")
+
+
+def holds_anchor(text: Column) -> Column:
     low = F.lower(text)
     out = F.contains(low, F.lit(ANCHORS[0]))
     for anchor in ANCHORS[1:]:
@@ -215,19 +228,33 @@ def may_match(text: Column, known: tuple[tuple[str, str], ...]) -> Column:
     return out
 
 
+def all_anchored(spark: SparkSession, known: tuple[tuple[str, str], ...]) -> bool:
+    """Whether the normalised form of each known text holds an anchor; forms that are empty match nothing anyway."""
+    form = spark.createDataFrame(list(known), "license_id string, known_text string").select(canonical(F.col("known_text")).alias("form"))
+    return form.where((F.col("form") != "") & ~holds_anchor(F.col("form"))).isEmpty()
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known: tuple[tuple[str, str], ...] = KNOWN) -> DataFrame:
     """A row for each row of docs: doc_id, license_id (of the whole text, or null), notices (ids of its lines, sorted,
-    joined by commas, empty if none) and n_notices, how many lines match."""
-    table = F.broadcast(registry(docs.sparkSession, known))
+    joined by commas, empty if none), n_notices, how many lines match, and texts (ids of known texts among its paragraphs,
+    likewise)."""
+    spark = docs.sparkSession
+    table = registry(spark, known)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    possible = may_match(F.col("text"), known)
+    filtered = all_anchored(spark, known)
+    possible = holds_anchor(F.col("text")) if filtered else F.lit(True)
     whole = texts.select("doc_id", F.when(possible, digest(F.col("text"))).alias("digest")).join(table, "digest", "left").select("doc_id", "license_id")
-    lines = texts.where(possible).select("doc_id", F.explode(F.split("text", "\n")).alias("line")).where(may_match(F.col("line"), known)).select("doc_id", digest(F.col("line")).alias("digest"))
-    found = lines.join(table.withColumnRenamed("license_id", "notice"), "digest")
-    found = found.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set("notice")), ",").alias("notices"), F.count("*").alias("n_notices"))
-    found = found.withColumnRenamed("doc_id", "found_id")
+    lines = texts.where(possible).select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    lines = (lines.where(holds_anchor(F.col("line"))) if filtered else lines).select("doc_id", digest(F.col("line")).alias("digest"))
+    found = lines.join(table, "digest").select("doc_id", F.col("license_id").alias("notice"), F.lit(None).cast("string").alias("in_text"))
+    parts = texts.where(possible).select("doc_id", F.xxhash64("text").alias("row"), F.posexplode(paragraphs(F.col("text"))).alias("at", "form"))
+    parts = parts.select("doc_id", "row", "at", F.sha2("form", 256).alias("digest")).join(sequences(spark, known), "digest")
+    runs = parts.groupBy("doc_id", "row", "known", (F.col("at") - F.col("place")).alias("start"), "license_id", "n").agg(F.countDistinct("place").alias("own")).where("own = n")
+    found = found.unionByName(runs.select("doc_id", F.lit(None).cast("string").alias("notice"), F.col("license_id").alias("in_text")).distinct())
+    listed = [F.array_join(F.array_sort(F.collect_set(c)), ",").alias(to) for c, to in (("notice", "notices"), ("in_text", "texts"))]
+    found = found.groupBy(F.col("doc_id").alias("found_id")).agg(*listed, F.count("notice").alias("n_notices"))
     out = whole.join(found, F.col("doc_id").eqNullSafe(F.col("found_id")), "left")
-    return out.select("doc_id", "license_id", F.coalesce("notices", F.lit("")).alias("notices"), F.coalesce("n_notices", F.lit(0)).cast("long").alias("n_notices"))
+    return out.select("doc_id", "license_id", F.coalesce("notices", F.lit("")).alias("notices"), F.coalesce("n_notices", F.lit(0)).cast("long").alias("n_notices"), F.coalesce("texts", F.lit("")).alias("texts"))
 
 
 def sql(known: tuple[tuple[str, str], ...] = KNOWN) -> str:
@@ -236,21 +263,32 @@ def sql(known: tuple[tuple[str, str], ...] = KNOWN) -> str:
     def quoted(x: str) -> str:
         return "'" + x.replace("'", "''") + "'"
 
-    def form(x: str) -> str:
+    def plain(x: str) -> str:
         out = f"trim(regexp_replace(regexp_replace(translate(lower(coalesce({x}, '')), '“”‘’', '\"\"'''''), {quoted('(?m)' + COPYRIGHT_LINE)}, '', 'g'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
         for pattern, to in SPELLINGS:
             out = f"regexp_replace({out}, {quoted(pattern)}, {quoted(to.replace('$1', chr(92) + '1'))}, 'g')"
-        return f"sha256(nullif({out}, ''))"
+        return out
+
+    def form(x: str) -> str:
+        return f"sha256(nullif({plain(x)}, ''))"
+
+    def split(x: str) -> str:
+        return f"list_filter(list_transform(string_split_regex(coalesce({x}, ''), {quoted(PARAGRAPH_END)}), lambda p: {plain('p')}), lambda p: p <> '')"
 
-    values = ", ".join(f"({quoted(i)}, {quoted(t)})" for i, t in known)
+    values = ", ".join(f"({n}, {quoted(i)}, {quoted(t)})" for n, (i, t) in enumerate(known))
     return f"""
-with known(license_id, known_text) as (values {values}),
+with known(number, license_id, known_text) as (values {values}),
 table_of as (select {form('known_text')} as digest, min(license_id) as license_id from known group by 1),
+d as (select doc_id, text, row_number() over () as row_of from documents),
 lines as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line from documents),
 found as (
   select doc_id, array_to_string(list_sort(list_distinct(list(license_id))), ',') as notices, count(*) as n_notices
-  from (select doc_id, {form('line')} as digest from lines) join table_of using (digest) group by doc_id)
-select d.doc_id, t.license_id, coalesce(f.notices, '') as notices, coalesce(f.n_notices, 0) as n_notices
+  from (select doc_id, {form('line')} as digest from lines) join table_of using (digest) group by doc_id),
+parts as (select doc_id, row_of, unnest(ps) as p, generate_subscripts(ps, 1) as at_ from (select doc_id, row_of, {split('text')} as ps from d)),
+known_parts as (select number, license_id, len(ps) as n, unnest(ps) as p, generate_subscripts(ps, 1) as place from (select number, license_id, {split('known_text')} as ps from known)),
+runs as (select doc_id, license_id from parts join known_parts using (p) group by doc_id, row_of, number, license_id, n, at_ - place having count(distinct place) = n),
+inside as (select doc_id, array_to_string(list_sort(list_distinct(list(license_id))), ',') as texts from runs group by doc_id)
+select d.doc_id, t.license_id, coalesce(f.notices, '') as notices, coalesce(f.n_notices, 0) as n_notices, coalesce(i.texts, '') as texts
 from (select doc_id, {form('text')} as digest from documents) d
-left join table_of t using (digest) left join found f on d.doc_id is not distinct from f.doc_id
+left join table_of t using (digest) left join found f on d.doc_id is not distinct from f.doc_id left join inside i on d.doc_id is not distinct from i.doc_id
 """

@@ -232,6 +232,31 @@ def test_whole_texts_and_usual_notices_of_common_licences(spark):
     assert [got[n] for n in range(len(rows))] == [i for i, _ in rows]
 
 
+def test_texts_inside_documents(spark):
+    """Known texts among a document's paragraphs, marked as comments or not; parts of them and parts of two rows are none."""
+    mit = dict(licenses.FULL_TEXTS)["MIT"]
+    boost = (licenses.FOLDER / "BSL-1.0.txt").read_text().partition("2003")[2]
+    commented = "\n".join(f" * {x}".rstrip() for x in f"Copyright (c) 2020 X\n\n{mit}".split("\n"))
+    first, _, rest = mit.partition("\n\n")
+    rows = [
+        (1, f"# A project\n\nSome words.\n\nCopyright (c) 2020 X\n\n{mit}\n\nMore words."), (2, f"/*\n{commented}\n */\n\nint main() {{}}\n"), (3, f"intro\n\n{boost}\n\n{mit}\n\n{mit}"),
+        (4, f"{mit} and more"), (5, f"intro\n\n{rest}\n\n{first}"), (None, f"a\n\n{first}"), (None, f"{rest}\n\nb"), (6, "Use it:\n\nLicensed under the Apache\nLicense, Version 2.0.\n\nend"),
+    ]
+    docs = spark.createDataFrame([(*r, "x", "x") for r in rows], "doc_id long, text string, texts string, digest string")
+    got = by_id(licenses.scan(docs).collect())
+    assert [got[n][0]["texts"] for n in range(1, 7)] == ["MIT", "MIT", "BSL-1.0,MIT", "", "", "Apache-2.0"] and [r["texts"] for r in got[None]] == ["", ""]
+    assert all(r["license_id"] is None and r["n_notices"] == 0 for own in got.values() for r in own)
+
+
+def test_the_filter_is_sound(spark):
+    """Anchors that normalising removes from a known text don't count."""
+    known = (("X", "Copyright (c) 2020 Creative People\nfoo bar"), ("Y", "permission of the owner"))
+    docs = spark.createDataFrame([(1, "foo bar"), (2, "Foo, bar!"), (3, "permission of the owner"), (4, "a\n\nfoo\nbar")], "doc_id long, text string")
+    got = {r["doc_id"]: (r["license_id"], r["texts"]) for r in licenses.scan(docs, known=known).collect()}
+    assert got == {1: ("X", "X"), 2: ("X", "X"), 3: ("Y", "Y"), 4: (None, "X")}
+    assert licenses.all_anchored(spark, licenses.KNOWN) and not licenses.all_anchored(spark, known)
+
+
 # --- toxicity
 
 
