@@ -9,6 +9,7 @@ import io
 import math
 import struct
 import time
+import zipfile
 import zlib
 
 import numpy as np
@@ -193,6 +194,79 @@ def test_false_magic_and_carving():
     assert media.found_media(data) == [(0, at - 2, "audio/wav"), (at, len(png()), "image/png"), (at + len(png()) + 2, len(GIF), "image/gif")]
 
 
+def riff(form: bytes, *chunks: tuple[bytes, bytes]) -> bytes:
+    body = form + b"".join(name + struct.pack("<I", len(data)) + data + b"\0" * (len(data) % 2) for name, data in chunks)
+    return b"RIFF" + struct.pack("<I", len(body)) + body
+
+
+def box(name: bytes, data: bytes) -> bytes:
+    return struct.pack(">I", 8 + len(data)) + name + data
+
+
+def zipped(note: bytes = b"") -> bytes:
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("a.txt", "text " * 50)
+        z.writestr("b.png", png())
+        z.comment = note
+    return out.getvalue()
+
+
+MORE = {
+    "image/webp": [riff(b"WEBP", (b"VP8 ", b"abc")), riff(b"WEBP", (b"VP8X", b"\0" * 10), (b"VP8L", b"ab"))],
+    "video/x-msvideo": [riff(b"AVI ", (b"LIST", b"hdrl" + b"\0" * 8), (b"LIST", b"movi" + b"\1" * 9))],
+    "application/zip": [zipped(), zipped(b"a note"), b"PK\x05\x06" + b"\0" * 18],
+    "video/mp4": [box(b"ftyp", b"isom\0\0\0\0mp42") + box(b"moov", b"m" * 9) + struct.pack(">I", 1) + b"mdat" + struct.pack(">Q", 21) + b"d" * 5],
+    "application/gzip": [gzip.compress(b"text" * 100), b"\x1f\x8b\x08\x18" + b"\0" * 6 + b"name\0note\0" + gzip.compress(b"text")[10:]],
+}
+
+
+@pytest.mark.parametrize("mime", sorted(MORE))
+def test_more_formats(mime):
+    for data in MORE[mime]:
+        assert media.found_media(data) == [(0, len(data), mime)]
+        assert media.found_media(b"junk " + data + b" PK\x05\x06 WEBP") == [(5, len(data), mime)]
+        assert media.found_media(data[:-1]) == []
+    assert media.found_media(MORE[mime][0] + png()) == [(0, len(MORE[mime][0]), mime), (len(MORE[mime][0]), len(png()), "image/png")]
+
+
+def test_flac_lasts_until_the_end():
+    data = b"fLaC\0\0\0\x22" + b"i" * 34 + b"\x84\0\0\x03abc" + b"\xff\xf8frames"
+    assert media.found_media(data) == [(0, len(data), "audio/flac")] and media.found_media(data[:50]) == []
+    assert media.found_media(png() + data) == [(0, len(png()), "image/png"), (len(png()), len(data), "audio/flac")]
+
+
+@pytest.mark.parametrize(
+    "unit",
+    [
+        b"P5 1 1 9 x", b"RIFF", b"RIFF\x10\0\0\0WAVE", b"GIF89a", b"GIF89a\0\0\0\0\0\0\0!\xf9\x01a", b"\xff\xd8\xff", b"\xff\xd8\xff\xda\0\x02", b"\x1f\x8b\x08", b"%PDF-1.4 startxref %%EOF",
+        b"PK\x03\x04", b"PK\x05\x06", b"\0\0\0\x10ftypisom\0\0\0\0", b"\x89PNG\r\n\x1a\n\0\0\0\rIHDR",
+    ],
+)
+def test_repeated_magic_takes_linear_time(unit):
+    data = unit * (2_000_000 // len(unit))
+    start = time.perf_counter()
+    media.found_media(data)
+    assert time.perf_counter() - start < 20
+
+
+def test_carving_against_all_hits():
+    """Random concatenations of media and junk against a search that tries every place in turn."""
+    rng = np.random.default_rng(5)
+    parts = [*SAMPLES.values(), *(x for own in MORE.values() for x in own), b"junk", b"BM", b"RIFF", b"\xff\xd8\xff", b"P5 1 1 "]
+    for _ in range(60):
+        data = b"".join(parts[i] for i in rng.integers(0, len(parts), 7))
+        data = data[: rng.integers(1, len(data))]
+        want, at = [], 0
+        while at < len(data):
+            lengths = [(f.check(media.Value(data), at) or 0, -i) for i, f in enumerate(media.FORMATS) if data[at + f.offset :].startswith(f.magic)]
+            length, i = max(lengths, default=(0, 0))
+            if length:
+                want.append((at, length, media.FORMATS[-i].mime))
+            at += length or 1
+        assert media.found_media(data) == want
+
+
 def test_media_columns(spark):
     rows = [(1, "image/png", GIF), (2, "image/gif", GIF), (3, None, b""), (4, "text/plain", None), (5, "text/plain", b"text" + png()), (5, "text/plain", b"text" + png())]
     df = spark.createDataFrame([(*r, "x", "x") for r in rows], "id long, declared string, media binary, media_type string, carved string")
