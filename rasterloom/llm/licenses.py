@@ -11,7 +11,8 @@ Before that, texts without any of a few letter sequences go by unread. That is s
 text holds one of them, which is looked up in the table itself; another table isn't filtered. None of the steps of
 normalising joins letters, and the spellings that make one of the sequences are made of one.
 
-No side is broadcast by hint: the known texts are a table of any size. Documents are never grouped by licence, so it doesn't
+Known texts of `MOST_LINES` lines at most together, as the given ones, are broadcast as digests; a larger table is joined like any
+other. Documents are never grouped by licence, so it doesn't
 matter how many hold the same one.
 
 Nulls, ties, empties: a null or empty text, and any that normalises to nothing, matches nothing. Rows that share a doc_id
@@ -46,6 +47,7 @@ SPELLINGS = (
     (r"\bgnu gpl\b", "gnu general public license"),
 )
 ANCHORS = ("licen", "permission", "cc", "creative", "redistribut", "gpl", "bsd")  # letters; a spelling above that makes one is made of one
+MOST_LINES = 100_000  # of broadcast texts: a row of digest and id a line at most, 20 MB
 PARAGRAPH_END = r"\n(?:[^\p{L}\p{N}\n]*\n)+"
 COPYRIGHT_LINE = r"^[ \t]*(?:copyright[ \t]+(?:\(c\)|©|by\b|[0-9])|\(c\)|©)[^\n]*"  # with ^ at each \n
 
@@ -239,7 +241,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known:
     joined by commas, empty if none), n_notices, how many lines match, and texts (ids of known texts among its paragraphs,
     likewise)."""
     spark = docs.sparkSession
-    table = registry(spark, known)
+    side = F.broadcast if sum(body.count("\n") + 1 for _, body in known) <= MOST_LINES else lambda df: df
+    table = side(registry(spark, known))
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     filtered = all_anchored(spark, known)
     possible = holds_anchor(F.col("text")) if filtered else F.lit(True)
@@ -248,7 +251,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known:
     lines = (lines.where(holds_anchor(F.col("line"))) if filtered else lines).select("doc_id", digest(F.col("line")).alias("digest"))
     found = lines.join(table, "digest").select("doc_id", F.col("license_id").alias("notice"), F.lit(None).cast("string").alias("in_text"))
     parts = texts.where(possible).select("doc_id", F.xxhash64("text").alias("row"), F.posexplode(paragraphs(F.col("text"))).alias("at", "form"))
-    parts = parts.select("doc_id", "row", "at", F.sha2("form", 256).alias("digest")).join(sequences(spark, known), "digest")
+    parts = parts.select("doc_id", "row", "at", F.sha2("form", 256).alias("digest")).join(side(sequences(spark, known)), "digest")
     runs = parts.groupBy("doc_id", "row", "known", (F.col("at") - F.col("place")).alias("start"), "license_id", "n").agg(F.countDistinct("place").alias("own")).where("own = n")
     found = found.unionByName(runs.select("doc_id", F.lit(None).cast("string").alias("notice"), F.col("license_id").alias("in_text")).distinct())
     listed = [F.array_join(F.array_sort(F.collect_set(c)), ",").alias(to) for c, to in (("notice", "notices"), ("in_text", "texts"))]
