@@ -56,8 +56,8 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of 20 characters or more that three documents share stay in the largest id alone."""
-    plan = line_dedup.line_dedup(table(spark, sf_dir, "documents"), carry=("text",))
-    return line_dedup.kept_text(plan).select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+    plan = line_dedup.line_dedup(table(spark, sf_dir, "documents"), kept_col="kept")
+    return plan.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
