@@ -7,12 +7,16 @@ documents in seeded epochs: whole passes while the budget lasts, then the prefix
 of seed, epoch and id. The prefix ends with the document in which the budget ends.
 
 The prefix is found without sorting a leaf: token sums over 4096 ranges of the hash, then over 4096 ranges within the
-range where the budget ends, leave about one document in 16 million to be put in order. What goes to the driver is a row
-for each leaf; leaves are named by the weights, so their number is that of the weights, not of the rows.
+range where the budget ends, leave about one document in 16 million to be put in order, and of those that share hash
+and tokens, as rows of one id may, only their number. What goes to the driver is a row for each leaf; leaves are named by the
+weights, so their number is that of the weights, not of the rows. Rows are selected where they stand, by their leaf's
+row, without a shuffle or a join by id.
 
 Nulls, ties, empties: a null or unnamed domain, language or source is "other", which has weight 0 unless it is named; a
 null or empty text has 0 tokens and goes with its place in the order. Rows that share an id and so a hash are taken in
-the order of their tokens; equal rows can't be told apart. A null id hashes as 0. An empty table gives an empty table.
+the order of their tokens; equal rows can't be told apart. A null id is replaced by the hash of its text, so rows without ids
+spread like others. An empty table gives an empty table. Extra columns aren't read; selected() keeps them, and needs
+names other than those of its own, which start with mix_.
 """
 
 from __future__ import annotations
@@ -86,19 +90,27 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"\S+")), F.lit(0)).cast("long")
 
 
+def leaf(docs: DataFrame, weights: Weights, domain: Column) -> list[Column]:
+    return [named(domain, weights.domain).alias("domain"), named(F.col("lang"), weights.lang).alias("lang"), named(F.col("source"), weights.source).alias("source")]
+
+
+def tokens_of(text_col: str, tokens: Column | None) -> Column:
+    return words(F.col(text_col).cast("string")) if tokens is None else F.coalesce(tokens.cast("long"), F.lit(0))
+
+
+def place_of(id_col: str, text_col: str) -> Column:
+    """The number that a row's order follows from: its id, or a hash of its text."""
+    return F.coalesce(F.col(id_col).cast("long"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+
+
 def leaves_of(docs: DataFrame, weights: Weights, domain: Column, id_col: str, text_col: str, tokens: Column | None) -> DataFrame:
-    """The narrow table of all rows: id, leaf, tokens."""
-    counted = words(F.col(text_col).cast("string")) if tokens is None else F.coalesce(tokens.cast("long"), F.lit(0))
-    return docs.select(
-        F.col(id_col).cast("long").alias("doc_id"),
-        named(domain, weights.domain).alias("domain"), named(F.col("lang"), weights.lang).alias("lang"), named(F.col("source"), weights.source).alias("source"),
-        counted.alias("n_tokens"),
-    )
+    """The narrow table of all rows: doc_id, leaf, n_tokens, place."""
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), *leaf(docs, weights, domain), tokens_of(text_col, tokens).alias("n_tokens"), place_of(id_col, text_col).alias("place"))
 
 
-def order_key(seed: int, epoch: Column, doc_id: Column) -> Column:
+def order_key(seed: int, epoch: Column, place: Column) -> Column:
     """The place of a row in a pass: 48 bits of a hash."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed).cast("long"), epoch.cast("long"), F.coalesce(doc_id, F.lit(0).cast("long"))), 16)
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed).cast("long"), epoch.cast("long"), place), 16)
 
 
 def plan(rows: DataFrame, weights: Weights, share: float, max_epochs: int) -> list[tuple[str, str, str, int, int]]:
@@ -109,21 +121,46 @@ def plan(rows: DataFrame, weights: Weights, share: float, max_epochs: int) -> li
     return [(*leaf, *divmod(given[leaf], n)) if n else (*leaf, 0, 0) for leaf, n in sorted(supply.items())]
 
 
+def cuts(rows: DataFrame, weights: Weights, share: float, max_epochs: int, seed: int) -> DataFrame:
+    """A row for each leaf: domain, lang, source, passes, rest, cut_key, cut_tokens. rows: a written table of leaves_of."""
+    spark = rows.sparkSession
+    leaves = spark.createDataFrame(plan(rows, weights, share, max_epochs), "domain string, lang string, source string, passes long, rest long")
+    keyed = rows.join(F.broadcast(leaves), list(LEVELS)).withColumn("key", order_key(seed, F.col("passes"), F.col("place")))
+    cut = cutoffs(keyed.where("rest > 0"))
+    cut = spark.createDataFrame(cut.collect(), cut.schema)  # a row for each leaf
+    return leaves.join(cut, list(LEVELS), "left")
+
+
+def copies(passes: Column, rest: Column, cut_key: Column, cut_tokens: Column, key: Column, tokens: Column) -> Column:
+    """How many epochs take a row."""
+    within = (key < cut_key) | ((key == cut_key) & (tokens <= cut_tokens))
+    return passes + F.when((rest > 0) & within, 1).otherwise(0)
+
+
 def mix(
     docs: DataFrame, weights: Weights, domain: Column, share: float = 0.6, max_epochs: int = 3, seed: int = 17,
     id_col: str = "doc_id", text_col: str = "text", tokens: Column | None = None,
 ) -> DataFrame:
     """A row for each selected row and epoch: doc_id, domain, lang, source, n_tokens, epoch."""
-    spark = docs.sparkSession
     rows = shared.write(leaves_of(docs, weights, domain, id_col, text_col, tokens), "leaves")
-    leaves = F.broadcast(spark.createDataFrame(plan(rows, weights, share, max_epochs), "domain string, lang string, source string, passes long, rest long"))
-    keyed = rows.join(leaves, list(LEVELS)).withColumn("key", order_key(seed, F.col("passes"), F.col("doc_id")))
-    cut = cutoffs(keyed.where("rest > 0"))
-    cut = F.broadcast(spark.createDataFrame(cut.collect(), cut.schema))  # a row for each leaf
-    marked = keyed.join(cut, list(LEVELS), "left")
-    last = F.when((F.col("rest") > 0) & ((F.col("key") < F.col("cut_key")) | ((F.col("key") == F.col("cut_key")) & (F.col("n_tokens") <= F.col("cut_tokens")))), 1).otherwise(0)
-    copies = marked.withColumn("n", F.col("passes") + last).where("n > 0")
-    return copies.select("doc_id", *LEVELS, "n_tokens", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("epoch"))
+    marked = rows.join(F.broadcast(cuts(rows, weights, share, max_epochs, seed)), list(LEVELS))
+    n = copies(*map(F.col, ("passes", "rest", "cut_key", "cut_tokens")), order_key(seed, F.col("passes"), F.col("place")), F.col("n_tokens"))
+    return marked.withColumn("n", n).where("n > 0").select("doc_id", *LEVELS, "n_tokens", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("epoch"))
+
+
+def selected(
+    docs: DataFrame, weights: Weights, domain: Column, share: float = 0.6, max_epochs: int = 3, seed: int = 17,
+    id_col: str = "doc_id", text_col: str = "text", tokens: Column | None = None,
+) -> DataFrame:
+    """The rows of docs that are taken, as they are, with mix_copies, by how many epochs."""
+    rows = shared.write(leaves_of(docs, weights, domain, id_col, text_col, tokens), "leaves")
+    told = cuts(rows, weights, share, max_epochs, seed)
+    told = told.select(*[F.col(c).alias(f"mix_{c}") for c in told.columns])
+    of_leaf = [(a == F.col(f"mix_{c}")) for a, c in zip(leaf(docs, weights, domain), LEVELS, strict=True)]
+    marked = docs.join(F.broadcast(told), of_leaf[0] & of_leaf[1] & of_leaf[2])
+    # words are counted of rows at the cut alone
+    n = copies(*(F.col(f"mix_{c}") for c in ("passes", "rest", "cut_key", "cut_tokens")), order_key(seed, F.col("mix_passes"), place_of(id_col, text_col)), tokens_of(text_col, tokens))
+    return marked.withColumn("mix_copies", n).where("mix_copies > 0").select(*[F.col(f"`{c}`") for c in docs.columns], "mix_copies")
 
 
 def cutoffs(keyed: DataFrame) -> DataFrame:
@@ -132,14 +169,16 @@ def cutoffs(keyed: DataFrame) -> DataFrame:
     inside = keyed.withColumn("before", F.lit(0).cast("long"))
     for n, place in enumerate(ranges):
         # the range of the hash in which the budget ends, and the tokens before it
-        sums = inside.groupBy(*LEVELS, "rest", "before", place.alias("place")).agg(F.sum("n_tokens").alias("n"))
-        run = Window.partitionBy(*LEVELS).orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+        sums = inside.groupBy(*LEVELS, "rest", "before", place.alias("range")).agg(F.sum("n_tokens").alias("n"))
+        run = Window.partitionBy(*LEVELS).orderBy("range").rowsBetween(Window.unboundedPreceding, 0)
         sums = sums.withColumn("to", F.col("before") + F.sum("n").over(run))
-        ends = sums.where("to >= rest").groupBy(*LEVELS).agg(F.min(F.struct("place", (F.col("to") - F.col("n")).alias("before"))).alias("s")).select(*LEVELS, "s.place", "s.before")
+        ends = sums.where("to >= rest").groupBy(*LEVELS).agg(F.min(F.struct("range", (F.col("to") - F.col("n")).alias("before"))).alias("s")).select(*LEVELS, "s.range", "s.before")
         ends = keyed.sparkSession.createDataFrame(ends.collect(), ends.schema)  # a row for each leaf
-        inside = shared.write(keyed.withColumn("place", place).join(F.broadcast(ends), [*LEVELS, "place"]).drop("place"), f"range-{n}")
+        inside = shared.write(keyed.withColumn("range", place).join(F.broadcast(ends), [*LEVELS, "range"]).drop("range"), f"range-{n}")
+    # rows with one hash and size can't be told apart: their groups are put in order, so that one id's many rows are one row here
+    groups = inside.groupBy(*LEVELS, "rest", "before", "key", "n_tokens").agg(F.sum("n_tokens").alias("n"))
     run = Window.partitionBy(*LEVELS).orderBy("key", "n_tokens").rowsBetween(Window.unboundedPreceding, 0)
-    ordered = inside.withColumn("to", F.col("before") + F.sum("n_tokens").over(run)).where("to >= rest")
+    ordered = groups.withColumn("to", F.col("before") + F.sum("n").over(run)).where("to >= rest")
     return ordered.groupBy(*LEVELS).agg(F.min(F.struct("key", "n_tokens")).alias("s")).select(*LEVELS, F.col("s.key").alias("cut_key"), F.col("s.n_tokens").alias("cut_tokens"))
 
 
