@@ -9,6 +9,7 @@ Normalisation and case folding come from the ICU library that Spark ships for it
 
 Nulls, ties, empties: a null text is an empty one. Repeated rows are compared like any others. Rows with a null id get
 fingerprints, but no comparison by id: their fingerprint is the plain one. An empty table gives an empty table.
+Columns beyond id and text aren't read, whatever their names.
 """
 
 from __future__ import annotations

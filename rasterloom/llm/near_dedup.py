@@ -19,6 +19,7 @@
 
 Nulls, ties, empties: a null text is an empty one. Rows that share a doc_id are one document: they are in one component.
 A null doc_id takes the component of its equals, null if none of them has an id, and is kept only in that last case.
+An empty table gives an empty table. Columns beyond id and text aren't read, whatever their names.
 """
 
 from __future__ import annotations
@@ -258,8 +259,8 @@ def near_dedup(
         """Those of the pairs (a, b) whose whole sets reach the threshold, written."""
         joined = pairs.distinct().join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a")
         joined = joined.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
-        common = F.size(F.array_intersect("x", "y"))
-        return shared.write(joined.where(common * 1000 >= (F.size("x") + F.size("y") - common) * per_mille).select("a", "b"), "links")
+        common, both = F.size(F.array_intersect("x", "y")).cast("long"), (F.size("x") + F.size("y")).cast("long")
+        return shared.write(joined.where(common * 1000 >= (both - common) * per_mille).select("a", "b"), "links")
 
     def led(rows_led: DataFrame) -> DataFrame:
         """Pairs of each member with its bucket's leader."""

@@ -11,7 +11,9 @@ word's share of the score is one number; scoring looks it up once a word and nev
 
 Nulls, ties, empties: a null text is an empty one; an empty text scores the bias alone. Rows without a label are not used
 for training; without any labelled row of both classes each text scores the smoothed share of label 1. Repeated rows
-are scored alike. Labels, languages, sources and ids are no inputs of a score.
+are scored alike. An id with several labels is toxic if one of them is; of several texts of an id the smallest is used for
+training, so that no more than two times `most_rows` texts reach the driver. An empty table gives an empty table. Labels,
+languages, sources and ids are no inputs of a score. Extra columns aren't read; carried ones must not be called as out_col.
 """
 
 from __future__ import annotations
@@ -249,9 +251,9 @@ def gather_rows(docs: DataFrame, labels: DataFrame, most_rows: int, id_col: str,
         own = ids.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
         picked = own if picked is None else picked.unionByName(own)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    # twice most_rows ids at most
-    rows = texts.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "y").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["text"] or ""))
+    # twice most_rows ids at most, and a row for each: a hot id's rows are reduced before they are sent
+    rows = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "y").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")).collect()
+    rows.sort(key=lambda r: r["doc_id"])
     return [r["text"] for r in rows], [r["y"] for r in rows]
 
 
