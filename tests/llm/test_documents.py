@@ -62,6 +62,37 @@ def test_hot_line_over_many_partitions(spark):
     assert sorted(got, key=repr) == brute_lines(rows)
 
 
+def test_an_id_of_many_rows(spark):
+    """A document of 3,000 rows in the middle of a key's documents: more places than wait in memory."""
+    line, other = "a line that many rows of one document hold", "and this is one of two documents alone"
+    rows = [(9, f"{line}\n{other}"), (3, f"x\n{line}\n{line}"), *((5, f"row {i}\n{line}\n{other}") for i in range(3000)), *((5, f"row 1\n{line}\n{other}") for _ in range(50))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    got = line_dedup.line_dedup(docs, kept_col="kept").select("doc_id", "n_lines", "n_dropped", "kept").collect()
+    assert sorted(map(tuple, got), key=repr) == brute_lines(rows)
+
+
+def test_rows_without_ids_are_spread(spark):
+    """100,000 rows without an id, all with one line: what goes from each is its own, and tasks are even."""
+    docs = spark.range(100_000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("this line is in every single row\nrow "), "id").alias("text"))
+    docs = docs.unionByName(spark.createDataFrame([(1, "this line is in every single row"), (2, "this line is in every single row")], "doc_id long, text string"))
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = line_dedup.line_dedup(docs, kept_col="kept").withColumn("task", F.spark_partition_id())
+        tasks = out.groupBy("task").agg(F.count("*").alias("n"), F.sum("n_dropped").alias("gone")).collect()
+        mixed = mixing.mix(docs.withColumns({"lang": F.lit("en"), "source": F.lit("src0")}), mixing.PRODUCTION, mixing.by_number(F.col("source")), share=0.5, max_epochs=1)
+        taken = mixed.agg(F.sum("n_tokens").alias("n")).first()["n"]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sum(r["n"] for r in tasks) == 100_002 and sum(r["gone"] for r in tasks) == 100_001
+    assert len(tasks) == 16 and max(r["n"] for r in tasks) < 2 * 100_002 / 16
+    total = 9 * 100_000 + 2 * 7
+    assert total / 2 <= taken < total / 2 + 9
+
+
 def test_bitmaps():
     keep = np.random.default_rng(1).random(1000) < 0.5
     assert (line_dedup.unpack_bitmap(line_dedup.pack_bitmap(keep)) == keep).all()
@@ -282,6 +313,59 @@ def test_toxicity_of_odd_rows(spark):
     assert toxicity.score(no_docs(spark), model).count() == 0
 
 
+def slow_logit(model, text: str) -> float:
+    """A score's logit by plain loops over n-grams and windows."""
+    top = 1 << 64
+
+    def bucket(h: int) -> int:
+        h = (h ^ h >> 29) * toxicity.EVEN % top
+        return (h ^ h >> 32) * toxicity.ODD % top >> (64 - model.bits)
+
+    def word_logit(w: str) -> float:
+        marked, found = f"<{w}>", [bucket(zlib.crc32(w.encode()))]
+        for n in range(model.shortest, model.longest + 1):
+            for i in range(len(marked) - n + 1):
+                h = ord(marked[i])
+                for c in marked[i + 1 : i + n]:
+                    h = (h * toxicity.ODD + ord(c)) % top
+                found.append(bucket((h + n) % top))
+        return sum(float(model.weights[b]) for b in found) / len(found)
+
+    logits = [word_logit(w) for t in text.lower().split() for w in toxicity.words_of(t)]
+    windows = [logits[i : i + model.window] for i in range(max(len(logits) - model.window + 1, 1))]
+    return max((sum(w) / len(w) for w in windows if w), default=0.0) + model.bias
+
+
+def test_scores_by_plain_loops(spark):
+    sf = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = toxicity.fit(docs, labels)
+    scored = toxicity.score(docs.where(F.length("text") < 3000), model, carry=("doc_id", "text")).collect()
+    assert len(scored) > 100
+    for r in scored:
+        assert r["score"] == pytest.approx(1 / (1 + np.exp(-np.clip(slow_logit(model, r["text"] or ""), -60, 60))), abs=1e-9)
+
+
+def test_joint_training_learns_misspellings():
+    """Labels are learned from n-grams: other texts, and words that no text has, are told apart."""
+    rng = np.random.default_rng(3)
+    clean, bad = ["sun", "river", "stone", "cloud", "meadow", "lantern"], ["grubnak", "vilezor"]
+    texts = [" ".join([*rng.choice(clean, 12), *(rng.choice(bad, 1) if i % 2 else [])]) for i in range(400)]
+    model = toxicity.train(texts[:200], [i % 2 for i in range(200)], bits=14)
+    scores = toxicity.Scorer(model)([*texts[200:], "a grubnakk by the river", "the viilezor of the meadow", "a meadow by the river"])
+    assert ((scores[:200] >= 0.5) == (np.arange(200) % 2 == 1)).mean() > 0.97
+    assert min(scores[200:202]) > scores[202]
+
+
+def test_training_rows_are_bounded(spark):
+    """One id's many rows give one text; several labels of an id are one."""
+    docs = spark.range(5000).select((F.col("id") % 3 + 1).alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (3, 1)], "doc_id long, toxic int")
+    texts, own = toxicity.gather_rows(docs, labels, 2, "doc_id", "text", "toxic")
+    known = [i for i in (1, 2, 3) if zlib.crc32(str(i).encode()) % 5]
+    assert texts == [f"text {min((x for x in range(5000) if x % 3 + 1 == i), key=str)}" for i in known] and own == [{1: 1, 2: 0, 3: 1}[i] for i in known]
+
+
 def test_grams_by_hand():
     words = ["a", "toxic", "x" * 24]
     word, bucket = toxicity.grams(words, 3, 6, 18)
