@@ -8,13 +8,13 @@ packing       sequences of 2048 tokens; one row for each piece
 
 All stages but the last return the columns of their input. Nulls, repeated rows, empty tables and extra columns: as each
 operator's module says; of rows that share a doc_id, near_dedup keeps the one with the smallest text, and rows without a
-doc_id pass it. ORACLE_SQL is None: models, tokenizers and shingle links aren't SQL; the tests hold stages against
+doc_id pass it. ORACLE_SQL is None: models, tokenizers and shingle links aren't SQL; the tests hold each stage against
 brute force.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterloom.llm import line_dedup, mixing, near_dedup, packing, shared, toxicity
@@ -41,8 +41,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     own = _masked(docs)
-    carry = tuple(c for c in own.columns if c != "in_doc_id")
-    kept = line_dedup.kept_text(line_dedup.line_dedup(own, "in_doc_id", "in_text", carry), "in_text")
+    carry = tuple(c for c in own.columns if c not in ("in_doc_id", "in_text"))
+    kept = line_dedup.line_dedup(own, "in_doc_id", "in_text", carry, kept_col="kept")
     changed = {"text": F.col("kept")}
     if "n_chars" in docs.columns:
         changed["n_chars"] = F.length("kept").cast(docs.schema["n_chars"].dataType)
@@ -52,15 +52,35 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     own = _masked(docs)
     gone = near_dedup.near_dedup(own, "in_doc_id", "in_text").where(~F.col("kept")).select(F.col("doc_id").alias("in_doc_id")).distinct()
-    left = own.join(gone, "in_doc_id", "left_anti")
-    first = F.row_number().over(Window.partitionBy("in_doc_id").orderBy("in_text"))
-    return _unmasked(left.withColumn("row_of_id", first).where(F.col("in_doc_id").isNull() | (F.col("row_of_id") == 1)), docs)
+    return _unmasked(one_row_an_id(own.join(gone, "in_doc_id", "left_anti"), own), docs)
+
+
+def one_row_an_id(rows: DataFrame, before: DataFrame) -> DataFrame:
+    """Of rows, which are some of before, that share an in_doc_id the one with the smallest text, then the smallest hash of all columns; all without an id.
+
+    Ids of one row, nearly all, pass by without being sorted or shuffled with their texts; others are aggregated before they are
+    shuffled, so it doesn't matter how many rows an id has.
+    """
+    again = shared.write(before.where("in_doc_id is not null").groupBy("in_doc_id").agg(F.count("*").alias("n")).where("n > 1").select("in_doc_id"), "ids-of-rows")
+    if again.isEmpty():
+        return rows
+    hashed = rows.withColumn("row_hash", F.xxhash64(*[F.to_json(F.struct(c)) if _nested(rows, c) else F.col(c) for c in rows.columns]))
+    several = hashed.join(again, "in_doc_id", "left_semi")
+    first = several.groupBy("in_doc_id").agg(F.min(F.struct(F.coalesce("in_text", F.lit("")).alias("t"), "row_hash")).alias("first"))
+    first = first.select(F.col("in_doc_id").alias("first_id"), F.col("first.row_hash").alias("first_hash"))
+    kept = several.join(first, (F.col("in_doc_id") == F.col("first_id")) & (F.col("row_hash") == F.col("first_hash")), "left_semi").dropDuplicates(["in_doc_id"])
+    return rows.join(again, "in_doc_id", "left_anti").unionByName(kept.select(*rows.columns))
+
+
+def _nested(rows: DataFrame, name: str) -> bool:
+    return rows.schema[name].dataType.typeName() in ("map", "variant")
 
 
 def draw_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    drawn = mixing.mix(docs, mixing.PRODUCTION, mixing.by_number(F.col("source")), share=0.9, max_epochs=1)
-    own, ids = _masked(docs), drawn.select(F.col("doc_id").alias("drawn_id")).distinct()
-    return _unmasked(own.join(ids, F.col("in_doc_id").cast("long").eqNullSafe(F.col("drawn_id")), "left_semi"), docs)
+    own = _masked(docs)
+    names = own.withColumns({"lang": F.col("in_lang"), "source": F.col("in_source")})
+    drawn = mixing.selected(names, mixing.PRODUCTION, mixing.by_number(F.col("source")), share=0.9, max_epochs=1, id_col="in_doc_id", text_col="in_text")
+    return _unmasked(drawn, docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
