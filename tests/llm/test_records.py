@@ -7,6 +7,7 @@ import gzip
 import hashlib
 import io
 import math
+import re
 import struct
 import time
 import zipfile
@@ -20,9 +21,10 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from rasterloom.llm import html_text, media, packing, shared, warc
+from rasterloom.llm import html_text, media, mixing, packing, shared, toxicity, warc
 
-from .helpers import no_docs, odd_docs, odd_rows
+from .helpers import components, no_docs, odd_docs, odd_rows
+from .test_documents import brute_lines, brute_mix, shingles, slow_logit
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
@@ -524,6 +526,67 @@ def test_pipeline_stages(spark):
     assert packed.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
 
 
+def test_pipeline_against_brute_force(spark):
+    """Each stage on what its predecessor kept, against plain Python."""
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = [(r["doc_id"], r["text"], r["lang"], r["source"]) for r in docs.collect()]
+    docs = docs.withColumn("n_chars", F.length("text").cast("long"))
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+
+    after = shared.write(corpus_pipeline.drop_toxic(spark, docs, sf), "t")
+    want = [r for r in rows if (slow_logit(model, r[1]) if len(r[1]) < 4000 else float(np.log(1 / (1 / toxicity.Scorer(model)([r[1]])[0] - 1)))) < 0]
+    assert sorted((r["doc_id"], r["text"]) for r in after.collect()) == sorted(r[:2] for r in want) and len(want) < len(rows)
+
+    docs, rows = after, want
+    after = shared.write(corpus_pipeline.drop_lines(spark, docs, sf), "l")
+    lines = {i: text for i, _, _, text in brute_lines([r[:2] for r in rows])}
+    assert {r["doc_id"]: (r["text"], r["n_chars"]) for r in after.collect()} == {i: (t, len(t)) for i, t in lines.items()}
+    assert any(lines[r[0]] != r[1] for r in rows)
+
+    docs, rows = after, [(r[0], lines[r[0]], *r[2:]) for r in rows]
+    after = shared.write(corpus_pipeline.drop_near_copies(spark, docs, sf), "n")
+    sets = {r[0]: shingles(r[1], 5) for r in rows}
+    groups = components(sorted(sets), lambda a, b: bool(sets[a]) and bool(sets[b]) and 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]))
+    want = [r for r in rows if groups[r[0]] == r[0]]
+    assert sorted((r["doc_id"], r["text"]) for r in after.collect()) == sorted(r[:2] for r in want) and len(want) < len(rows)
+
+    docs, rows = after, want
+    after = shared.write(corpus_pipeline.draw_mix(spark, docs, sf), "m")
+    named = {r["doc_id"]: (r["domain"], r["lang"], r["source"]) for r in mixing.leaves_of(docs, mixing.PRODUCTION, mixing.by_number(F.col("source")), "doc_id", "text", None).collect()}
+    keys = {(r["e"], r["doc_id"]): r["k"] for e in (0, 1) for r in docs.select("doc_id", F.lit(e).alias("e"), mixing.order_key(17, F.lit(e), F.col("doc_id")).alias("k")).collect()}
+    drawn = brute_mix([(r[0], r[0], named[r[0]], len(re.findall(r"\S+", r[1], re.ASCII))) for r in rows], mixing.PRODUCTION, 0.9, 1, 17, keys)
+    assert sorted(r["doc_id"] for r in after.collect()) == sorted(i for i, _, _ in drawn) and len(drawn) < len(rows)
+
+    kept = {i for i, _, _ in drawn}
+    pieces = corpus_pipeline.pack_sequences(spark, after, sf).collect()
+    tokenizer = Tokenizer.from_file(VOCABULARY)
+    ids = {r[0]: tokenizer.encode(r[1], add_special_tokens=False).ids + [1] for r in rows if r[0] in kept}
+    assert {p["doc_id"] for p in pieces} == kept
+    for doc, own in ids.items():
+        parts = sorted((p["start"], p["length"], p["ids_crc32"], p["doc_tokens"]) for p in pieces if p["doc_id"] == doc)
+        assert [p[0] for p in parts] == [sum(q[1] for q in parts[:k]) for k in range(len(parts))] and sum(p[1] for p in parts) == len(own) == parts[0][3]
+        assert all(zlib.crc32(np.array(own[a : a + n], "<u4").tobytes()) == crc for a, n, crc, _ in parts)
+    by_sequence = {}
+    for p in pieces:
+        by_sequence.setdefault(p["sequence_id"], []).append((p["offset"], p["length"]))
+    for own in by_sequence.values():
+        own.sort()
+        assert [x for x, _ in own] == [sum(n for _, n in own[:k]) for k in range(len(own))] and sum(n for _, n in own) <= 2048
+
+
+def test_rows_without_ids_and_of_one_id_in_the_pipeline(spark):
+    """30,000 rows without an id pass the stages, and of 30,000 rows of one id one stays, whatever else they hold."""
+    rows = spark.range(60_000).select(
+        F.when(F.col("id") % 2 == 0, F.lit(7)).cast("long").alias("doc_id"), F.concat_ws(" ", F.lit("some words of row"), F.col("id"), F.col("id") * 3, F.col("id") * 7).alias("text"),
+        F.lit("en").alias("lang"), F.lit("src1").alias("source"), F.create_map(F.lit("k"), F.col("id")).alias("extra"),
+    )
+    out = corpus_pipeline.drop_near_copies(spark, rows, "").collect()
+    assert sum(r["doc_id"] is None for r in out) == 30_000 and [r["text"] for r in out if r["doc_id"] == 7] == [min(f"some words of row {i} {3 * i} {7 * i}" for i in range(0, 60_000, 2))]
+    drawn = corpus_pipeline.draw_mix(spark, rows, "")
+    assert drawn.columns == rows.columns and 0.9 * 60_000 <= drawn.count() < 0.9 * 60_000 + 40_000
+
+
 def test_pipeline_of_nothing(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet").where("false")
