@@ -52,25 +52,28 @@ def pieces(text: Column, size: int) -> Column:
     return F.filter(F.split(text, rf"(?<=\G.{{{size}}})"), lambda p: F.length(p) > 0)
 
 
-def byte_values(hexed: Column) -> Column:
-    """Hex digits as an array of byte values."""
-    return F.transform(pieces(hexed, 2), lambda h: F.conv(h, 16, 10).cast("long"))
+NUMBER = r"\G(?:[89A-F][0-9A-F]){0,7}[0-7][0-9A-F]"  # a LEB128 number in hex digits, right behind the one before
+
+
+def varint_value(hexed: Column) -> Column:
+    """The value of one LEB128 number of eight bytes at most: its bytes as one number, taken apart by shifts."""
+
+    def of(whole: Column) -> Column:
+        n = F.length(hexed) / 2
+        parts = [F.when(n > i, F.shiftleft(F.call_function("shiftrightunsigned", whole, ((n - 1 - i) * 8).cast("int")).bitwiseAND(F.lit(127).cast("long")), 7 * i)).otherwise(F.lit(0).cast("long")) for i in range(8)]
+        out = parts[0]
+        for part in parts[1:]:
+            out = out.bitwiseOR(part)
+        return out
+
+    short = F.conv(hexed, 16, 10).cast("long")
+    return F.when(F.length(hexed) == 2, short).otherwise(let(F.conv(hexed, 16, -10).cast("long"), of))
 
 
 def varints(hexed: Column) -> Column:
-    """The values of a run of LEB128 numbers in hex digits: a fold over the bytes."""
-    start = F.struct(F.array().cast("array<bigint>").alias("out"), F.lit(0).cast("bigint").alias("now"), F.lit(0).alias("shift"))
-
-    def step(state: Column, b: Column) -> Column:
-        now = state["now"].bitwiseOR(F.call_function("shiftleft", b.bitwiseAND(F.lit(127).cast("bigint")), state["shift"]))
-        done = b < 128
-        return F.struct(
-            F.when(done, F.concat(state["out"], F.array(now))).otherwise(state["out"]).alias("out"),
-            F.when(done, F.lit(0).cast("bigint")).otherwise(now).alias("now"),
-            F.when(done, F.lit(0)).otherwise(state["shift"] + 7).alias("shift"),
-        )
-
-    return F.aggregate(byte_values(hexed), start, step, lambda s: s["out"])
+    """The values of a run of LEB128 numbers in hex digits, in time proportional to its length. A number that is cut off, and
+    what is behind one of more than eight bytes, is left out."""
+    return F.transform(F.regexp_extract_all(hexed, F.lit(NUMBER), 0), varint_value)
 
 
 def text_units(hexed: Column) -> Column:

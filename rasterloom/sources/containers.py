@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codec as K
@@ -53,20 +53,30 @@ def parsed(containers: DataFrame) -> DataFrame:
 def index_of(documents: DataFrame) -> DataFrame:
     """video, frame, gop_id, offset, length, is_keyframe from the index text: three numbers a frame."""
     numbers = documents.select("video", K.let(K.text_hex(F.col("c.index")), K.varints).alias("v"))
-    each = numbers.select("video", "v", F.explode(F.sequence(F.lit(0), (F.size("v") / 3).cast("int") - 1)).alias("frame"))
-    at = F.col("frame") * 3
-    return each.select(
-        "video", "frame", F.element_at("v", at + 1).alias("gop_id"), F.shiftright(F.element_at("v", at + 2), 1).alias("offset"),
-        F.element_at("v", at + 3).alias("length"), (F.element_at("v", at + 2).bitwiseAND(F.lit(1)) == 1).alias("is_keyframe"),
-    )
+    # the entries are made in the index's row and then spread, so that no frame carries the index
+    at = F.sequence(F.lit(0), F.floor(F.size("v") / 3).cast("int") - 1)
+    entry = F.transform(F.when(F.size("v") >= 3, at).otherwise(F.array().cast("array<int>")), lambda i: F.struct(
+        i.alias("frame"), F.element_at("v", i * 3 + 1).alias("gop_id"), F.shiftright(F.element_at("v", i * 3 + 2), 1).alias("offset"),
+        F.element_at("v", i * 3 + 3).alias("length"), (F.element_at("v", i * 3 + 2).bitwiseAND(F.lit(1).cast("long")) == 1).alias("is_keyframe"),
+    ))
+    return numbers.select("video", F.inline(entry))
 
 
 def writes(documents: DataFrame) -> DataFrame:
     """video, frame, idx, color: the pixels that each frame's packet writes. Empty packets write nothing."""
     chunks = documents.select("video", F.posexplode("c.chunks").alias("gop_id", "text")).select("video", F.col("gop_id").cast("long").alias("gop_id"), K.text_hex(F.col("text")).alias("chunk"))
-    cut = index_of(documents).where("length > 0").join(chunks, ["video", "gop_id"])
-    packet = cut.select("video", F.substring("chunk", (F.col("offset") * 2 + 1).cast("int"), (F.col("length") * 2).cast("int")).alias("packet"))
-    numbers = packet.select("video", K.varints(F.col("packet")).alias("v")).select("video", F.shiftright(F.element_at("v", 1), 1).alias("frame"), F.explode(F.slice("v", 3, 1 << 30)).alias("value"))
+    # a chunk is cut into its packets where it is: a group of frames is a row, no packet carries the chunk
+    places = index_of(documents).where("length > 0").groupBy("video", "gop_id").agg(F.collect_list(F.struct("offset", "length")).alias("places"))
+    return packet_writes(places.join(chunks, ["video", "gop_id"]).select("video", F.explode(F.transform("places", lambda p: _cut(F.col("chunk"), p))).alias("packet")))
+
+
+def _cut(chunk: Column, place: Column) -> Column:
+    return F.substring(chunk, (place["offset"] * 2 + 1).cast("int"), (place["length"] * 2).cast("int"))
+
+
+def packet_writes(packets: DataFrame) -> DataFrame:
+    """video, frame, idx, color of packets (hex digits): header, count, runs."""
+    numbers = packets.select("video", K.varints(F.col("packet")).alias("v")).select("video", F.shiftright(F.element_at("v", 1), 1).alias("frame"), F.explode(F.slice("v", 3, 1 << 30)).alias("value"))
     index, length, color = K.unpack(F.col("value"))
     return numbers.select("video", "frame", F.explode(F.sequence(index, index + length - 1)).alias("idx"), color.alias("color"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -42,6 +44,23 @@ def test_varints_at_their_edges(spark):
         assert row["h"] == leb(row["v"]) and row["n"] * 2 == len(row["h"]) and row["back"] == [row["v"]]
 
 
+def test_a_million_varints_in_one_row(spark):
+    """In seconds: a fold that appends to an array would take hours."""
+    rng = np.random.default_rng(2)
+    values = (rng.integers(0, 2**35, 1_000_000) >> rng.integers(0, 35, 1_000_000)).tolist()
+    text = "".join(map(leb, values))
+    start = time.perf_counter()
+    got = spark.createDataFrame([(text,)], "h string").select(K.varints(F.col("h")).alias("v")).first()["v"]
+    assert time.perf_counter() - start < 60 and got == values
+
+
+def test_cut_off_varints(spark):
+    """Numbers are read from whole bytes; a last one that is cut off is left out."""
+    rows = [("8181", []), ("0181", [1]), ("", []), ("FFFFFFFF0F01", [2**32 - 1, 1]), ("FF" * 7 + "7F05", [2**56 - 1, 5])]
+    df = spark.createDataFrame([(h,) for h, _ in rows], "h string").select("h", K.varints(F.col("h")).alias("v"))
+    assert {r["h"]: r["v"] for r in df.collect()} == dict(rows)
+
+
 @settings(max_examples=5, deadline=None)
 @given(st.lists(st.binary(max_size=40), min_size=1, max_size=40))
 def test_text_round_trip(spark, data):
