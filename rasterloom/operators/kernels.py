@@ -1,18 +1,22 @@
 """Kernels with feedback: error diffusion within a frame, temporal rate control within a video, k-means.
 
-Error diffusion passes errors on in raster order, so a frame is one task's group; frames are independent. Rate control
-passes state from frame to frame, so a video is a group, and videos are independent.
+Error diffusion passes errors on in raster order; frames are independent, so a kernel works on many at once, pixel line by
+pixel line. Rate control passes state from frame to frame: a task streams a video's frames and holds one frame of state;
+videos are independent.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import color as C
 from ..functions.palette import palette_rows
+from . import frames as R
 
 # Where errors go (right, down, share), fixed values
 WEIGHTS = {
@@ -25,34 +29,74 @@ WEIGHTS = {
 SCENES = ((0.01, 40.0, 3.0, 0.05, 0.2), (0.05, 25.0, 5.0, 0.10, 0.4), (0.20, 15.0, 7.0, 0.20, 0.5), (0.50, 8.0, 10.0, 0.35, 0.6), (float("inf"), 0.0, 0.0, 1.0, 0.8))
 
 
-def diffused(image: np.ndarray, colors: np.ndarray, method: str) -> np.ndarray:
-    """Palette indices of an (h, w, 3) image; a diagonal sweep: pixels on a line 5y + x depend on
-    earlier lines only, and errors reach a pixel in raster order."""
-    h, w, _ = image.shape
-    work, out = image.astype(np.float32), np.zeros((h, w), np.int32)
-    for line in range(w + 5 * (h - 1)):
-        y = np.arange(max(0, -(-(line - w + 1) // 5)), min(h, line // 5 + 1))
-        x = line - 5 * y
-        here = work[y, x]
-        near = ((here[:, None, :] - colors[None]) ** 2).sum(axis=2).argmin(axis=1)
-        out[y, x] = near
-        error = here - colors[near]
-        for dx, dy, share in WEIGHTS[method]:
-            ok = (x + dx >= 0) & (x + dx < w) & (y + dy < h)
-            work[y[ok] + dy, x[ok] + dx] += error[ok] * np.float32(share)
-    return out
+SPACE = 1 << 18  # distances held at once
+
+
+def slope(method: str) -> int:
+    """The least slope of lines slope * y + x = constant on which no pixel depends on another and errors arrive in raster order."""
+    reach = WEIGHTS[method]
+    apart = [-(-(u - x) // (y - v)) for x, y, _ in reach for u, v, _ in reach if y > v]
+    return max([1 - -(-x // y) if x < 0 else 1 for x, y, _ in reach if y] + [-(x // y) + 1 for x, y, _ in reach if y] + apart)
+
+
+def diffused(images: np.ndarray, colors: np.ndarray, method: str) -> np.ndarray:
+    """Palette indices of an (h, w, 3) image, or of many, (n, h, w, 3).
+
+    Pixels are kept by (line, y), so that a line's pixels lie side by side and an error goes to a line further by the same
+    shift for all of them; what would leave the frame lands in cells that no pixel has.
+    """
+    if images.ndim == 3:
+        return diffused(images[None], colors, method)[0]
+    n, h, w, _ = images.shape
+    step, colors = slope(method), colors.astype(np.float32)
+    widest = -(-w // step)
+    block = max(1, SPACE // (widest * len(colors)))
+    if n > block:
+        return np.concatenate([diffused(images[at : at + block], colors, method) for at in range(0, n, block)])
+    reach = sorted(WEIGHTS[method], key=lambda r: -r[1])
+    lines = w + step * (h - 1)
+    work = np.zeros((lines + 2 * step + 3, h + 2, 3, n), np.float32)
+    for y in range(h):
+        work[step * y : step * y + w, y] = images[:, y].transpose(1, 2, 0)
+    out = np.zeros((lines, h, n), np.uint8)
+    for line in range(lines):
+        top, end = max(0, -(-(line - w + 1) // step)), min(h, line // step + 1)
+        here = work[line, top:end]
+        far = here[:, 0, :, None] - colors[:, 0]
+        far *= far
+        for c in (1, 2):
+            part = here[:, c, :, None] - colors[:, c]
+            part *= part
+            far += part
+        near = far.argmin(axis=2)
+        out[line, top:end] = near
+        error = here - colors[near].transpose(0, 2, 1)
+        for dx, dy, share in reach:
+            work[line + step * dy + dx, top + dy : end + dy] += error * np.float32(share)
+    place = step * np.arange(h)[:, None] + np.arange(w)
+    return out[place, np.arange(h)[:, None]].transpose(2, 0, 1).astype(np.int32)
 
 
 def error_diffusion(px: DataFrame, method: str, name: str = "full") -> DataFrame:
-    """video, frame, idx, color."""
+    """video, frame, idx, color of pixel rows."""
     colors = np.array([row[3:] for row in palette_rows(name)], np.float32)
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("idx")
-        image = frame[["r", "g", "b"]].to_numpy(np.float32).reshape(frame["y"].max() + 1, -1, 3)
-        return pd.DataFrame({"video": frame["video"].to_numpy(), "frame": frame["frame"].to_numpy(), "idx": frame["idx"].to_numpy(), "color": diffused(image, colors, method).ravel()})
+    def kernel(block: R.Block) -> Iterator[pa.RecordBatch]:
+        videos, numbers, images = block
+        yield R.rows_of(videos, numbers, *images.shape[1:3], color=diffused(images, colors, method))
+
+    return R.map_rows(px, ("video", "frame"), lambda: kernel, "video string, frame int, idx int, color int")
 
-    return px.select("video", "frame", "idx", "y", "r", "g", "b").groupBy("video", "frame").applyInPandas(run, "video string, frame int, idx int, color int")
+
+def error_diffusion_packed(frames: DataFrame, method: str, name: str = "full") -> DataFrame:
+    """video, frame, width, height, colors (a byte a pixel) of packed frames, without a shuffle."""
+    colors = np.array([row[3:] for row in palette_rows(name)], np.float32)
+
+    def kernel(block: R.Block) -> Iterator[pa.RecordBatch]:
+        videos, numbers, images = block
+        yield R.packed_of(videos, numbers, diffused(images, colors, method).astype(np.uint8), "colors")
+
+    return R.map_packed(frames, lambda: kernel, "video string, frame int, width int, height int, colors binary")
 
 
 def box_mean(a: np.ndarray) -> np.ndarray:
@@ -72,52 +116,72 @@ def scene(ratio: float) -> tuple[float, float, float, float]:
 
 
 class RateControl:
-    """State of one video: what was sent, what was wanted for how long, and the error to spread over time."""
+    """One video's sender. What it remembers is a frame wide: the picture before, the indices on the screen, the error that the
+    next picture should make up for, and for how long and how much each pixel has wanted to change."""
 
     def __init__(self, colors: np.ndarray):
         self.colors, self.lab = colors, oklab_array(colors)
-        self.sent = self.before = self.error = self.wanted = None
+        self.screen: np.ndarray | None = None
 
     def frame(self, image: np.ndarray) -> np.ndarray:
-        if self.error is None:
-            self.error, self.wanted = np.zeros_like(image), np.zeros(image.shape[:2])
-        shown = image + self.error
-        lab = oklab_array(shown)
-        best = ((lab[:, :, None, :] - self.lab) ** 2).sum(axis=3).argmin(axis=2)
-        weight = 0.5
-        if self.sent is not None:
-            moved = box_mean(np.abs(image - self.before).mean(axis=2))
-            rdo, me, share, weight = scene(float((moved > 5.0).mean()))
-            gray = image.mean(axis=2)
-            variance = np.maximum(box_mean(gray**2) - box_mean(gray) ** 2, 0)
-            scale = 1 + 2 * (1 - np.clip(variance / 500.0, 0, 1))
-            far = np.sqrt(((lab - self.lab[self.sent]) ** 2).sum(axis=2))
-            want = ~((moved < me) | (far < rdo / 255.0 * scale))
-            self.wanted = self.wanted + np.where(want, far, 0)
-            budget = int(best.size * share)
-            if want.sum() > budget:
-                chosen = np.zeros(best.size, bool)
-                chosen[np.argsort(-self.wanted.ravel(), kind="stable")[:budget]] = True
-                want = chosen.reshape(best.shape)
-            best = np.where(want, best, self.sent)
-            self.wanted = np.where(best != self.sent, 0, self.wanted)
-        self.error = np.clip((shown - self.colors[best]) * weight, -32, 32)
-        self.sent, self.before = best, image
-        return best
+        """The indices on the screen after a picture, (h, w, 3)."""
+        if self.screen is None:
+            self.debt, self.wish = np.zeros_like(image), np.zeros(image.shape[:2])
+        target = image + self.debt
+        lab = oklab_array(target)
+        screen, carried = self.nearest(lab), 0.5
+        if self.screen is not None:
+            moved = box_mean(np.abs(image - self.picture).mean(axis=2))
+            rdo, me, share, carried = scene(float((moved > 5.0).mean()))
+            off = np.sqrt(((lab - self.lab[self.screen]) ** 2).sum(axis=2))
+            restless = (moved >= me) & (off >= rdo / 255.0 * tolerance(image))
+            self.wish += np.where(restless, off, 0)
+            screen = np.where(self.allowed(restless, int(screen.size * share)), screen, self.screen)
+            self.wish[screen != self.screen] = 0
+        self.debt = np.clip((target - self.colors[screen]) * carried, -32, 32)
+        self.screen, self.picture = screen, image
+        return screen
+
+    def nearest(self, lab: np.ndarray) -> np.ndarray:
+        far = sum((lab[..., i, None] - self.lab[:, i]) ** 2 for i in range(3))
+        return far.argmin(axis=2)
+
+    def allowed(self, restless: np.ndarray, budget: int) -> np.ndarray:
+        """Pixels that may change: all restless ones if the budget holds them, else the strongest wishes, first ones of equals."""
+        if restless.sum() <= budget:
+            return restless
+        out = np.zeros(restless.size, bool)
+        out[np.argsort(-self.wish, axis=None, kind="stable")[:budget]] = True
+        return out.reshape(restless.shape)
+
+
+def tolerance(image: np.ndarray) -> np.ndarray:
+    """3 where a picture is flat, down to 1 where it varies."""
+    gray = image.mean(axis=2)
+    variance = np.maximum(box_mean(gray**2) - box_mean(gray) ** 2, 0)
+    return 1 + 2 * (1 - np.clip(variance / 500.0, 0, 1))
 
 
 def rate_controlled(px: DataFrame, name: str = "full") -> DataFrame:
-    """video, frame, idx, color: palette indices under the temporal budget."""
+    """video, frame, idx, color: palette indices under the temporal budget. A task streams the videos it gets."""
     colors = np.array([row[3:] for row in palette_rows(name)], float)
 
-    def run(video: pd.DataFrame) -> pd.DataFrame:
-        video = video.sort_values(["frame", "idx"])
-        state, out = RateControl(colors), []
-        for _, frame in video.groupby("frame"):
-            out.append(state.frame(frame[["r", "g", "b"]].to_numpy(float).reshape(frame["y"].max() + 1, -1, 3)).ravel())
-        return pd.DataFrame({"video": video["video"].to_numpy(), "frame": video["frame"].to_numpy(), "idx": video["idx"].to_numpy(), "color": np.concatenate(out).astype(np.int32)})
+    def make():
+        video, state = None, RateControl(colors)
+
+        def kernel(block: R.Block) -> Iterator[pa.RecordBatch]:
+            nonlocal video, state
+            videos, numbers, images = block
+            out = np.empty(images.shape[:3], np.int32)
+            for i, own in enumerate(videos):
+                if own != video:
+                    video, state = own, RateControl(colors)
+                out[i] = state.frame(images[i].astype(float))
+            yield R.rows_of(videos, numbers, *images.shape[1:3], color=out)
+
+        return kernel
 
-    return px.select("video", "frame", "idx", "y", "r", "g", "b").groupBy("video").applyInPandas(run, "video string, frame int, idx int, color int")
+    return R.map_rows(px, ("video",), make, "video string, frame int, idx int, color int")
 
 
 def scene_class(ratio: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from rasterloom.functions import codec as K
 from rasterloom.functions import color as C
 from rasterloom.functions.palette import PALETTES
-from rasterloom.operators import kernels, metrics, runs
+from rasterloom.operators import frames, kernels, metrics, runs
 from rasterloom.operators import playback as Y
 from rasterloom.operators import temporal as T
 from rasterloom.plans import temporal_queries, wire_queries
@@ -111,6 +112,102 @@ def test_diffusion_in_lines_is_raster_order(method):
     assert (kernels.diffused(image, colors, method) == raster(image, colors, method)).all()
 
 
+@pytest.mark.parametrize("method", sorted(kernels.WEIGHTS))
+def test_many_frames_are_diffused_like_one(method):
+    images = np.random.default_rng(4).integers(0, 256, (30, 9, 14, 3), dtype=np.uint8)
+    colors = np.array([row[3:] for row in PALETTES["full"]], np.float32)
+    got = kernels.diffused(images, colors, method)
+    assert all((a == raster(image, colors, method)).all() for a, image in zip(got, images, strict=True))
+
+
+def test_frames_of_rows_and_of_packed_rows(spark, monkeypatch):
+    """Frames of two sizes, blocks that end within a batch, and back; diffusion of both forms is the same."""
+    rng = np.random.default_rng(6)
+    clips = {"a": rng.integers(0, 256, (40, 6, 5, 3), dtype=np.uint8), "b": rng.integers(0, 256, (3, 4, 9, 3), dtype=np.uint8)}
+    rows = [(v, f, images.shape[2], images.shape[1], images[f].tobytes()) for v, images in clips.items() for f in range(len(images))]
+    packed = spark.createDataFrame(rows, frames.PACKED).repartition(3)
+    px = frames.unpack(packed)
+    again = {(r["video"], r["frame"]): (r["width"], r["height"], bytes(r["rgb"])) for r in frames.pack(px.repartition(5)).collect()}
+    assert again == {r[:2]: r[2:] for r in rows}
+    one = {(r["video"], r["frame"], r["idx"]): r["color"] for r in kernels.error_diffusion(px, "floyd").collect()}
+    for r in kernels.error_diffusion_packed(packed, "floyd").collect():
+        assert [one[r["video"], r["frame"], i] for i in range(r["width"] * r["height"])] == list(bytes(r["colors"]))
+    monkeypatch.setattr(frames, "BLOCK", 64)
+    listed = sorted(tuple(r) for r in px.select("video", "frame", "idx", "y", "r", "g", "b").collect())
+    table = pa.table({n: [r[i] for r in listed] for i, n in enumerate(("video", "frame", "idx", "y", "r", "g", "b"))})
+    got = [(v, int(f), image) for videos, numbers, images in frames.images_of_rows(iter(table.to_batches(max_chunksize=17))) for v, f, image in zip(videos, numbers, images, strict=True)]
+    assert [(v, f) for v, f, _ in got] == [r[:2] for r in rows] and all((image == clips[v][f]).all() for v, f, image in got)
+
+
+def slow_rate_control(images: np.ndarray, colors: list[tuple], classes: set) -> list[list[int]]:
+    """Rate control pixel by pixel, in plain Python."""
+    h, w = images.shape[1:3]
+    spots = [(y, x) for y in range(h) for x in range(w)]
+    labs = [C.oklab_of(c) for c in colors]
+
+    def mean9(values: dict) -> dict:
+        return {(y, x): sum(values.get((y + dy, x + dx), 0.0) for dy in (-1, 0, 1) for dx in (-1, 0, 1)) / 9.0 for y, x in spots}
+
+    def lab_of(rgb) -> tuple:
+        light = [((c / 255 + 0.055) / 1.055) ** 2.4 if c / 255 > 0.04045 else c / 255 / 12.92 for c in rgb]
+        cones = [sum(k * v for k, v in zip(row, light, strict=True)) for row in C.TO_CONES]
+        return tuple(sum(k * v for k, v in zip(row, [np.sign(c) * abs(c) ** (1 / 3) for c in cones], strict=True)) for row in C.TO_LAB)
+
+    def apart(a, b) -> float:
+        return sum((p - q) ** 2 for p, q in zip(a, b, strict=True))
+
+    out, debt, wish, screen, before = [], {p: (0.0,) * 3 for p in spots}, {p: 0.0 for p in spots}, None, None
+    for image in images:
+        here = {p: tuple(map(float, image[p])) for p in spots}
+        target = {p: tuple(a + b for a, b in zip(here[p], debt[p], strict=True)) for p in spots}
+        lab = {p: lab_of(target[p]) for p in spots}
+        best = {p: min(range(len(labs)), key=lambda k, p=p: (apart(lab[p], labs[k]), k)) for p in spots}
+        weight = 0.5
+        if screen is not None:
+            moved = mean9({p: sum(abs(a - b) for a, b in zip(here[p], before[p], strict=True)) / 3 for p in spots})
+            ratio = sum(m > 5.0 for m in moved.values()) / len(spots)
+            rdo, me, share, weight = next(row[1:] for row in kernels.SCENES if ratio < row[0])
+            classes.add(weight)
+            gray = {p: sum(here[p]) / 3 for p in spots}
+            mean, square = mean9(gray), mean9({p: g * g for p, g in gray.items()})
+            off = {p: apart(lab[p], labs[screen[p]]) ** 0.5 for p in spots}
+            scale = {p: 1 + 2 * (1 - min(1.0, max(square[p] - mean[p] ** 2, 0.0) / 500)) for p in spots}
+            restless = [p for p in spots if not (moved[p] < me or off[p] < rdo / 255 * scale[p])]
+            for p in restless:
+                wish[p] += off[p]
+            budget = int(len(spots) * share)
+            if len(restless) > budget:
+                restless = sorted(spots, key=lambda p: (-wish[p], p))[:budget]
+            best = {p: best[p] if p in set(restless) else screen[p] for p in spots}
+            wish = {p: wish[p] if best[p] == screen[p] else 0.0 for p in spots}
+        debt = {p: tuple(min(32.0, max(-32.0, (t - c) * weight)) for t, c in zip(target[p], colors[best[p]], strict=True)) for p in spots}
+        screen, before = best, here
+        out.append([best[p] for p in spots])
+    return out
+
+
+def test_rate_control_frame_by_frame(spark):
+    """Scenes of all five classes, two videos in one task, against plain loops."""
+    rng = np.random.default_rng(9)
+    clips, classes = [], set()
+    for _ in range(2):
+        now, images = rng.integers(0, 256, (20, 24, 3)), []
+        for share in (0, 0.002, 0.004, 0.01, 0.05, 1.0, 0.003, 0.002):
+            now = now.copy()
+            change = rng.random((20, 24)) < share
+            now[change] = rng.integers(0, 256, (int(change.sum()), 3))
+            images.append(np.clip(now + rng.integers(-2, 3, now.shape), 0, 255))
+        clips.append(np.stack(images).astype(np.uint8))
+    colors = [row[3:] for row in PALETTES["full"]]
+    rows = [(f"v{v}", f, 24, 20, images[f].tobytes()) for v, images in enumerate(clips) for f in range(len(images))]
+    px = frames.unpack(spark.createDataFrame(rows, frames.PACKED))
+    got = kernels.rate_controlled(px).toPandas().sort_values(["video", "frame", "idx"])
+    for v, images in enumerate(clips):
+        own = got[got.video == f"v{v}"]["color"].to_numpy().reshape(len(images), -1)
+        assert own.tolist() == slow_rate_control(images, colors, classes)
+    assert classes == {row[4] for row in kernels.SCENES}
+
+
 def test_delta_e_of_published_pairs(spark):
     """Pairs from the CIEDE2000 reference data of Sharma, Wu and Dalal."""
     pairs = [(50.0, 2.6772, -79.7751, 50.0, 0.0, -82.7485, 2.0425), (50.0, 2.5, 0.0, 73.0, 25.0, -18.0, 27.1492), (50.0, -1.0, 2.0, 50.0, 0.0, 0.0, 2.3669), (2.0776, 0.0795, -1.135, 0.9033, -0.0636, -0.5514, 0.9082)]
