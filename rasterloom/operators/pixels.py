@@ -39,8 +39,11 @@ def upscale(px: DataFrame, width: int, factor: int = 4) -> DataFrame:
 
 
 def with_bias(px: DataFrame, bias: Column) -> DataFrame:
-    """Channels plus a bias, clipped to 0..255 and cut to whole numbers."""
-    return px.withColumns({c: F.floor(F.round(C.clamp(F.col(c) + bias, 0.0, 255.0), 6)).cast("int") for c in RGB})
+    """Channels plus a bias, clipped to 0..255, taken to six digits and cut to whole numbers.
+
+    Six digits by arithmetic: round() would go through decimals of any size for each value.
+    """
+    return px.withColumns({c: F.floor(F.floor(C.clamp(F.col(c) + bias, 0.0, 255.0) * 1e6 + 0.5) / 1e6).cast("int") for c in RGB})
 
 
 def dither_ordered(px: DataFrame) -> DataFrame:
@@ -58,15 +61,19 @@ def dither_blue_noise(px: DataFrame, width: int, height: int, spread: float = 64
 
 
 def quantize_oklab(px: DataFrame, name: str = "full") -> DataFrame:
-    """Adds color: the entry nearest in OkLab, the first of equals. The palette is literals, the pixel's colour is computed once."""
+    """Adds color: the entry nearest in OkLab, to twelve digits of the squared distance, the first of equals.
+
+    The palette is literals and the pixel's colour is computed once. A distance in units of 1e-12, times 128, plus the entry's
+    number is a whole number of less than 50 bits, so the least of them names the entry.
+    """
     own = px.withColumn("_ok", C.oklab(*rgb())).withColumns({f"_{n}": F.col("_ok")[n] for n in "Lab"})
 
-    def far(ink: tuple[float, float, float]) -> Column:
+    def rank(color: int, ink: tuple[float, float, float]) -> Column:
         parts = [(F.col(f"_{n}") - v) * (F.col(f"_{n}") - v) for n, v in zip("Lab", ink, strict=True)]
-        return F.round(parts[1] + parts[2] + parts[0], 12)
+        return F.floor((parts[0] + parts[1] + parts[2]) * 1e12 + 0.5) * 128 + color
 
-    own = own.withColumn("_d", F.array(*[far(C.oklab_of(row[3:])) for row in palette_rows(name)]))
-    return own.withColumn("color", (F.array_position("_d", F.array_min("_d")) - 1).cast("int")).drop("_ok", "_L", "_a", "_b", "_d")
+    ranks = [rank(row[0], C.oklab_of(row[3:])) for row in palette_rows(name)]
+    return own.withColumn("color", (F.least(*ranks) % 128).cast("int")).drop("_ok", "_L", "_a", "_b")
 
 
 def quantize_rgb(px: DataFrame, name: str = "full") -> DataFrame:
