@@ -138,6 +138,22 @@ def gradient(px: DataFrame) -> DataFrame:
     return own.withColumn("edge", F.sqrt(F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy"))).drop("gx", "gy")
 
 
+def find_edges_mask(px: DataFrame) -> DataFrame:
+    """Adds mask: 1 minus the edges of whole-number luma - nine times the pixel minus its 3x3 box, within 0..255, a border pixel
+    as it is - blurred by 1 2 1 both ways with borders repeated, as a share of the frame's largest."""
+    gray = F.shiftright(F.col("r") * 19595 + F.col("g") * 38470 + F.col("b") * 7471 + 32768, 16)
+    own = box3(px.withColumn("_g", gray).withColumn("_one", F.lit(1)), ["_g", "_one"])
+    own = own.withColumn("_e", F.when(F.col("_one_box") < 9, F.col("_g")).otherwise(F.least(F.lit(255), F.greatest(F.lit(0), F.col("_g") * 9 - F.col("_g_box")))))
+
+    def blur(c: str, w) -> Column:
+        return F.coalesce(F.lag(c).over(w), F.col(c)) + 2 * F.col(c) + F.coalesce(F.lead(c).over(w), F.col(c))
+
+    own = own.withColumn("_e", blur("_e", along_row())).withColumn("_e", blur("_e", along_column()) / 16.0 / 255.0)
+    own = own.withColumn("_top", F.max("_e").over(Window.partitionBy("video", "frame")))
+    share = F.when(F.col("_top") > 0, F.col("_e") / F.col("_top")).otherwise(F.col("_e"))
+    return own.withColumn("mask", C.clamp(1.0 - share, 0.0, 1.0)).drop("_g", "_one", "_g_box", "_one_box", "_e", "_top")
+
+
 def sobel_mask(px: DataFrame) -> DataFrame:
     """Adds mask: 1 minus half the Sobel magnitude of luma, within 0..1; zero padding."""
     own = by_frame(px).withColumn("luma", C.luma(*rgb()))

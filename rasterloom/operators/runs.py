@@ -21,6 +21,17 @@ def runs(written: DataFrame, cap: int = K.MAX_RUN) -> DataFrame:
     return cut.groupBy(*keys, "island", "piece").agg(F.min("x").alias("x0"), F.min("idx").alias("start"), F.count("*").cast("int").alias("len")).drop("island", "piece")
 
 
+def runs_of_list(written: DataFrame, cap: int = K.MAX_RUN) -> DataFrame:
+    """The same columns from the list of changed pixels alone: a run goes on while the index grows by one, the row and the
+    colour stay, and it is shorter than the cap."""
+    w = Window.partitionBy("video", "frame").orderBy("idx")
+    same = (F.col("idx") == F.lag("idx").over(w) + 1) & (F.col("y") == F.lag("y").over(w)) & (F.col("color") == F.lag("color").over(w))
+    stretch = written.withColumn("begins", (~F.coalesce(same, F.lit(False))).cast("int")).withColumn("stretch", F.sum("begins").over(w))
+    place = F.row_number().over(Window.partitionBy("video", "frame", "stretch").orderBy("idx")) - 1
+    cut = stretch.withColumn("piece", F.floor(place / cap))
+    return cut.groupBy("video", "frame", "y", "color", "stretch", "piece").agg(F.min("x").alias("x0"), F.min("idx").alias("start"), F.count("*").cast("int").alias("len")).drop("stretch", "piece")
+
+
 def packed(found: DataFrame) -> DataFrame:
     """Adds value, the run as a number, and hexed, the number as bytes."""
     out = found.withColumn("value", K.pack(F.col("start"), F.col("len"), F.col("color")))

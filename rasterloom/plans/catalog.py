@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import pixel_queries, playback_queries, temporal_queries, wire_queries  # noqa: F401
+from . import ingest_queries, pixel_queries, playback_queries, temporal_queries, wire_queries  # noqa: F401
 from .registry import ENTRIES, Run
 
 

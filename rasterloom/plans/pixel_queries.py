@@ -9,7 +9,7 @@ from ..functions.palette import FALLBACK, NAMESPACE, PALETTES, palette
 from ..operators import kernels, metrics
 from ..operators import pixels as P
 from ..operators import temporal as T
-from ..sources.tables import HEIGHT, WIDTH, indexed, nearest_rgb, pixels, table
+from ..sources.tables import HEIGHT, WIDTH, indexed, nearest_center, nearest_rgb, pixels, table
 from .registry import oklab_sql, query
 
 PX = "frame:i idx:i r:i g:i b:i"
@@ -244,12 +244,31 @@ def kmeans_update(spark, sf_dir):
     return kernels.kmeans_update(kmeans_assign(spark, sf_dir))
 
 
-@query("auto_palette", "position:i color:i")
+def _rounds_sql(n: int) -> str:
+    """Lloyd's rounds one after the other; once no centre moves by more than 0.01 they stay."""
+    out = [_POINTS.partition(", asg as")[0], "c0 as (select k, r::double as r, g::double as g, b::double as b, false as done from cen)"]
+    for i in range(n):
+        far = "round((p.r - c.r) ** 2 + (p.g - c.g) ** 2 + (p.b - c.b) ** 2, 9)"
+        out.append(f"a{i} as (select r, g, b, n, k from (select p.*, c.k, row_number() over (partition by p.r, p.g, p.b order by {far}, c.k) as rn from pts p cross join c{i} c) where rn = 1)")
+        out.append(f"m{i} as (select k, sum(r * n) / sum(n)::double as r, sum(g * n) / sum(n)::double as g, sum(b * n) / sum(n)::double as b from a{i} group by k)")
+        new = ", ".join(f"case when c.done then c.{x} else coalesce(m.{x}, c.{x}) end as {x}" for x in "rgb")
+        moved = " or ".join(f"abs(coalesce(m.{x}, c.{x}) - c.{x}) > 0.01" for x in "rgb")
+        out.append(f"c{i + 1} as (select c.k, {new}, c.done or not bool_or({moved}) over () as done from c{i} c left join m{i} m using (k))")
+    return ",\n".join(out)
+
+
+@query(
+    "auto_palette", "position:i color:i",
+    _rounds_sql(10) + """,
+near as (select color, min(k) as k from (select c.k, p.color, row_number() over (partition by c.k order by round((c.r - p.r) ** 2 + (c.g - p.g) ** 2 + (c.b - p.b) ** 2, 6), p.color) as rn from c10 c cross join pal p where p.palette = 'full') where rn = 1 group by color)
+===
+select row_number() over (order by first, k, color) - 1 as position, color from (select 0 as first, k, color from near union all select 1, 0, color from pal where palette = 'full' and color not in (select color from near)) order by first, k, color limit 24""", "px pal",
+)
 def auto_palette(spark, sf_dir):
     """Entries nearest to the final k-means centres, each once, filled up to 24."""
     centres = kernels.kmeans(pixels(spark, sf_dir), 16)
     rows = spark.createDataFrame([(i, *c) for i, c in enumerate(centres)], "k int, r double, g double, b double")
-    near = rows.withColumn("color", nearest_rgb(F.col("r"), F.col("g"), F.col("b"))).groupBy("color").agg(F.min("k").alias("k")).select(F.lit(0).alias("first"), "k", "color")
+    near = rows.withColumn("color", nearest_center(F.col("r"), F.col("g"), F.col("b"))).groupBy("color").agg(F.min("k").alias("k")).select(F.lit(0).alias("first"), "k", "color")
     rest = palette(spark, "full").select("color").join(F.broadcast(near), "color", "left_anti").select(F.lit(1).alias("first"), F.lit(0).alias("k"), "color")
     ordered = near.unionByName(rest).groupBy().agg(F.slice(F.array_sort(F.collect_list(F.struct("first", "k", "color"))), 1, 24).alias("s"))
     return ordered.select(F.posexplode("s").alias("position", "s")).select("position", "s.color")

@@ -179,11 +179,13 @@ def quality_gate(spark, sf_dir):
     return M.gate(M.ssim(pairs).join(M.delta_e(pairs), ["video", "frame"]))
 
 
-@query("metric_zip", "frame:i same:i", "select a.frame, count(*) filter (where a.r = d.r and a.g = d.g and a.b = d.b) as same from px a join decoded d on d.frame = a.frame and d.idx = a.idx where d.frame < 100 group by a.frame", "px decoded")
+@query("metric_zip", "frame:i same:i", "select a.frame, count(*) filter (where a.r = d.r and a.g = d.g and a.b = d.b) as same from px a join decoded d on d.frame = a.frame and d.idx = a.idx where d.frame < (select max(frame) from px) group by a.frame", "px decoded")
 def metric_zip(spark, sf_dir):
-    """Frames compared one by one up to the end of the shorter version, here of 100 frames."""
-    shorter = P.decode(indexed(spark, sf_dir), palette(spark, "full")).where("frame < 100")
-    pairs = M.paired(pixels(spark, sf_dir), shorter)
+    """Frames compared one by one up to the end of the shorter version, which lacks the last frame."""
+    px = pixels(spark, sf_dir)
+    last = px.groupBy("video").agg(F.max("frame").alias("last"))
+    shorter = P.decode(indexed(spark, sf_dir), palette(spark, "full")).join(last, "video").where(F.col("frame") < F.col("last"))
+    pairs = M.paired(px, shorter)
     same = (F.col("r1") == F.col("r2")) & (F.col("g1") == F.col("g2")) & (F.col("b1") == F.col("b2"))
     return pairs.groupBy("video", "frame").agg(F.count_if(same).alias("same"))
 

@@ -44,6 +44,13 @@ def nearest_rgb(r: Column, g: Column, b: Column, name: str = "full") -> Column:
     return F.pmod(F.least(*ranks), F.lit(128.0)).cast("int")
 
 
+def nearest_center(r: Column, g: Column, b: Column, name: str = "full") -> Column:
+    """The same for channels that aren't whole numbers: distances to six digits, as whole numbers with the index behind."""
+    x, y, z = (c.cast("double") for c in (r, g, b))
+    ranks = [F.floor(((x - p) * (x - p) + (y - q) * (y - q) + (z - s) * (z - s)) * 1e6 + 0.5) * 128 + c for c, _, _, p, q, s in palette_rows(name)]
+    return (F.least(*ranks) % 128).cast("int")
+
+
 def indexed(spark: SparkSession, sf_dir: str, name: str = "full") -> DataFrame:
     """video, frame, idx, x, y, color."""
     px = pixels(spark, sf_dir)
