@@ -32,6 +32,7 @@ from . import shared
 
 WHITE = b" \t\n\x0b\x0c\r"
 DROP, OPEN, TALLY = 0, 1, 2
+MOST_TALLIES = 200_000  # tallies that are broadcast, 24 bytes each; more are joined like any other table
 HELD = 1000  # places of one key that wait in memory for a decision
 OCCURRENCE = "h1 long, h2 long, doc_id long, row long, pos int"
 STREAMED = "kind byte, h1 long, h2 long, doc_id long, row long, pos int, n long"
@@ -145,6 +146,7 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     edges = F.countDistinct("doc_id") + F.max(F.col("doc_id").isNull().cast("int"))
     tally = streamed.where(F.col("kind") == TALLY).groupBy("h1", "h2").agg((F.sum("n") + edges).alias("n"), F.max("doc_id").alias("top")).where(F.col("n") >= min_docs).select("h1", "h2", "top")
     late = streamed.where(F.col("kind") == OPEN).select("h1", "h2", "doc_id", "row", "pos")
+    tally = F.broadcast(tally) if tally.count() <= MOST_TALLIES else tally  # a key of many places isn't one task
     late = late.join(tally, ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("top"))).select("doc_id", "row", "pos")
     gone = streamed.where(F.col("kind") == DROP).select("doc_id", "row", "pos").unionByName(late)
     return gone.groupBy("doc_id", "row").agg(F.collect_set("pos").alias("gone"))
