@@ -10,9 +10,10 @@ import json
 import os
 import time
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from rasterloom.operators import kernels
+from rasterloom.operators import frames, kernels
 from rasterloom.operators import pixels as P
 from rasterloom.plans import catalog
 from rasterloom.session import local_session
@@ -23,6 +24,7 @@ HEADLINES = (
     "motion_compensate", "events_tumbling", "events_session",
 )
 SIDE, FRAMES = 64, 1000
+PALETTE = "full"
 
 
 def run(df) -> float:
@@ -31,16 +33,31 @@ def run(df) -> float:
     return time.perf_counter() - start
 
 
-def generated(spark, frames: int):
+def generated(spark, n: int):
     """Frames of smooth colour with noise, made on the fly."""
     idx, noise = F.col("id") % (SIDE * SIDE), F.pmod(F.xxhash64("id"), F.lit(32))
     x, y, frame = idx % SIDE, F.floor(idx / SIDE), F.floor(F.col("id") / (SIDE * SIDE))
-    return spark.range(frames * SIDE * SIDE).select(
+    return spark.range(n * SIDE * SIDE).select(
         F.lit("v0").alias("video"), frame.cast("int").alias("frame"), idx.cast("int").alias("idx"), x.cast("int").alias("x"), y.cast("int").alias("y"),
         ((x * 4 + noise + frame) % 256).cast("int").alias("r"), ((y * 4 + noise) % 256).cast("int").alias("g"), ((x + y + noise * 3) % 256).cast("int").alias("b"),
     )
 
 
+def generated_packed(spark, n: int, tasks: int):
+    """The same frames packed, as a source of frames gives them: one row a frame, made where it is read."""
+    place = np.arange(SIDE * SIDE)
+    x, y = place % SIDE, place // SIDE
+
+    def run(batches):
+        for batch in batches:
+            numbers = batch.column(0).to_numpy()
+            noise = (place * 2654435761 + numbers[:, None] * 40503) % 32
+            images = np.stack([(x * 4 + noise + numbers[:, None]) % 256, (y * 4 + noise) % 256, (x + y + noise * 3) % 256], axis=2).astype(np.uint8)
+            yield frames.packed_of(["v0"] * len(numbers), numbers, images.reshape(-1, SIDE, SIDE, 3))
+
+    return spark.range(0, n, 1, tasks).mapInArrow(run, frames.PACKED)
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     spark = local_session(os.environ.get("BENCH_CPUS", "8"), int(os.environ.get("BENCH_CPUS", "8")))
@@ -49,13 +66,15 @@ def main() -> None:
     run(queries[HEADLINES[0]](spark, sf_dir))
     for name in HEADLINES:
         seconds[name] = round(run(queries[name](spark, sf_dir)), 3)
-    rates = {}
-    for label, palette, frames, make in (
+    rates, cpus = {}, int(os.environ.get("BENCH_CPUS", "8"))
+    for label, palette, n, make in (
         ("concrete_none", "concrete", FRAMES, P.quantize_rgb), ("full_none", "full", FRAMES, P.quantize_rgb), ("all_none", "all", FRAMES, P.quantize_rgb),
         ("full_bayer", "full", FRAMES, lambda px, p: P.quantize_rgb(P.dither_ordered(px), p)), ("full_oklab", "full", FRAMES // 4, P.quantize_oklab),
-        ("full_floyd", "full", FRAMES // 10, lambda px, p: kernels.error_diffusion(px, "floyd", p)), ("full_atkinson", "full", FRAMES // 10, lambda px, p: kernels.error_diffusion(px, "atkinson", p)),
     ):
-        rates[label] = round(frames / run(make(generated(spark, frames), palette)), 1)
+        rates[label] = round(n / run(make(generated(spark, n), palette)), 1)
+    for method in ("floyd", "atkinson"):
+        run(kernels.error_diffusion_packed(generated_packed(spark, 64, cpus), method, PALETTE))
+        rates[f"full_{method}"] = round(4 * FRAMES / run(kernels.error_diffusion_packed(generated_packed(spark, 4 * FRAMES, cpus), method, PALETTE)), 1)
     print(json.dumps({"metric": "headline_seconds", "value": round(sum(seconds.values()), 3), "unit": "sec", "queries": seconds, "sf": os.path.basename(sf_dir.rstrip("/")), "frames_per_sec": rates}))
 
 

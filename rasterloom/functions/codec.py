@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MAX_RUN = 64  # a run's length takes six bits
+BASE = 0x1000  # added to every 15 bits, which keeps clear of control characters and surrogates
 
 
 def pack(index: Column, length: Column, color: Column) -> Column:
@@ -77,12 +78,12 @@ def varints(hexed: Column) -> Column:
 
 
 def text_units(hexed: Column) -> Column:
-    """The code units of bytes as 15-bit text: 4096 + padding bits, then the bits in fifteens. No bytes: no units."""
+    """The code units of bytes as 15-bit text: padding bits, then the bits in fifteens, 4096 added to each. No bytes: no units."""
 
     def units(bits: Column) -> Column:
         pad = F.pmod(-F.length(bits), F.lit(15))
-        body = F.transform(pieces(F.concat(bits, F.repeat(F.lit("0"), pad)), 15), lambda u: F.conv(u, 2, 10).cast("long"))
-        return F.concat(F.array((pad + 4096).cast("long")), body)
+        body = F.transform(pieces(F.concat(bits, F.repeat(F.lit("0"), pad)), 15), lambda u: F.conv(u, 2, 10).cast("long") + BASE)
+        return F.concat(F.array((pad + BASE).cast("long")), body)
 
     bits = F.array_join(F.transform(pieces(hexed, 2), lambda h: F.lpad(F.conv(h, 16, 2), 8, "0")), "")
     return F.when(F.length(hexed) == 0, F.array().cast("array<bigint>")).otherwise(let(bits, units))
@@ -97,8 +98,8 @@ def text_hex(text: Column) -> Column:
     """The bytes of 15-bit text as hex digits; a leading K: is dropped."""
 
     def of_units(units: Column) -> Column:
-        bits = F.array_join(F.transform(F.slice(units, 2, 1 << 30), lambda u: F.lpad(F.conv(u, 16, 2), 15, "0")), "")
-        pad = F.conv(F.element_at(units, 1), 16, 10).cast("int") - 4096
+        bits = F.array_join(F.transform(F.slice(units, 2, 1 << 30), lambda u: F.lpad(F.bin(F.conv(u, 16, 10).cast("long") - BASE), 15, "0")), "")
+        pad = F.conv(F.element_at(units, 1), 16, 10).cast("int") - BASE
         whole = let(bits, lambda b: F.substring(b, F.lit(1), F.length(b) - pad))
         return F.array_join(F.transform(pieces(whole, 8), lambda b: F.lpad(F.conv(b, 2, 16), 2, "0")), "")
 

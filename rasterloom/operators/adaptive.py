@@ -129,7 +129,7 @@ def level_lists(made: DataFrame, name: str = "all") -> DataFrame:
 def with_levels(containers: DataFrame, levels: DataFrame) -> DataFrame:
     """Containers of one palette as containers of a palette a group: (video, container)."""
     head = F.regexp_replace("container", r'"adaptive_palette":false', '"adaptive_palette":true')
-    whole = F.concat(F.regexp_extract(head, r'^(.*?"level_blocks":)\[.*?\]\}\],"index"', 1), F.to_json("levels"), F.lit(',"index"'), F.regexp_extract(head, r'^.*?"level_blocks":\[.*?\]\}\],"index"(.*)$', 1))
+    whole = F.concat(F.regexp_extract(head, r'(?s)^(.*?"level_blocks":)\[.*?\]\}\],"index"', 1), F.to_json("levels"), F.lit(',"index"'), F.regexp_extract(head, r'(?s)^.*?"level_blocks":\[.*?\]\}\],"index"(.*)$', 1))
     return containers.join(levels, "video").select("video", whole.alias("container"))
 
 

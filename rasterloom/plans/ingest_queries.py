@@ -150,8 +150,8 @@ SIZE = 24
 
 def adaptive_of(spark, sf_dir):
     """Packed frames, groups, palettes and matched pixels."""
-    own, gops = packed(spark, sf_dir), gops_of(spark, sf_dir)
-    made = A.palettes(own, gops, "all", SIZE)
+    own, gops = scratch.stored(packed(spark, sf_dir), "packed"), scratch.stored(gops_of(spark, sf_dir), "gops")
+    made = scratch.stored(A.palettes(own, gops, "all", SIZE), "palettes")
     return own, gops, made, A.matched(own, gops, made, "all")
 
 
@@ -168,8 +168,9 @@ def adaptive_quantize(spark, sf_dir):
 def adaptive_container(spark, sf_dir):
     """(containers, what they write)."""
     _, gops, made, ix = adaptive_of(spark, sf_dir)
-    kinds = T.emitted(ix)
-    sent = A.packed_deltas(ix, kinds)
+    ix = scratch.stored(ix, "matched")
+    kinds = scratch.stored(T.emitted(ix), "kinds")
+    sent = scratch.stored(A.packed_deltas(ix, kinds), "sent")
     with_gops = T.assign_gops(R.packets(A.localised(R.runs(sent), gops, made), kinds), gops)
     whole = containers.assemble(R.chunks(with_gops), R.index_hex(R.frame_index(with_gops)), gops, palette(spark, "all"), WIDTH, HEIGHT)
     return A.with_levels(whole, A.level_lists(made, "all")), sent

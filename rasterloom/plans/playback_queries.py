@@ -57,16 +57,24 @@ def prefetch_gop(spark, sf_dir):
     return Y.prefetch(own, 10)
 
 
-_ORDER = "r as (select row_number() over (order by event_id) - 1 as turn, user_id % 7 as gop_id from events where event_id < 400)"
-
-
-@query(
-    "gop_cache_sim", "turn:i gop_id:i hit:b",
-    _ORDER + ",\nwalk(turn, gop_id, hit, held) as (select -1::bigint, -1::bigint, false, []::bigint[] union all select r.turn, r.gop_id, list_contains(w.held, r.gop_id), case when list_contains(w.held, r.gop_id) then w.held else list_slice(list_prepend(r.gop_id, w.held), 1, 4) end from walk w join r on r.turn = w.turn + 1)\n===\nselect turn, gop_id, hit from walk where turn >= 0",
-)
+# a step for each 50 requests, which a fold goes through one by one
+_WALK = """r as (select event_id - min(event_id) over () as n, user_id % 7 as gop_id from events),
+parts as (select n // 50 as part, list({'turn': n, 'gop_id': gop_id, 'hit': false, 'held': []::bigint[]} order by n) as own from r group by 1),
+walk(part, done) as (
+  select -1::bigint, [{'turn': -1::bigint, 'gop_id': -1::bigint, 'hit': false, 'held': []::bigint[]}]
+  union all
+  select p.part, list_reduce(list_concat([list_concat([], [w.done[-1]])], list_transform(p.own, lambda x: [x])), lambda done, x: list_concat(done, [{
+    'turn': x[1].turn, 'gop_id': x[1].gop_id, 'hit': list_contains(done[-1].held, x[1].gop_id),
+    'held': case when list_contains(done[-1].held, x[1].gop_id) then done[-1].held else list_slice(list_prepend(x[1].gop_id, done[-1].held), 1, 4) end}]))
+  from walk w join parts p on p.part = w.part + 1)
+===
+select s.turn, s.gop_id, s.hit from (select unnest(done[2:]) as s from walk where part >= 0)"""
+
+
+@query("gop_cache_sim", "turn:i gop_id:i hit:b", _WALK)
 def gop_cache_sim(spark, sf_dir):
-    """Requests of 400 events against a cache of four groups: the request list is the input."""
-    events = table(spark, sf_dir, "events").where("event_id < 400")
+    """Requests of all events against a cache of four groups: the request list is the input."""
+    events = table(spark, sf_dir, "events")
     return Y.cache_hits(events.select(F.lit("v0").alias("video"), F.col("event_id").alias("at"), (F.col("user_id") % 7).alias("gop_id")), 4).withColumnRenamed("at", "turn")
 
 

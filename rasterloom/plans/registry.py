@@ -214,6 +214,44 @@ shifts as (select frame, bx, by_, dx, dy, sad from (select *, row_number() over
 }
 
 
+def lab_sql(r: str, g: str, b: str) -> tuple[str, str, str]:
+    """CIE L*a*b* of sRGB channels."""
+
+    def light(c: str) -> str:
+        return f"(case when {c} / 255.0::double > 0.04045 then pow(({c} / 255.0::double + 0.055) / 1.055, 2.4) else {c} / 255.0::double / 12.92 end)"
+
+    def f(t: str) -> str:
+        return f"(case when {t} > 0.008856 then pow({t}, 1.0::double / 3.0::double) else 7.787::double * {t} + 16.0::double / 116.0::double end)"
+
+    x, y, z = (f("((" + " + ".join(f"{k}::double * {light(c)}" for k, c in zip(row, (r, g, b), strict=True)) + f") / {w}::double)") for row, w in zip(C.TO_XYZ, C.WHITE, strict=True))
+    return f"(116.0::double * {y} - 16.0)", f"(500.0::double * ({x} - {y}))", f"(200.0::double * ({y} - {z}))"
+
+
+_P, _Q = lab_sql("r1", "g1", "b1"), lab_sql("r2", "g2", "b2")
+CTES["des"] = (
+    "mates",
+    f"""labs0 as materialized (select frame, {", ".join(f"{v} as {n}" for v, n in zip((*_P, *_Q), ("l1", "a1", "m1", "l2", "a2", "m2"), strict=True))} from mates),
+labs1 as materialized (select *, 0.5 * (1 - sqrt(pow((sqrt(a1 * a1 + m1 * m1) + sqrt(a2 * a2 + m2 * m2)) / 2, 7) / (pow((sqrt(a1 * a1 + m1 * m1) + sqrt(a2 * a2 + m2 * m2)) / 2, 7) + pow(25.0::double, 7)))) as g from labs0),
+labs2 as materialized (select *, sqrt((1 + g) * a1 * (1 + g) * a1 + m1 * m1) as c1, sqrt((1 + g) * a2 * (1 + g) * a2 + m2 * m2) as c2, degrees(atan2(m1, (1 + g) * a1)) as h1r, degrees(atan2(m2, (1 + g) * a2)) as h2r from labs1),
+labs3 as materialized (select *, case when h1r < 0 then h1r + 360 else h1r end as h1, case when h2r < 0 then h2r + 360 else h2r end as h2 from labs2),
+labs4 as materialized (select *, case when c1 * c2 = 0 then 0 when abs(h2 - h1) <= 180 then h2 - h1 when h2 - h1 > 180 then h2 - h1 - 360 else h2 - h1 + 360 end as dh,
+  case when c1 * c2 = 0 then h1 + h2 when abs(h2 - h1) <= 180 then (h1 + h2) / 2 when h1 + h2 < 360 then (h1 + h2 + 360) / 2 else (h1 + h2 - 360) / 2 end as hm, (c1 + c2) / 2 as cm, (l1 + l2) / 2 as lm from labs3),
+labs5 as materialized (select *, 1 - 0.17 * cos(radians(hm - 30)) + 0.24 * cos(radians(2 * hm)) + 0.32 * cos(radians(3 * hm + 6)) - 0.2 * cos(radians(4 * hm - 63)) as t from labs4),
+labs6 as materialized (select frame, (l2 - l1) / (1 + 0.015 * pow(lm - 50, 2) / sqrt(20 + pow(lm - 50, 2))) as u, (c2 - c1) / (1 + 0.045 * cm) as v, 2 * sqrt(c1 * c2) * sin(radians(dh / 2)) / (1 + 0.015 * cm * t) as w,
+  -2 * sqrt(pow(cm, 7) / (pow(cm, 7) + pow(25.0::double, 7))) * sin(radians(60 * exp(-pow((hm - 275) / 25, 2)))) as rt from labs5),
+des as (select frame, avg(sqrt(u * u + v * v + w * w + rt * v * w)) as delta_e from labs6 group by frame)""",
+)
+CTES["texts"] = (
+    "places",
+    """bytes_of(kind, hexed) as (
+  select gop_id, string_agg(packet, '' order by frame) from places group by gop_id
+  union all select -1, string_agg({leb:gop_id} || {leb:((cast(offset_ as bigint) << 1) | cast(is_keyframe as bigint))} || {leb:length}, '' order by frame) from places),
+bits_of as (select kind, array_to_string(list_transform(range(length(hexed) // 2), lambda i: lpad(bin(('0x' || substr(hexed, i * 2 + 1, 2))::bigint), 8, '0')), '') as b from bytes_of),
+padded as (select kind, (15 - length(b) % 15) % 15 as pad, b || repeat('0', (15 - length(b) % 15) % 15) as b from bits_of),
+texts as (select kind, chr(cast(4096 + pad as int)) || array_to_string(list_transform(range(length(b) // 15), lambda i: chr(cast(4096 + list_sum(list_transform(range(15), lambda k: (substr(b, i * 15 + k + 1, 1) = '1')::bigint << (14 - k))) as int))), '') as t from padded)""",
+)
+
+
 def leb_sql(value: str) -> str:
     """Unsigned LEB128 of a value as upper-case hex digits."""
 

@@ -163,17 +163,24 @@ def ssim_sampled(spark, sf_dir):
     return M.ssim_sampled(decoded_pairs(spark, sf_dir))
 
 
-@query("ssim_local", "frame:i ssim:f")
+@query(
+    "ssim_local", "frame:i ssim:f",
+    """sides as (select frame, idx % 8 as x, idx // 8 as y, unnest([{'c': 0, 'a': r1, 'b': r2}, {'c': 1, 'a': g1, 'b': g2}, {'c': 2, 'a': b1, 'b': b2}]) as v from mates),
+wins as (select frame, v.c as c, wx.d as wx, wy.d as wy, avg(v.a) as ma, avg(v.b) as mb, var_samp(v.a) as va, var_samp(v.b) as vb, covar_samp(v.a, v.b) as cov
+  from sides cross join range(2) as wx(d) cross join range(2) as wy(d) where x between wx.d and wx.d + 6 and y between wy.d and wy.d + 6 group by all)
+===
+select frame, avg(((2 * ma * mb + 6.5025) * (2 * cov + 58.5225)) / ((ma * ma + mb * mb + 6.5025) * (va + vb + 58.5225))) as ssim from wins group by frame""", "mates",
+)
 def ssim_local(spark, sf_dir):
     return M.ssim_windows(decoded_pairs(spark, sf_dir), WIDTH)
 
 
-@query("delta_e2000", "frame:i delta_e:f")
+@query("delta_e2000", "frame:i delta_e:f", "select * from des", "des")
 def delta_e2000(spark, sf_dir):
     return M.delta_e(decoded_pairs(spark, sf_dir))
 
 
-@query("quality_gate", "frame:i ssim:f delta_e:f passed:b")
+@query("quality_gate", "frame:i ssim:f delta_e:f passed:b", "select frame, ssim, delta_e, ssim >= 0.85 and delta_e <= 3.0 as passed from ssims join des using (frame)", "ssims des")
 def quality_gate(spark, sf_dir):
     pairs = decoded_pairs(spark, sf_dir)
     return M.gate(M.ssim(pairs).join(M.delta_e(pairs), ["video", "frame"]))

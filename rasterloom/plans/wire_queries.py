@@ -85,7 +85,7 @@ def gop_chunk(spark, sf_dir):
 
 @query(
     "utf16_pack", "gop_id:i position:i unit:i",
-    "c as (select gop_id, string_agg(packet, '' order by frame) as chunk from places group by gop_id),\nbits as (select gop_id, string_agg(lpad(bin(('0x' || substr(chunk, i.i * 2 + 1, 2))::bigint), 8, '0'), '' order by i.i) as b from c join range(200000) as i(i) on i.i < length(chunk) // 2 group by gop_id),\npads as (select gop_id, (15 - length(b) % 15) % 15 as pad, b || repeat('0', (15 - length(b) % 15) % 15) as b from bits)\n===\nselect gop_id, 0 as position, 4096 + pad as unit from pads union all select gop_id, i.i + 1, list_sum(list_transform(range(15), lambda k: (substr(b, i.i * 15 + k + 1, 1) = '1')::bigint << (14 - k))) from pads join range(200000) as i(i) on i.i < length(b) // 15", "places",
+    "c as (select gop_id, string_agg(packet, '' order by frame) as chunk from places group by gop_id),\nbits as (select gop_id, string_agg(lpad(bin(('0x' || substr(chunk, i.i * 2 + 1, 2))::bigint), 8, '0'), '' order by i.i) as b from c join range(200000) as i(i) on i.i < length(chunk) // 2 group by gop_id),\npads as (select gop_id, (15 - length(b) % 15) % 15 as pad, b || repeat('0', (15 - length(b) % 15) % 15) as b from bits)\n===\nselect gop_id, 0 as position, 4096 + pad as unit from pads union all select gop_id, i.i + 1, list_sum(list_transform(range(15), lambda k: (substr(b, i.i * 15 + k + 1, 1) = '1')::bigint << (14 - k))) + 4096 from pads join range(200000) as i(i) on i.i < length(b) // 15", "places",
 )
 def utf16_pack(spark, sf_dir):
     """Chunks as the code units of 15-bit text."""
@@ -121,7 +121,12 @@ def container_of(spark, sf_dir):
     return containers.assemble(R.chunks(px), R.index_hex(R.frame_index(px)), gops_of(spark, sf_dir), palette(spark, "full"), WIDTH, HEIGHT)
 
 
-@query("container_json", "video:s container:s")
+@query(
+    "container_json", "video:s container:s",
+    """select 'v0' as video, '{"width":8,"height":8,"frame_count":' || (select max(end_frame) from gops) || ',"format":"varint_rle_v4","gop_boundaries":[' || (select string_agg(start_frame, ',' order by start_frame) || ',' || max(end_frame) from gops)
+  || '],"adaptive_palette":false,"level_blocks":[' || (select string_agg('{"name":"' || name || '","block":"' || block || '","rgb":[' || r || ',' || g || ',' || b || ']}', ',' order by color) from pal where palette = 'full')
+  || '],"index":"' || (select t from texts where kind = -1) || '","chunks":["' || (select string_agg(t, '","' order by kind) from texts where kind >= 0) || '"]}' as container""", "gops pal texts",
+)
 def container_json(spark, sf_dir):
     return container_of(spark, sf_dir)
 

@@ -41,9 +41,10 @@ def write(containers: DataFrame, path: str) -> None:
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """(video, container) of written documents."""
-    lines = spark.read.text(path)
-    found = r"export\s+const\s+(\w+)\s*=\s*(\{.*\})\s*;?\s*$"
-    return lines.select(F.regexp_extract("value", found, 1).alias("video"), F.regexp_extract("value", found, 2).alias("container")).where("container <> ''")
+    files = spark.read.text(path, wholetext=True)  # documents may span lines
+    one = r"(?s)export\s+const\s+(\w+)\s*=\s*(\{.*?\})\s*;?\s*(?=export\s+const\s|\z)"  # packed text holds U+2028, which a plain . ends at
+    each = files.select(F.explode(F.regexp_extract_all("value", F.lit(one), 0)).alias("value"))
+    return each.select(F.regexp_extract("value", one, 1).alias("video"), F.regexp_extract("value", one, 2).alias("container"))
 
 
 def parsed(containers: DataFrame, form: str | None = FORMAT) -> DataFrame:

@@ -8,7 +8,7 @@ import tempfile
 import uuid
 
 from pyarrow import fs
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _local: list[str] = []
 
@@ -26,6 +26,13 @@ def folder(spark: SparkSession, label: str) -> str:
     return f"{named.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
 
 
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """df written once and read back, for what several later steps read; it survives a lost executor."""
+    path = folder(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def opened(path: str) -> tuple[fs.FileSystem, str]:
     """The file system of a path, as executors reach it. Spark writes local paths as file:/x."""
     if path.startswith("file:/") and not path.startswith("file://"):

@@ -35,7 +35,7 @@ def fifteen(data: bytes) -> list[int]:
     bits = "".join(f"{b:08b}" for b in data)
     pad = -len(bits) % 15
     bits += "0" * pad
-    return [4096 + pad] + [int(bits[i : i + 15], 2) for i in range(0, len(bits), 15)]
+    return [4096 + pad] + [4096 + int(bits[i : i + 15], 2) for i in range(0, len(bits), 15)]
 
 
 def test_varints_at_their_edges(spark):
