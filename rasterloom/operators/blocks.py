@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import frames as R
+
 
 def tiles(ix: DataFrame, size: int) -> DataFrame:
     """video, frame, tx, ty, digest, px: each tile's colours in order."""
@@ -47,18 +53,35 @@ def motion(px: DataFrame, block: int, reach: int, most_sad: int | None = None) -
     A candidate counts only if its whole source block lies in the frame. Equal sums go to the shortest shift, then the
     smallest (dy, dx). Blocks whose best is above most_sad have null shifts: they are sent as they are.
     """
-    gray = px.select("video", "frame", "x", "y", (F.col("r") + F.col("g") + F.col("b")).alias("v"))
-    shifts = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dy in range(-reach, reach + 1) for dx in range(-reach, reach + 1)])
-    tried = gray.withColumn("s", F.explode(shifts)).select(
-        "video", "frame", F.floor(F.col("x") / block).cast("int").alias("bx"), F.floor(F.col("y") / block).cast("int").alias("by"), "s.dx", "s.dy", "v",
-        (F.col("frame") - 1).alias("from_frame"), (F.col("x") - F.col("s.dx")).alias("from_x"), (F.col("y") - F.col("s.dy")).alias("from_y"),
-    )
-    before = gray.select("video", F.col("frame").alias("from_frame"), F.col("x").alias("from_x"), F.col("y").alias("from_y"), F.col("v").alias("w"))
-    sums = tried.join(before, ["video", "from_frame", "from_x", "from_y"]).groupBy("video", "frame", "bx", "by", "dx", "dy")
-    sums = sums.agg(F.sum(F.abs(F.col("v") - F.col("w"))).alias("sad"), F.count("*").alias("n")).where(F.col("n") == block * block)
-    best = sums.groupBy("video", "frame", "bx", "by").agg(F.min(F.struct("sad", (F.abs("dx") + F.abs("dy")).alias("far"), "dy", "dx")).alias("m"))
-    good = F.lit(True) if most_sad is None else F.col("m.sad") <= most_sad
-    return best.select("video", "frame", "bx", "by", F.when(good, F.col("m.dx")).alias("dx"), F.when(good, F.col("m.dy")).alias("dy"), F.col("m.sad").alias("sad"))
+    shifts = sorted(((dx, dy) for dy in range(-reach, reach + 1) for dx in range(-reach, reach + 1)), key=lambda s: (abs(s[0]) + abs(s[1]), s[1], s[0]))
+
+    def kernel(videos: list[str], numbers: np.ndarray, now: np.ndarray, before: np.ndarray) -> Iterator[pa.RecordBatch]:
+        n, h, w, _ = now.shape
+        rows, cols = h // block, w // block
+        here, there = (x.sum(axis=3, dtype=np.int32) for x in (now, before))
+        least = np.full((n, rows, cols), np.iinfo(np.int64).max)
+        which = np.full((n, rows, cols), -1, np.int32)
+        top, left = np.arange(rows)[:, None] * block, np.arange(cols) * block
+        for k, (dx, dy) in enumerate(shifts):
+            moved = np.zeros_like(there)
+            y0, y1, x0, x1 = max(dy, 0), min(h, h + dy), max(dx, 0), min(w, w + dx)
+            if y0 >= y1 or x0 >= x1:
+                continue
+            moved[:, y0:y1, x0:x1] = there[:, y0 - dy : y1 - dy, x0 - dx : x1 - dx]
+            off = np.abs(here - moved)[:, : rows * block, : cols * block].reshape(n, rows, block, cols, block).sum(axis=(2, 4), dtype=np.int64)
+            whole = (top >= y0) & (top + block <= y1) & (left >= x0) & (left + block <= x1)
+            better = whole & (off < least)
+            least[better], which[better] = off[better], k
+        at = np.nonzero(which >= 0)
+        shift = np.array(shifts, np.int32)[which[at]]
+        columns = [np.asarray(numbers, np.int32)[at[0]], at[2].astype(np.int32), at[1].astype(np.int32), shift[:, 0], shift[:, 1], least[at]]
+        names = pa.array(videos, pa.string()).take(pa.array(at[0]))
+        yield pa.RecordBatch.from_arrays([names, *map(pa.array, columns)], ["video", "frame", "bx", "by", "dx", "dy", "sad"])
+
+    best = R.map_pairs(px, kernel, "video string, frame int, bx int, by int, dx int, dy int, sad long")
+    if most_sad is None:
+        return best
+    return best.select("video", "frame", "bx", "by", *[F.when(F.col("sad") <= most_sad, F.col(c)).alias(c) for c in ("dx", "dy")], "sad")
 
 
 def compensate(ix: DataFrame, vectors: DataFrame, block: int) -> DataFrame:

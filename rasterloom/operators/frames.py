@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 PACKED = "video string, frame int, width int, height int, rgb binary"
 BLOCK = 1 << 20  # pixels in a block of frames
@@ -143,3 +144,22 @@ def unpack(frames: DataFrame) -> DataFrame:
         yield rows_of(videos, numbers, h, w, x=place % w, y=place // w, **{c: images[..., i].astype(np.int32) for i, c in enumerate("rgb")})
 
     return map_packed(frames, lambda: kernel, "video string, frame int, idx int, x int, y int, r int, g int, b int")
+
+
+def map_pairs(px: DataFrame, kernel: Callable[[list[str], np.ndarray, np.ndarray, np.ndarray], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """A kernel over blocks of (videos, frame numbers, images, images before), for all frames that have one before.
+
+    Pixel rows are shuffled once, to put frames together; what meets its neighbour after that is a packed frame, a value.
+    """
+    packed = pack(px)
+    before = packed.select("video", (F.col("frame") + 1).alias("frame"), F.col("rgb").alias("before"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = 0
+            earlier = [np.frombuffer(x.as_py(), np.uint8) for x in batch.column("before")]
+            for videos, numbers, images in images_of_packed(iter([batch])):
+                yield from kernel(videos, numbers, images, np.stack(earlier[at : at + len(videos)]).reshape(images.shape))
+                at += len(videos)
+
+    return packed.join(before, ["video", "frame"]).select("video", "frame", "width", "height", "rgb", "before").mapInArrow(run, schema)

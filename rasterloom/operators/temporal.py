@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
-from . import pixels as P
+from . import frames as R
 
 
 def of_pixel() -> WindowSpec:
@@ -65,8 +69,8 @@ def seek(written: DataFrame, target: int) -> DataFrame:
     """The screen at a frame: last writes since the keyframe at or before it. The target is kept within the video."""
     ends = written.groupBy("video").agg(F.max("frame").alias("end"))
     aim = F.greatest(F.lit(0), F.least(F.lit(target), F.col("end")))
-    key = written.join(F.broadcast(ends), "video").where((F.col("kind") == "K") & (F.col("frame") <= aim)).groupBy("video").agg(F.max("frame").alias("key"), F.max(aim).alias("aim"))
-    span = written.join(F.broadcast(key), "video").where((F.col("frame") >= F.col("key")) & (F.col("frame") <= F.col("aim")))
+    key = written.join(ends, "video").where((F.col("kind") == "K") & (F.col("frame") <= aim)).groupBy("video").agg(F.max("frame").alias("key"), F.max(aim).alias("aim"))
+    span = written.join(key, "video").where((F.col("frame") >= F.col("key")) & (F.col("frame") <= F.col("aim")))
     return span.groupBy("video", "idx").agg(F.max_by("color", "frame").alias("color"))
 
 
@@ -76,10 +80,38 @@ def with_previous(df: DataFrame, columns: list[str]) -> DataFrame:
     return out.where(F.col(f"{columns[0]}_before").isNotNull())
 
 
+def _gradient(gray: np.ndarray) -> np.ndarray:
+    """The length of the gradient of (n, h, w) images: central inside, one-sided at borders, none along a side of one pixel."""
+    slopes = [np.gradient(gray, axis=axis) if gray.shape[axis] > 1 else np.zeros_like(gray) for axis in (1, 2)]
+    return np.sqrt(slopes[0] ** 2 + slopes[1] ** 2)
+
+
+def _apart(part: str, now: np.ndarray, before: np.ndarray, bins: int = 32) -> np.ndarray:
+    """A measure of how much images (n, h, w, 3) differ from those before, one number each."""
+    n, size = len(now), now[0].size
+    if part == "sad":
+        return np.abs(now.astype(np.int32) - before).reshape(n, -1).sum(axis=1) / size
+    if part == "hist":
+        place = np.arange(n)[:, None] * bins
+        counts = [np.bincount((place + x.reshape(n, -1).astype(np.int64) * bins // 256).ravel(), minlength=n * bins).reshape(n, bins) for x in (now, before)]
+        return np.abs(counts[0] - counts[1]).sum(axis=1) / size * 255.0
+    gray = [x.sum(axis=3, dtype=np.int64) / 3.0 for x in (now, before)]
+    return np.abs(_gradient(gray[0]) - _gradient(gray[1])).reshape(n, -1).mean(axis=1)
+
+
+def frame_differences(px: DataFrame, *parts: str) -> DataFrame:
+    """video, frame and a column for each part - sad, hist, edge - of frames that have one before, in one pass."""
+
+    def kernel(videos: list[str], numbers: np.ndarray, now: np.ndarray, before: np.ndarray) -> Iterator[pa.RecordBatch]:
+        values = [pa.array(_apart(x, now, before)) for x in parts]
+        yield pa.RecordBatch.from_arrays([pa.array(videos, pa.string()), pa.array(numbers.astype(np.int32)), *values], ["video", "frame", *parts])
+
+    return R.map_pairs(px, kernel, ", ".join(["video string, frame int", *(f"{x} double" for x in parts)]))
+
+
 def sad(px: DataFrame) -> DataFrame:
     """video, frame, sad: mean absolute difference of channels from the frame before."""
-    own = with_previous(px, ["r", "g", "b"])
-    return own.groupBy("video", "frame").agg((F.sum(sum((F.abs(F.col(c) - F.col(f"{c}_before")) for c in "gb"), F.abs(F.col("r") - F.col("r_before")))) / (3.0 * F.count("*"))).alias("sad"))
+    return frame_differences(px, "sad")
 
 
 def histogram(px: DataFrame, bins: int = 32) -> DataFrame:
@@ -100,13 +132,12 @@ def histogram_diff(px: DataFrame, bins: int = 32) -> DataFrame:
 
 
 def edge_diff(px: DataFrame) -> DataFrame:
-    own = with_previous(P.gradient(px).select("video", "frame", "idx", "edge"), ["edge"])
-    return own.groupBy("video", "frame").agg(F.avg(F.abs(F.col("edge") - F.col("edge_before"))).alias("edge"))
+    """video, frame, edge: mean difference of the gradients of mean grey."""
+    return frame_differences(px, "edge")
 
 
 def scene_score(px: DataFrame) -> DataFrame:
-    parts = sad(px).join(histogram_diff(px), ["video", "frame"]).join(edge_diff(px), ["video", "frame"])
-    return parts.withColumn("score", 0.5 * F.col("sad") + 0.3 * F.col("hist") + 0.2 * F.col("edge"))
+    return frame_differences(px, "sad", "hist", "edge").withColumn("score", 0.5 * F.col("sad") + 0.3 * F.col("hist") + 0.2 * F.col("edge"))
 
 
 def boundaries(scores: DataFrame, threshold: float = 30.0, least: int = 20, most: int = 300) -> DataFrame:

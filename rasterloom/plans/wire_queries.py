@@ -8,7 +8,7 @@ from ..functions import codec as K
 from ..functions.palette import palette
 from ..operators import runs as R
 from ..operators import temporal as T
-from ..sources import containers
+from ..sources import containers, scratch
 from ..sources.tables import HEIGHT, WIDTH, indexed, pixels
 from .registry import SIZE, leb_sql, query
 from .temporal_queries import gops_of, kinds_of, written
@@ -20,8 +20,11 @@ def runs_of(spark, sf_dir):
     return R.runs(written(spark, sf_dir))
 
 
-def packets_of(spark, sf_dir):
-    return T.assign_gops(R.packets(runs_of(spark, sf_dir), kinds_of(spark, sf_dir)), gops_of(spark, sf_dir))
+def packets_of(spark, sf_dir, gops=None):
+    """Packets with their groups. Pixels and kinds of frames are made once: both sides of a join read them."""
+    ix = scratch.stored(indexed(spark, sf_dir), "indexed")
+    kinds = scratch.stored(T.emitted(ix), "kinds")
+    return T.assign_gops(R.packets(R.runs(T.deltas(ix, kinds)), kinds), gops_of(spark, sf_dir) if gops is None else gops)
 
 
 @query("rle_runs", RUN, "select * from runs", "runs")
@@ -117,8 +120,9 @@ def g1_decode(spark, sf_dir):
 
 
 def container_of(spark, sf_dir):
-    px = packets_of(spark, sf_dir)
-    return containers.assemble(R.chunks(px), R.index_hex(R.frame_index(px)), gops_of(spark, sf_dir), palette(spark, "full"), WIDTH, HEIGHT)
+    gops = scratch.stored(gops_of(spark, sf_dir), "gops")
+    px = scratch.stored(packets_of(spark, sf_dir, gops), "packets")
+    return containers.assemble(R.chunks(px), R.index_hex(R.frame_index(px)), gops, palette(spark, "full"), WIDTH, HEIGHT)
 
 
 @query(
