@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.palette import palette
+from ..functions.palette import PALETTES, palette
 from ..operators import adaptive as A
 from ..operators import frames
 from ..operators import pixels as P
 from ..operators import runs as R
 from ..operators import temporal as T
-from ..sources import containers, ingest, scratch
+from ..sources import containers, exports, ingest, scratch
 from ..sources.tables import HEIGHT, WIDTH, pixels
 from .pixel_queries import PX
 from .registry import query
@@ -181,3 +181,33 @@ def adaptive_container_decode(spark, sf_dir):
     """A container with a palette a group, read back down to block colours."""
     made = adaptive_container(spark, sf_dir)[0]
     return A.decoded(made, containers.writes(containers.parsed_adaptive(made)))
+
+
+# --- for others
+
+
+@query("gif_export", WRITES, "select frame, (y * 4 + dy.d) * 32 + x * 4 + dx.d as idx, color from ix cross join range(4) as dx(d) cross join range(4) as dy(d)", "ix")
+def gif_export(spark, sf_dir):
+    """Matched frames as an animated GIF, four times as wide, and the file read back."""
+    own = P.quantize_rgb(pixels(spark, sf_dir))
+    packed_index = frames.pack(own.select("video", "frame", "idx", "y", F.col("color").alias("r"), F.col("color").alias("g"), F.col("color").alias("b")))
+    index = packed_index.select("video", "frame", "width", "height", F.unhex(F.regexp_replace(F.hex("rgb"), "(..)....", "$1")).alias("colors"))
+    folder = scratch.folder(spark, "gif")
+    exports.write_gifs(index, folder, [row[3:] for row in PALETTES["full"]], 4).collect()  # a row a video
+    return exports.read_gifs(spark, folder)
+
+
+@query(
+    "pack_zip", "pack:s name:s digest:s",
+    """c as (select '{"width":8,"height":8,"frame_count":' || (select max(end_frame) from gops) || ',"format":"varint_rle_v4","gop_boundaries":[' || (select string_agg(start_frame, ',' order by start_frame) || ',' || max(end_frame) from gops)
+  || '],"adaptive_palette":false,"level_blocks":[' || (select string_agg('{"name":"' || name || '","block":"' || block || '","rgb":[' || r || ',' || g || ',' || b || ']}', ',' order by color) from pal where palette = 'full')
+  || '],"index":"' || (select t from texts where kind = -1) || '","chunks":["' || (select string_agg(t, '","' order by kind) from texts where kind >= 0) || '"]}' as container)
+===
+select 'v0' as pack, 'scripts/v0.js' as name, md5('export const v0 = ' || container || ';') as digest from c
+union all select 'v0', 'manifest.json', md5('{"format_version":2,"header":{"name":"v0","version":[1,0,0]},"modules":[{"type":"script","entry":"scripts/v0.js","version":[1,0,0]}]}')""", "gops pal texts",
+)
+def pack_zip(spark, sf_dir):
+    """A pack of the container and its manifest, opened again."""
+    folder = scratch.folder(spark, "packs")
+    exports.write_packs(container_of(spark, sf_dir), folder).collect()  # a row a video
+    return exports.read_packs(spark, folder).select("pack", "name", F.md5("body").alias("digest"))

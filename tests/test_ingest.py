@@ -14,7 +14,7 @@ from rasterloom.functions.palette import PALETTES
 from rasterloom.operators import adaptive as A
 from rasterloom.operators import frames
 from rasterloom.plans import ingest_queries, wire_queries
-from rasterloom.sources import containers, ingest
+from rasterloom.sources import containers, exports, ingest
 from rasterloom.sources.tables import pixels
 
 
@@ -190,3 +190,17 @@ def test_old_containers_hold_what_new_ones_do(spark, tiny):
     made = containers.assemble_v3(wire_queries.packets_of(spark, tiny), spark.createDataFrame([(0, "n", "b", 1, 2, 3)], "color int, name string, block string, r int, g int, b int"), 8, 8)
     document = json.loads(made.first()["container"])
     assert document["format"] == containers.FORMAT_V3 and document["frame_count"] == 15 and "chunks" not in document
+
+
+def test_gif_codes_and_files():
+    rng = np.random.default_rng(8)
+    for bits in (2, 3, 6, 8):
+        for n in (0, 1, 2, 5000, 60_000):
+            for most in (1, 1 << bits):
+                values = rng.integers(0, most, n).astype(np.uint8).tobytes()
+                assert exports.unlzw(exports.lzw(values, bits), bits) == values
+    colors = [tuple(map(int, c)) for c in rng.integers(0, 256, (39, 3))]
+    images = [rng.integers(0, 39, (6, 9)) for _ in range(4)]
+    head, bits = exports.gif_head(9, 6, colors)
+    back, table = exports.gif_images(head + b"".join(exports.gif_frame(x, bits, 5) for x in images) + b";")
+    assert all((a == b).all() for a, b in zip(back, images, strict=True)) and [tuple(map(int, c)) for c in table[:39]] == colors
