@@ -50,6 +50,8 @@ def lzw(values: bytes, bits: int) -> bytes:
         now = values[i : i + 1]
     if now:
         put(table[now])
+        if following == 1 << width and width < 12:  # readers add an entry for the last code too, so the end code can be wider
+            width += 1
     put(clear + 1)
     if n:
         out.append(held & 255)

@@ -204,3 +204,12 @@ def test_gif_codes_and_files():
     head, bits = exports.gif_head(9, 6, colors)
     back, table = exports.gif_images(head + b"".join(exports.gif_frame(x, bits, 5) for x in images) + b";")
     assert all((a == b).all() for a, b in zip(back, images, strict=True)) and [tuple(map(int, c)) for c in table[:39]] == colors
+
+
+def test_gif_codes_of_every_length():
+    """The last code can be the one after which codes are wider: then the end code is wider too."""
+    rng = np.random.default_rng(9)
+    for bits in (2, 3, 6, 8):
+        values = rng.integers(0, 1 << bits, 5000).astype(np.uint8).tobytes()
+        for n in (*range(1200), *range(3700, 5001, 13)):
+            assert exports.unlzw(exports.lzw(values[:n], bits), bits) == values[:n]
