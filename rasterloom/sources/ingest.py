@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import frames as R
-from .scratch import opened
+from .scratch import opened, stored
 
 SLICE = 8 << 20  # bytes of a raw file that a task reads at once
 MOST_TASKS = 20_000
@@ -116,20 +116,19 @@ def png_bytes(image: np.ndarray) -> bytes:
 
 
 def numbered(rows: DataFrame, by: str, out: str) -> DataFrame:
-    """rows with out, their place from 0 in the order of a column, without one task that sorts them all."""
-    spark = rows.sparkSession
-    ranged = rows.repartitionByRange(by).withColumn("_part", F.spark_partition_id()).cache()
-    try:
-        sizes = sorted((r["_part"], r["count"]) for r in ranged.groupBy("_part").count().collect())  # a row a partition
-        before, starts = 0, []
-        for part, n in sizes:
-            starts.append((part, before))
-            before += n
-        rank = F.row_number().over(Window.partitionBy("_part").orderBy(by)) - 1
-        known = ranged.withColumn("_rank", rank).join(F.broadcast(spark.createDataFrame(starts, "_part int, _before long")), "_part")
-        return known.withColumn(out, (F.col("_before") + F.col("_rank")).cast("int")).drop("_part", "_rank", "_before")
-    finally:
-        ranged.unpersist()
+    """rows with out, their place from 0 in the order of a column, without one task that sorts them all.
+
+    The ranges are written: they are cut by a sample and merged by size, both of which may differ when they are made again.
+    """
+    ranged = stored(rows.repartitionByRange(by).withColumn("_part", F.spark_partition_id()), "ranges")
+    sizes = sorted((r["_part"], r["count"]) for r in ranged.groupBy("_part").count().collect())  # a row a partition
+    before, starts = 0, []
+    for part, n in sizes:
+        starts.append((part, before))
+        before += n
+    rank = F.row_number().over(Window.partitionBy("_part").orderBy(by)) - 1
+    known = ranged.withColumn("_rank", rank).join(F.broadcast(rows.sparkSession.createDataFrame(starts, "_part int, _before long")), "_part")
+    return known.withColumn(out, (F.col("_before") + F.col("_rank")).cast("int")).drop("_part", "_rank", "_before")
 
 
 def png_frames(spark: SparkSession, path: str, video: str) -> DataFrame:

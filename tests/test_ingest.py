@@ -65,6 +65,20 @@ def test_a_folder_of_pngs_in_the_order_of_names(spark, tmp_path):
     assert got == {i: image.tobytes() for i, image in enumerate(images)}
 
 
+def test_numbers_are_the_same_however_often_they_are_read(spark):
+    """So many names that the ranges come from a sample, which another run draws anew."""
+    setting = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "false")
+    try:
+        rows = spark.range(20_000).repartition(8, F.xxhash64("id")).select("id", F.format_string("file:/x/v0_%08d.png", "id").alias("path"))
+        got = ingest.numbered(rows, "path", "frame")
+        for _ in range(2):
+            assert [(r["id"], r["frame"]) for r in got.orderBy("id").collect()] == [(i, i) for i in range(20_000)]
+    finally:
+        spark.conf.set(setting, before)
+
+
 def test_raw_files_are_read_in_slices(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(ingest, "SLICE", 3 * 72)
     images = np.random.default_rng(2).integers(0, 256, (50, 4, 6, 3), dtype=np.uint8)
